@@ -76,8 +76,15 @@ def segment(score: Column, medium: float = FLAG_THRESHOLD, high: float = HIGH_TH
     return F.when(known >= high, "High").when(known >= medium, "Medium").otherwise("Low")
 
 
+def whole_text(value: Column) -> Column:
+    """No decimals and no separators; ties to even, on the exact binary value."""
+    return F.translate(F.format_number(value, 0), ",", "")
+
+
 def percent_text(score: Column) -> Column:
-    return F.format_string("%.2f%%", score * 100)
+    """Two decimals.  format_number rounds the exact value half to even, where
+    format_string would round its shortest text half up."""
+    return F.concat(F.format_number(score * 100, 2), F.lit("%"))
 
 
 def joined_labels(labels: dict[str, str]) -> Column:
