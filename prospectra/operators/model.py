@@ -35,7 +35,7 @@ def classifier(family: str, weight_sum: float):
     shared = dict(featuresCol=prep.FEATURES, labelCol=_LABEL, weightCol=prep.WEIGHT)
     if family == "logistic":
         return LogisticRegression(maxIter=LOGISTIC_ITERATIONS, regParam=1.0 / weight_sum, elasticNetParam=0.0,
-                                  standardization=False, tol=1e-9, family="binomial", **shared)
+                                  standardization=False, tol=1e-8, family="binomial", **shared)
     if family == "tree":
         return DecisionTreeClassifier(maxDepth=TREE_DEPTH, minInstancesPerNode=TREE_LEAF_ROWS, maxBins=TREE_BINS,
                                       seed=split.SEED, **shared)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,24 +63,27 @@ def train_and_select(stored: DataFrame, label: str = schema.LABEL, id_col: str =
 
 
 def cross_validate(stored: DataFrame, label: str = schema.LABEL, id_col: str = schema.ID,
-                   exclude: Sequence[str] | None = None, families: Iterable[str] = model.FAMILIES) -> DataFrame:
+                   exclude: Sequence[str] | None = None, families: Iterable[str] = model.FAMILIES,
+                   parallelism: int = split.FOLDS) -> DataFrame:
     """(family, fold, rows, positives, roc_auc, average_precision) on the training side.
 
     Preparation and class weights are fitted anew on the other four folds.
+    Folds do not depend on each other, so ``parallelism`` of them are fitted
+    at the same time; lower it where their cached vectors crowd the executors.
     The scores of all held-out folds are ranked in one pass at the end.
     """
     exclude = (id_col,) if exclude is None else tuple(exclude)
     families = tuple(families)
     training = stored.where(F.col("is_test") == 0).drop("is_test")
-    held_out = None
-    for fold in range(split.FOLDS):
-        rest = training.where(F.col("fold") != fold).drop("fold")
-        fitted = model.fit_all(rest, label, exclude, families)
-        part = training.where(F.col("fold") == fold)
-        for family in families:
-            scored = model.with_score(fitted[family], part, (label, "fold")).withColumn("family", F.lit(family))
-            held_out = scored if held_out is None else held_out.unionByName(scored)
-    return metrics.ranking_metrics(held_out, label, by=("family", "fold"))
+
+    def fit_fold(fold: int) -> dict[str, PipelineModel]:
+        return model.fit_all(training.where(F.col("fold") != fold).drop("fold"), label, exclude, families)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        fitted = list(pool.map(inheritable_thread_target(stored.sparkSession)(fit_fold), range(split.FOLDS)))
+    held_out = [model.with_score(fitted[fold][family], training.where(F.col("fold") == fold), (label, "fold"))
+                .withColumn("family", F.lit(family)) for fold in range(split.FOLDS) for family in families]
+    return metrics.ranking_metrics(functools.reduce(DataFrame.unionByName, held_out), label, by=("family", "fold"))
 
 
 def run_training_job(spark: SparkSession, feature_table: str, model_path: str, runs_table: str | None = None,
