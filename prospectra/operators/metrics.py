@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prospectra import schema
 from prospectra.functions.values import column, nan_to_null
-from prospectra.operators.ranks import running_totals
+from prospectra.operators.ranks import running_totals, stored
 
 
 def ranking_metrics(df: DataFrame, label: str = "y", score: str = schema.SCORE,
@@ -21,15 +21,12 @@ def ranking_metrics(df: DataFrame, label: str = "y", score: str = schema.SCORE,
     ROC-AUC is NULL without both classes, average precision without
     positives.  Groups must be few (folds, models).
     """
+    groups = list(by) or ["_whole"]
     steps = (df.groupBy(*by, column(score).alias("_score"))
              .agg(F.count_if(column(label) == 1).alias("_pos"), F.count("*").alias("_all")))
-    ranked = running_totals(steps, "_score", ("_pos", "_all"), by)
-    totals = steps.groupBy(*by).agg(F.sum("_pos").alias("_positives"), F.sum("_all").alias("_rows"))
-    if by:
-        ranked = ranked.join(F.broadcast(totals), list(by))
-    else:
-        whole = totals.select(F.struct("_positives", "_rows").alias("t")).scalar()
-        ranked = ranked.withColumn("_t", whole).select("*", "_t.*")
+    steps = stored(steps if by else steps.withColumn("_whole", F.lit(0)))
+    totals = steps.groupBy(*groups).agg(F.sum("_pos").alias("_positives"), F.sum("_all").alias("_rows"))
+    ranked = running_totals(steps, "_score", ("_pos", "_all"), groups).join(F.broadcast(totals), groups)
     # Running totals ascend; counted from the top, rows above are the rest.
     above = (F.col("_positives") - F.col("upto__pos")).cast("double")
     reached = (above + F.col("_pos")).cast("double")

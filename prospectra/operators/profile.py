@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from prospectra import schema
 from prospectra.functions.values import column, is_finite, is_missing, nan_to_null
 from prospectra.operators.features import categorical_columns, numeric_columns
-from prospectra.operators.ranks import quantiles
+from prospectra.operators.ranks import quantiles, stored
 
 BINS = 30
 TOP = 10
@@ -118,7 +118,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
         F.count(_VALUE).alias("count"), nan_to_null(F.avg(_VALUE)).alias("mean"),
         nan_to_null(F.stddev_samp(_VALUE)).alias("std"),
         F.min(_VALUE).alias("min"), F.max(_VALUE).alias("max"))
-    quartiles = quantiles(value_counts(long_numeric(df, columns)), _VALUE, "n", (0.25, 0.5, 0.75), (_POS,))
+    quartiles = quantiles(stored(value_counts(long_numeric(df, columns))), _VALUE, "n", (0.25, 0.5, 0.75), (_POS,))
     return _named(moments.join(quartiles, _POS, "left"), columns).select(
         _NAME, "count", "mean", "std", "min",
         *[F.get("quantiles", F.lit(i)).alias(q) for i, q in enumerate(("q25", "q50", "q75"))], "max")
@@ -259,7 +259,7 @@ def boxplot_stats(df: DataFrame, label: str = schema.LABEL, columns: Sequence[st
     """
     columns = columns or numeric_columns(df)[:FIRST_COLUMNS]
     by = (_POS, label)
-    counts = value_counts(long_numeric(df, columns, (label,)), by)
+    counts = stored(value_counts(long_numeric(df, columns, (label,)), by))
     quartile = [F.get("quantiles", F.lit(i)) for i in range(3)]
     iqr = quartile[2] - quartile[0]
     fences = (quantiles(counts, _VALUE, "n", (0.25, 0.5, 0.75), by)

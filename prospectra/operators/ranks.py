@@ -6,6 +6,10 @@ cut points, the buckets are totalled, and the window that needs an order runs
 inside one bucket only.  Cut points come from a bounded sketch; they decide how
 even the buckets are and never change a result, because a bucket is a function
 of the value alone, not of a partition number.
+
+The counts are read several times (cut points, bucket totals, ordered pass), so
+callers store them first with ``stored``: whatever they were counted from runs
+once, and a lost executor costs a re-read.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prospectra.functions.values import column
+from prospectra.session import write_and_read_back
 
 # 2**8 - 1 cut points make 256 buckets per group.
 _BITS = 8
@@ -23,19 +28,19 @@ _PROBS = [i / 2 ** _BITS for i in range(1, 2 ** _BITS)]
 _STEPS = [2 ** b for b in reversed(range(_BITS))]
 
 
-def bucketed(counts: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def stored(counts: DataFrame) -> DataFrame:
+    return write_and_read_back(counts, "value-counts")
+
+
+def bucketed(counts: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Add ``_bucket``: the number of cut points at or below the value.
 
     The groups must be few (columns, labels, folds, models): one row of cut
     points per group is broadcast.
     """
-    cuts = F.percentile_approx(column(value), _PROBS, 10_000)
-    if by:
-        per_group = counts.groupBy(*by).agg(cuts.alias("_cuts"))
-        placed = counts.join(F.broadcast(per_group), list(by))
-    else:
-        placed = counts.withColumn("_cuts", counts.agg(cuts.alias("_cuts")).scalar())
-    return placed.withColumn("_bucket", _search("_cuts", column(value))).drop("_cuts")
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(column(value), _PROBS, 10_000).alias("_cuts"))
+    return (counts.join(F.broadcast(cuts), list(by))
+            .withColumn("_bucket", _search("_cuts", column(value))).drop("_cuts"))
 
 
 def _search(cuts: str, value: Column) -> Column:
@@ -55,7 +60,7 @@ def _bucket_offsets(placed: DataFrame, sums: Sequence[str], by: Sequence[str]) -
         F.coalesce(F.sum(f"_total_{s}").over(lower), F.lit(0)).alias(f"_before_{s}") for s in sums])
 
 
-def running_totals(counts: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def running_totals(counts: DataFrame, value: str, sums: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Add ``upto_<s>``: the total of ``s`` over all rows of the group with a
     value up to and including this one.  Values must be unique per group."""
     placed = bucketed(counts, value, by)
@@ -68,7 +73,7 @@ def running_totals(counts: DataFrame, value: str, sums: Sequence[str], by: Seque
                 (F.col(f"_before_{s}") + F.col(f"_within_{s}")).alias(f"upto_{s}") for s in sums]))
 
 
-def values_at_ranks(counts: DataFrame, value: str, n: str, ranks: DataFrame, by: Sequence[str] = (),
+def values_at_ranks(counts: DataFrame, value: str, n: str, ranks: DataFrame, by: Sequence[str],
                     tags: Sequence[str] = ("tag",)) -> DataFrame:
     """The values that stand at given 1-based ranks of each group.
 
@@ -80,9 +85,7 @@ def values_at_ranks(counts: DataFrame, value: str, n: str, ranks: DataFrame, by:
     offsets = _bucket_offsets(placed, [n], by)
     inside = ((F.col("rank") > F.col(f"_before_{n}"))
               & (F.col("rank") <= F.col(f"_before_{n}") + F.col(f"_total_{n}")))
-    joined = (offsets.join(F.broadcast(ranks), list(by)) if by
-              else offsets.join(F.broadcast(ranks), inside))
-    wanted = (joined.where(inside).groupBy(*by, "_bucket")
+    wanted = (offsets.join(F.broadcast(ranks), list(by)).where(inside).groupBy(*by, "_bucket")
               .agg(F.collect_list(F.struct(*tags, (F.col("rank") - F.col(f"_before_{n}")).alias("at"))).alias("_wanted")))
     within = Window.partitionBy(*by, "_bucket").orderBy(column(value))
     upto = F.sum(column(n)).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -96,7 +99,7 @@ def values_at_ranks(counts: DataFrame, value: str, n: str, ranks: DataFrame, by:
 
 def quantiles(counts: DataFrame, value: str, n: str, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
     """Exact quantiles with linear interpolation: group columns and ``quantiles``,
-    an array in the order of ``probs``."""
+    an array in the order of ``probs``.  ``counts`` should be stored."""
     position = (F.col("_n") - 1) * F.col("p")
     sized = (counts.groupBy(*by).agg(F.sum(column(n)).alias("_n"))
              .withColumn("p", F.explode(F.array(*[F.lit(p) for p in probs]))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prospectra import schema
 from prospectra.functions.values import column
-from prospectra.operators.ranks import values_at_ranks
+from prospectra.operators.ranks import stored, values_at_ranks
 
 SEED = 42
 TEST_SHARE = 0.2
@@ -73,7 +73,7 @@ def order_key(id_col: str, seed: int) -> Column:
 
 def _with_cuts(df: DataFrame, label: str, id_col: str, shares: Sequence[float], seed: int, name: str, place) -> DataFrame:
     keys = df.select(column(label).alias("_class"), order_key(id_col, seed).alias("_key"))
-    counts = keys.groupBy("_class", "_key").agg(F.count("*").alias("_n"))
+    counts = stored(keys.groupBy("_class", "_key").agg(F.count("*").alias("_n")))
     ranks = (counts.groupBy("_class").agg(F.sum("_n").alias("_rows"))
              .select("_class", F.posexplode(F.array(*[F.lit(s) for s in shares])).alias("tag", "_share"), "_rows")
              .select("_class", "tag", F.round(F.col("_rows") * F.col("_share")).cast("bigint").alias("rank")))

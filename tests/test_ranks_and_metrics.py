@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prospectra.operators import metrics
-from prospectra.operators.ranks import quantiles, running_totals
+from prospectra.operators.ranks import bucketed, quantiles, running_totals
 
 
 def frame(spark, y, score, partitions=4):
@@ -108,14 +108,26 @@ def test_quantiles_equal_numpy(spark, kind):
 
 
 def test_running_totals_equal_a_cumulative_sum(spark):
-    df = spark.range(2000).select((F.col("id") * 7919 % 2003).alias("v"), (F.col("id") % 5).alias("n"))
-    rows = sorted(running_totals(df, "v", ("n",)).collect())
+    df = spark.range(2000).select((F.col("id") * 7919 % 2003).alias("v"), (F.col("id") % 5).alias("n"),
+                                  F.when(F.col("id") >= 0, "all").alias("g"))
+    rows = sorted(running_totals(df, "v", ("n",), ("g",)).collect())
     assert [r.upto_n for r in rows] == list(np.cumsum([r.n for r in rows]))
 
 
-def test_order_never_needs_a_single_task(spark):
-    """No window without a partition key over the ranked rows, and no collect of them."""
+def test_order_is_taken_inside_buckets(spark):
+    """Scores are windowed per bucket; only bucket totals are windowed per group."""
     df = spark.range(1000).select((F.col("id") % 2).cast("int").alias("y"), F.rand(1).alias("score"))
     plan = metrics.ranking_metrics(df)._jdf.queryExecution().optimizedPlan().toString()
-    # The ranked rows are windowed per bucket; only bucket totals have a global order.
-    assert "_bucket" in plan and plan.count("windowspecdefinition(_bucket") > plan.count("windowspecdefinition(_score")
+    specs = [part.split(",")[:3] for part in plan.split("windowspecdefinition(")[1:]]
+    assert specs
+    for spec in specs:
+        ordered_by_score = any("_score" in s for s in spec)
+        assert not ordered_by_score or any("_bucket" in s for s in spec)
+
+
+def test_buckets_split_a_skewed_frame(spark):
+    """One value with most of the rows is one counted row; the rest spread over the buckets."""
+    values = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.col("id") / 40_000.0).alias("v"))
+    counts = values.groupBy("v").agg(F.count("*").alias("n")).withColumn("g", F.when(F.col("v") >= 0, "a"))
+    sizes = bucketed(counts, "v", ("g",)).groupBy("_bucket").count().collect()
+    assert len(sizes) == 256 and max(r["count"] for r in sizes) < 3 * 26_700 / 256
