@@ -80,12 +80,12 @@ def preview(spark, sf_dir):
 
 
 def conform_features(spark, sf_dir):
-    requests = standins.stage2(spark, sf_dir).drop(*ABSENT_REQUEST_COLUMNS)
+    requests = standins.stage2_table(spark, sf_dir).drop(*ABSENT_REQUEST_COLUMNS)
     return rounded(features.conform_features(requests))
 
 
 def clean_values(spark, sf_dir):
-    return rounded(features.clean_values(standins.stage2(spark, sf_dir)))
+    return rounded(features.clean_values(standins.stage2_table(spark, sf_dir)))
 
 
 def row_ids(spark, sf_dir):
@@ -156,21 +156,21 @@ def select_best(spark, sf_dir):
 # Preparation ---------------------------------------------------------------
 
 def impute(spark, sf_dir):
-    return rounded(prep.impute(standins.stage2(spark, sf_dir)))
+    return rounded(prep.impute(standins.stage2_table(spark, sf_dir)))
 
 
 def standardize(spark, sf_dir):
-    cleaned = features.clean_values(features.clean_features(standins.stage1_table(spark, sf_dir)))
+    cleaned = features.clean_values(standins.stage2_table(spark, sf_dir))
     return rounded(prep.standardize(cleaned).select(schema.ID, *[
         column(c) for c in features.numeric_columns(cleaned)]))
 
 
 def one_hot(spark, sf_dir):
-    return prep.one_hot_long(standins.stage2(spark, sf_dir))
+    return prep.one_hot_long(standins.stage2_table(spark, sf_dir))
 
 
 def class_weights(spark, sf_dir):
-    return rounded(prep.class_weights(standins.stage2(spark, sf_dir)))
+    return rounded(prep.class_weights(standins.stage2_table(spark, sf_dir)))
 
 
 def _labelled_ids(spark, sf_dir):
@@ -196,7 +196,7 @@ def kfold_exact(spark, sf_dir):
 # Scores and explanations ---------------------------------------------------
 
 def _linear_scored(spark, sf_dir) -> DataFrame:
-    table = features.clean_values(standins.stage2(spark, sf_dir))
+    table = features.clean_values(standins.stage2_table(spark, sf_dir))
     score = model.score_linear(table, standins.LINEAR_WEIGHTS, standins.LINEAR_INTERCEPT)
     return table.withColumn(schema.SCORE, score)
 
@@ -242,7 +242,7 @@ def explanation_counts(spark, sf_dir):
 
 
 def driver_texts(spark, sf_dir):
-    return explain.driver_texts(explain.active_drivers(standins.stage2(spark, sf_dir)))
+    return explain.driver_texts(explain.active_drivers(standins.stage2_table(spark, sf_dir)))
 
 
 def prospects(spark, sf_dir):
@@ -258,7 +258,7 @@ def prospects_unmatched(spark, sf_dir):
 
 @functools.cache
 def _split_for(application: str, sf_dir: str) -> DataFrame:
-    table = features.clean_features(standins.stage1_table(SparkSession.active(), sf_dir))
+    table = standins.stage2_table(SparkSession.active(), sf_dir)
     return training.split_table(table)
 
 
@@ -307,7 +307,7 @@ def train_and_select(spark, sf_dir):
 
 def score_batch(spark, sf_dir):
     trained = _fitted_for(spark.sparkContext.applicationId, sf_dir)
-    table = features.clean_values(standins.stage2(spark, sf_dir))
+    table = features.clean_values(standins.stage2_table(spark, sf_dir))
     return model.score_batch(trained.model, table)
 
 

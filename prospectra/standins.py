@@ -143,10 +143,15 @@ def stage2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage1_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stage 1 as a stored table, which is what profiling and training read."""
+    """Stage 1 as a stored table, which is what all later steps read.  Built
+    once per application and test set."""
     return _stored(spark.sparkContext.applicationId, sf_dir)
 
 
+def stage2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.clean_features(stage1_table(spark, sf_dir))
+
+
 @functools.cache
 def _stored(application: str, sf_dir: str) -> DataFrame:
     return write_and_read_back(stage1(SparkSession.active(), sf_dir), "stage1")
@@ -155,9 +160,7 @@ def _stored(application: str, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(client_id, y, score_i, score): labels with a score of known quality and many ties."""
     label_col = F.col(schema.LABEL)
-    customer = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias(schema.ID))
-    targets = label.target_accounts(transactions(spark, sf_dir), TARGET_PRODUCT)
     score_i = ((F.col(schema.ID) * 37) % 101 + 30 * label_col).cast("bigint")
-    return (features.label_customers(customer, targets)
+    return (stage1_table(spark, sf_dir)
             .select(schema.ID, label_col.alias("y"), score_i.alias("score_i"))
             .withColumn(schema.SCORE, F.col("score_i").cast("double") / F.lit(131.0)))
