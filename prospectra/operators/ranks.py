@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from prospectra.functions.values import column
 from prospectra.session import write_and_read_back
 
-# 2**8 - 1 cut points make 256 buckets per group.
-_BITS = 8
+# 2**10 - 1 cut points make 1,024 buckets per group.
+_BITS = 10
 _PROBS = [i / 2 ** _BITS for i in range(1, 2 ** _BITS)]
 _STEPS = [2 ** b for b in reversed(range(_BITS))]
 
@@ -53,7 +53,7 @@ def _search(cuts: str, value: Column) -> Column:
 
 
 def _bucket_offsets(placed: DataFrame, sums: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Per bucket, the totals of all lower buckets (at most 256 rows per group)."""
+    """Per bucket, the totals of all lower buckets (at most 1,024 rows per group)."""
     totals = placed.groupBy(*by, "_bucket").agg(*[F.sum(column(s)).alias(f"_total_{s}") for s in sums])
     lower = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(*by, "_bucket", *[f"_total_{s}" for s in sums], *[

@@ -126,6 +126,11 @@ _TABLES = {
     "clean_features": _with(f"SELECT {_rounded(_STAGE2)} FROM stage2"),
     "normalize_columns": "SELECT c_custkey AS client_id, c_name AS full_name, c_acctbal AS account_balance, "
                          "c_mktsegment AS segment FROM customer",
+    "csv_transactions": _with(
+        "SELECT o_custkey AS accountid, 'say \"' || concat(p_brand, ' ', p_type) || '\";' || chr(10) || 'next' AS cnttype_desc, "
+        "o_orderkey AS order_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey"),
+    "csv_customers": _with("SELECT " + _rounded([c for c in schema.CUSTOMER_COLUMNS if c != "ape_sums"])
+                           + " FROM fx_customer_360"),
     "table_roundtrip": _with(f"SELECT {_rounded(schema.CUSTOMER_COLUMNS)} FROM fx_customer_360"),
     "preview": _with(f"SELECT {_rounded(_STAGE1)} FROM stage1 ORDER BY client_id LIMIT 10"),
     "conform_features": _with(_conformed()),

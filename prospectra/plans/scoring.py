@@ -15,8 +15,10 @@ from prospectra.sources import model_store, tables
 
 def score_table(fitted: PipelineModel, table: DataFrame, threshold: float = schema.FLAG_THRESHOLD,
                 id_col: str | None = None, label: str = schema.LABEL) -> DataFrame:
-    """(id, score, flag, is_train) of all rows, training rows included and marked as such.
+    """(id, score, flag, is_train) of all rows, training rows included and marked.
 
+    The mark repeats the default split by hash; it says nothing about a model
+    trained on an exact split.
     Without an id column the rows are numbered.
     """
     found = id_col or features.id_column(table)

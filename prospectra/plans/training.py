@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prospectra import schema
-from prospectra.functions.values import column
 from prospectra.operators import features, metrics, model, split
 from prospectra.session import write_and_read_back
 from prospectra.sources import model_store
@@ -99,7 +98,7 @@ def run_training_job(spark: SparkSession, feature_table: str, model_path: str, r
         {k: v for k, v in values.items() if v is not None}, id_col, runs_table)
 
 
-def class_report(scored: DataFrame, label: str = schema.LABEL) -> tuple[DataFrame, DataFrame]:
-    """Classification report and confusion matrix at the default class cut."""
-    given = scored.select(column(label).alias("y"), schema.SCORE)
-    return metrics.classification_report(given), metrics.confusion_matrix(given)
+def report_on_test(trained: Trained, stored: DataFrame, label: str = schema.LABEL) -> tuple[DataFrame, DataFrame]:
+    """Classification report and confusion matrix of the chosen model on the test side."""
+    scored = model.with_score(trained.model, side(stored, 1), (label,))
+    return metrics.classification_report(scored, label), metrics.confusion_matrix(scored, label)

@@ -67,6 +67,26 @@ def normalize_columns(spark, sf_dir):
     return landing.normalize_columns(raw)
 
 
+def _landed(df: DataFrame, sep: str) -> str:
+    """The frame as CSV files with a header, in the shared folder."""
+    folder = f"{shared_folder(df.sparkSession)}/landing-{uuid.uuid4().hex}"
+    df.write.options(header=True, sep=sep, quote='"', escape='"').csv(folder)
+    return folder
+
+
+def csv_transactions(spark, sf_dir):
+    """Semicolons and blanks in names; line breaks and quotes in the descriptions."""
+    rows = standins.transactions(spark, sf_dir)
+    landed = rows.select(F.col(schema.ACCOUNT).alias("AccountID"),
+                         F.concat(F.lit('say "'), schema.PRODUCT, F.lit('";\nnext')).alias("CNTTYPE desc"), "order_id")
+    return landing.read_csv(spark, _landed(landed, ";"), ";", schema.transaction_schema().add("order_id", T.LongType()))
+
+
+def csv_customers(spark, sf_dir):
+    landed = standins.customer_360(spark, sf_dir).drop("ape_sums")
+    return rounded(landing.read_csv(spark, _landed(landed, ","), ",", schema.customer_schema()))
+
+
 def table_roundtrip(spark, sf_dir):
     database = f"staging_{uuid.uuid4().hex}"
     tables.create_schema(spark, database, f"{shared_folder(spark)}/{database}")
@@ -305,6 +325,11 @@ def train_and_select(spark, sf_dir):
     return trained.metrics.withColumn("chosen", F.col("family") == trained.family)
 
 
+def model_report(spark, sf_dir):
+    trained = _fitted_for(spark.sparkContext.applicationId, sf_dir)
+    return training.report_on_test(trained, _split_table(spark, sf_dir))[0]
+
+
 def score_batch(spark, sf_dir):
     trained = _fitted_for(spark.sparkContext.applicationId, sf_dir)
     table = features.clean_values(standins.stage2_table(spark, sf_dir))
@@ -317,6 +342,8 @@ QUERIES: dict[str, Query] = {
     "target_accounts_semi": target_accounts_semi,
     "clean_features": clean_features,
     "normalize_columns": normalize_columns,
+    "csv_transactions": csv_transactions,
+    "csv_customers": csv_customers,
     "table_roundtrip": table_roundtrip,
     "preview": preview,
     "conform_features": conform_features,
@@ -366,5 +393,6 @@ QUERIES: dict[str, Query] = {
     "importances": importances,
     "cv_scores": cv_scores,
     "train_and_select": train_and_select,
+    "model_report": model_report,
     "score_batch": score_batch,
 }

@@ -28,9 +28,13 @@ def read_csv(spark: SparkSession, path: str | list[str], sep: str = ";", types:
     return df if types is None else cast_columns(df, {f.name: f.dataType for f in types.fields})
 
 
+def normal_name(name: str) -> str:
+    return "_".join(name.strip().lower().split(" "))
+
+
 def normalize_columns(df: DataFrame) -> DataFrame:
     """Names trimmed, lower-cased, blanks to underscores; raises where two would be equal."""
-    names = [c.strip().lower().replace(" ", "_") for c in df.columns]
+    names = [normal_name(c) for c in df.columns]
     clashes = sorted({n for n in names if names.count(n) > 1})
     if clashes:
         raise ValueError(f"columns have the same name once normalised: {', '.join(clashes)}")

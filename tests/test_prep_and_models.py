@@ -192,3 +192,17 @@ def test_cross_validation_gives_each_family_and_fold(stored):
     assert sorted((r.family, r.fold) for r in out) == [("tree", f) for f in range(5)]
     held = training.side(stored, 0).count()
     assert sum(r["rows"] for r in out) == held
+
+
+def test_report_covers_the_test_side(stored, trained):
+    report, cells = training.report_on_test(trained, stored)
+    n = training.side(stored, 1).count()
+    assert sum(r["count"] for r in cells.collect()) == n
+    assert {r["class"]: r.support for r in report.collect()}["accuracy"] == n
+
+
+def test_exact_split_table(spark):
+    table = standins.stage2_table(spark, "/root/testdata/sf0.01")
+    out = training.split_table(table, exact=True)
+    shares = {(r[schema.LABEL], r.is_test): r["count"] for r in out.groupBy(schema.LABEL, "is_test").count().collect()}
+    assert shares == {(0, 0): 935, (0, 1): 234, (1, 0): 265, (1, 1): 66}

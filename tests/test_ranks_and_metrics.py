@@ -130,4 +130,4 @@ def test_buckets_split_a_skewed_frame(spark):
     values = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.col("id") / 40_000.0).alias("v"))
     counts = values.groupBy("v").agg(F.count("*").alias("n")).withColumn("g", F.when(F.col("v") >= 0, "a"))
     sizes = bucketed(counts, "v", ("g",)).groupBy("_bucket").count().collect()
-    assert len(sizes) == 256 and max(r["count"] for r in sizes) < 3 * 26_700 / 256
+    assert len(sizes) > 1000 and max(r["count"] for r in sizes) < 5 * 26_700 / 1024
