@@ -24,7 +24,7 @@ def balanced_left_join(left: DataFrame, right: DataFrame, left_key: str, right_k
     repeated once per slice.  All other keys join as they are.  NULL keys
     match nothing, so they are spread too and never pile up in one task.
 
-    The two sides must not share column names.
+    The two sides must not share column names; callers alias what could clash.
     """
     key, other_key = F.col(quoted(left_key)), F.col(quoted(right_key))
     hot = (left.where(key.isNotNull()).select(key.alias("_key"))

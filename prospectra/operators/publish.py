@@ -18,9 +18,11 @@ def prospects(scored: DataFrame, customers: DataFrame, id_col: str = schema.ID)
     row.  The flag is tested before the join, so only flagged rows move.
     """
     flagged = (scored.where(column(schema.FLAG) == 1)
-               .select(column(id_col).alias("_scored_id"), schema.SCORE, schema.FLAG))
+               .select(column(id_col).alias("_scored_id"), column(schema.SCORE).alias("_score"),
+                       column(schema.FLAG).alias("_flag")))
     joined = balanced_left_join(flagged, customers, "_scored_id", id_col)
-    return joined.select(*[column(c) for c in customers.columns], schema.SCORE, schema.FLAG)
+    return joined.select(*[column(c) for c in customers.columns],
+                         F.col("_score").alias(schema.SCORE), F.col("_flag").alias(schema.FLAG))
 
 
 def unmatched_prospects(scored: DataFrame, customers: DataFrame, id_col: str = schema.ID) -> DataFrame:
