@@ -35,7 +35,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document of the mix with its ids (little-endian 32-bit) and whether they decode to its text."""
-    back = bpe.decode(bpe.encode(docs))
+    back = bpe.round_trip(docs)
     return back.select(*docs.columns, "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        (F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("round_trip"))
 

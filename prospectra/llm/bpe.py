@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import base64
 import gc
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prospectra.llm.common import free_name
+from prospectra.llm.common import free_name, in_slices
 
 # Pre-tokens that a task remembers; beyond, it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 REMEMBERED_BYTES = 64
 
 
@@ -166,26 +166,24 @@ class Codec:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        known, pieces = self._known, [self.split(t) for t in texts]
-        new = {p for parts in pieces for p in parts if p not in known}
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                new.update(p for parts in pieces for p in parts)
-                known = self._known = {}
-            fresh = sorted(new)
-            data = [p.encode("utf-8", "surrogatepass") for p in fresh]
-            rest: list[tuple[str, bytes]] = []
-            for p, b in zip(fresh, data):
-                whole = self.ranks.get(b)
-                if whole is None:
-                    rest.append((p, b))
-                else:
-                    known[p] = whole.to_bytes(4, "little")
-            for (p, _), ids in zip(rest, self.merge_all([b for _, b in rest]) if rest else []):
-                known[p] = b"".join([i.to_bytes(4, "little") for i in ids])
+        pieces = [self.split(t) for t in texts]
+        if len(self._known) > REMEMBERED:
+            self._known = {}
+        known = self._known
+        rest = []
+        for p in {p for parts in pieces for p in parts if p not in known}:
+            data = p.encode("utf-8", "surrogatepass")
+            whole = self.ranks.get(data)
+            if whole is None:
+                rest.append((p, data))
+            else:
+                known[p] = whole.to_bytes(4, "little")
+        for (p, _), ids in zip(rest, self.merge_all([b for _, b in rest]) if rest else []):
+            known[p] = b"".join([i.to_bytes(4, "little") for i in ids])
         out = [b"".join([known[p] for p in parts]) for parts in pieces]
-        if len(known) > REMEMBERED:
-            self._known = {p: b for p, b in known.items() if len(b) <= REMEMBERED_BYTES} if len(known) < 2 * REMEMBERED else {}
+        for p, data in rest:
+            if len(data) > REMEMBERED_BYTES:
+                del known[p]
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -215,58 +213,55 @@ def _no_cycle_search() -> Iterator[None]:
             gc.enable()
 
 
-def _blocks(texts: list[str], chars: int = 1 << 22) -> Iterator[list[str]]:
-    """Runs of texts of about so many characters, so that working memory has a bound."""
-    block, size = [], 0
-    for t in texts:
-        block.append(t)
-        size += len(t)
-        if size >= chars:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def _with_column(docs: DataFrame, source: str, name: str, kind: T.DataType, value: Callable, arrow: pa.DataType) -> DataFrame:
-    at, schema = docs.columns.index(source), T.StructType([*docs.schema.fields, T.StructField(name, kind)])
-
+def _codec_run(at: int, names: list[str], vocabulary: str, pattern: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = pa.array(value(batch.column(at)), arrow)
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
+        own = codec(vocabulary, pattern)
+        for batch in in_slices(batches, at):
+            with _no_cycle_search():
+                ids = own.encode_batch([t or "" for t in batch.column(at).to_pylist()])
+                made = [ids, [own.decode(memoryview(b).cast("I")) for b in ids]][:len(names)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(m, pa.binary()) for m in made]],
+                                             [*batch.schema.names, *names])
+    return run
 
-    return docs.mapInArrow(run, schema)
+
+def _added(docs: DataFrame, names: list[str]) -> T.StructType:
+    return T.StructType([*docs.schema.fields, *[T.StructField(n, T.BinaryType()) for n in names]])
 
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str | None = None,
            pattern: str | None = None) -> DataFrame:
     """``docs`` with the token ids of ``text``, as little-endian unsigned 32-bit numbers.  No shuffle."""
-    vocabulary, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
+    names = [free_name(docs.columns, ids)]
+    return docs.mapInArrow(_codec_run(docs.columns.index(text), names, vocabulary or default_vocabulary(),
+                                      pattern or default_pattern()), _added(docs, names))
 
-    def value(column: pa.Array) -> list[bytes]:
-        own = codec(vocabulary, pattern)
-        with _no_cycle_search():
-            return [b for block in _blocks([t or "" for t in column.to_pylist()]) for b in own.encode_batch(block)]
 
-    return _with_column(docs, text, free_name(docs.columns, ids), T.BinaryType(), value, pa.binary())
+def round_trip(docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded",
+               vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """As ``encode``, with the bytes that the ids decode to, in the same pass."""
+    names = [free_name(docs.columns, ids), free_name(docs.columns, decoded)]
+    return docs.mapInArrow(_codec_run(docs.columns.index(text), names, vocabulary or default_vocabulary(),
+                                      pattern or default_pattern()), _added(docs, names))
 
 
-def decode(encoded: DataFrame, ids: str = "ids", name: str = "decoded", vocabulary: str | None = None,
+def decode(encoded: DataFrame, ids: str = "ids", decoded: str = "decoded", vocabulary: str | None = None,
            pattern: str | None = None) -> DataFrame:
     """``encoded`` with the bytes that its ids stand for; NULL ids stay NULL."""
     vocabulary, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
+    at, names = encoded.columns.index(ids), [free_name(encoded.columns, decoded)]
 
-    def value(column: pa.Array) -> list[bytes | None]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary, pattern)
-        return [None if b is None else own.decode(memoryview(b).cast("I")) for b in column.to_pylist()]
+        for batch in in_slices(batches, at):
+            made = [None if b is None else own.decode(memoryview(b).cast("I")) for b in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, *names])
 
-    return _with_column(encoded, ids, free_name(encoded.columns, name), T.BinaryType(), value, pa.binary())
+    return encoded.mapInArrow(run, _added(encoded, names))
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) by a full round trip."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    back = decode(encode(rows).select("doc_id", "ids"))
-    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(rows).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                                   F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -7,24 +7,24 @@ and ``bytes.lower()`` changes A-Z only, so word work is done on UTF-8 bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark import StorageLevel, TaskContext
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side may be broadcast up to so many rows; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
+SLICE_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
-
-
 def crc_remainder(name: str, n: int) -> Column:
     """crc32 of the value as text, modulo n; a NULL counts as the empty text."""
     return (F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % n).cast("int")
@@ -35,6 +35,20 @@ def small_or_plain(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(side) if side.count() <= rows else side
 
 
+def in_slices(batches: Iterable[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows whose texts come to about ``size`` bytes; one row at least.
+
+    Python objects made of a slice live as long as the slice, so a worker's
+    memory is bounded by a few slices and the longest text.
+    """
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+        number = np.cumsum(lengths) // size
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)
+
+
 def row_keys() -> Iterator[int]:
     """Numbers that no other task gives out: the partition's number, then a running number.
 
@@ -53,7 +67,3 @@ def free_name(taken: Sequence[str], name: str) -> str:
     while name.lower() in lower:
         name = "_" + name
     return name
-
-
-def keep_in_memory(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

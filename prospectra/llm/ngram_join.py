@@ -41,7 +41,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prospectra.llm.common import free_name, small_or_plain
+from prospectra.llm.common import free_name, in_slices, small_or_plain
 from prospectra.session import write_and_read_back
 
 SHINGLE = 5
@@ -114,7 +114,7 @@ def _key_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
     width = np.uint64(KEY_BITS - _RANGE_BITS)
     for batch in batches:
-        keys = [_top_bits(hasher(t), KEY_BITS) for t in batch.column(0).to_pylist()]
+        keys = [_top_bits(hasher(t), KEY_BITS) for part in in_slices([batch], 0) for t in part.column(0).to_pylist()]
         keys = np.sort(np.concatenate([*keys, np.empty(0, np.uint64)]))
         cuts = np.searchsorted(keys, np.arange(RANGES + 1, dtype=np.uint64) << width)
         ranges, blocks = [], []
@@ -202,7 +202,7 @@ def _sets(order: Broadcast):
     """Per text: set size and hashes, bin counts, and the prefix shingles that others may hold."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in batches:
+        for batch in in_slices(batches, 2):
             ns, nodes, bins, tokens, places = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 h = hasher(text)
@@ -304,7 +304,7 @@ def linked(first: set, second: set) -> bool:
 
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, first = None, set()
-    for batch in batches:
+    for batch in in_slices(batches, 3):
         keep = []
         for a, text_a, text_b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
             if a != last:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prospectra.llm.common import crc_remainder
+from prospectra.llm.common import crc_remainder, in_slices
 from prospectra.session import write_and_read_back
 
 MAX_TRAINING_ROWS = 20_000
@@ -175,7 +175,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
 def featurize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A written table (doc_id, features), one row per document."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, 1):
             rows = [features_of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))],
                                              ["doc_id", "features"])
@@ -217,7 +217,7 @@ def keep_good(docs: DataFrame, model: AdditiveModel, text: str = "text", thresho
     at = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, at):
             x = np.array([features_of(t) for t in batch.column(at).to_pylist()], dtype=float)
             yield batch.filter(pa.array(model.scores(x.reshape(batch.num_rows, len(FEATURES))) >= threshold))
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prospectra.llm.common import free_name, row_keys, small_or_plain
+from prospectra.llm.common import free_name, in_slices, row_keys, small_or_plain
 from prospectra.session import write_and_read_back
 
 MIN_WORDS = 10
@@ -99,7 +99,7 @@ def _line_entries(data: bytes, host: bytes) -> list[dict]:
 
 def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = row_keys()
-    for batch in batches:
+    for batch in in_slices(batches, 1):
         rows = []
         for doc_id, text, source in zip(*(c.to_pylist() for c in batch.columns)):
             text = text or ""
@@ -177,7 +177,7 @@ def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
 
 def _with_keys(text_at: int, host_at: int, names: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, text_at):
             keys = []
             for text, host in zip(batch.column(text_at).to_pylist(), batch.column(host_at).to_pylist()):
                 data = (text or "").encode("utf-8", "surrogatepass")
