@@ -178,6 +178,7 @@ class Codec:
                 rest.append((p, data))
             else:
                 known[p] = whole.to_bytes(4, "little")
+        rest.sort()
         for (p, _), ids in zip(rest, self.merge_all([b for _, b in rest]) if rest else []):
             known[p] = b"".join([i.to_bytes(4, "little") for i in ids])
         out = [b"".join([known[p] for p in parts]) for parts in pieces]
