@@ -28,7 +28,6 @@ SEED = 17
 # Share of a source in the mix: its size to this power, where no weights are given.
 TEMPERATURE = 0.7
 MAX_RATE = 64.0
-_TERMS = 6
 
 
 def source_rates(docs: DataFrame, source: str = "source", size: Column | None = None,
@@ -68,13 +67,19 @@ def uniform(*parts: Column) -> Column:
 
 
 def poisson_count(u: Column, rate: Column, most: float = MAX_RATE) -> Column:
-    """The smallest k whose Poisson distribution function exceeds ``u``."""
-    start = F.struct(F.lit(0).alias("k"), F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"))
+    """The smallest k whose Poisson distribution function exceeds ``u``; ``most`` bounds the rates.
+
+    ``u`` and the rate travel in the running value: a step would work out
+    anything that it names from outside again.
+    """
+    none = F.exp(-rate)
+    start = F.struct(F.lit(0).alias("k"), none.alias("p"), none.alias("cdf"), u.alias("u"), rate.alias("rate"))
     steps = F.sequence(F.lit(1), F.lit(int(most + 10 * math.sqrt(most) + 20)))
 
     def step(s: Column, i: Column) -> Column:
-        p = s["p"] * rate / i
-        return F.when(u < s["cdf"], s).otherwise(F.struct(i.alias("k"), p.alias("p"), (s["cdf"] + p).alias("cdf")))
+        p = s["p"] * s["rate"] / i
+        more = F.struct(i.alias("k"), p.alias("p"), (s["cdf"] + p).alias("cdf"), s["u"].alias("u"), s["rate"].alias("rate"))
+        return F.when(s["u"] < s["cdf"], s).otherwise(more)
 
     return F.aggregate(steps, start, step, lambda s: s["k"])
 
@@ -87,10 +92,11 @@ def draw_counts(docs: DataFrame, rates: DataFrame, seed: int = SEED, doc_id: str
     check; the planner decides, as ``rates`` is a written table.
     """
     name, rate = free_name(docs.columns, "rate_source"), free_name(docs.columns, "rate")
+    most = rates.agg(F.max("rate")).first()[0] or 0.0
     rates = rates.select(F.col("source").alias(name), F.col("rate").alias(rate))
     u = uniform(F.lit(seed), F.col(doc_id), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     return (docs.join(rates, F.col(source).eqNullSafe(F.col(name)), "left")
-            .withColumn(count, poisson_count(u, F.coalesce(F.col(rate), F.lit(0.0)))).drop(name, rate))
+            .withColumn(count, poisson_count(u, F.coalesce(F.col(rate), F.lit(0.0)), most)).drop(name, rate))
 
 
 def mix(docs: DataFrame, rates: DataFrame, seed: int = SEED, doc_id: str = "doc_id", text: str = "text",
