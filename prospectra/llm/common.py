@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 # A side may be broadcast up to so many rows; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 SLICE_BYTES = 2 << 20
+# Texts that Arrow carries to or from Python at once.
+BATCH_ROWS = 500
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +37,18 @@ def small_or_plain(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(side) if side.count() <= rows else side
 
 
+def limit_batches(df: DataFrame, rows: int = BATCH_ROWS) -> None:
+    """Lower the session's Arrow batches to ``rows`` rows, where they are larger.
+
+    A batch of texts lies in memory several times, on both sides of the pipe
+    to Python; at the default of 10,000 rows that is hundreds of MB per task.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if now <= 0 or now > rows:
+        df.sparkSession.conf.set(name, rows)
+
+
 def in_slices(batches: Iterable[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows whose texts come to about ``size`` bytes; one row at least.
 
@@ -49,6 +63,19 @@ def in_slices(batches: Iterable[pa.RecordBatch], column: int, size: int = SLICE_
             yield batch.slice(a, b - a)
 
 
+def in_runs(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches put together to about ``rows`` rows each; for narrow rows only."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def row_keys() -> Iterator[int]:
     """Numbers that no other task gives out: the partition's number, then a running number.
 

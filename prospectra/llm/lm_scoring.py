@@ -34,12 +34,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prospectra.llm.common import crc_remainder, in_slices, row_keys
+from prospectra.llm.common import crc_remainder, in_runs, in_slices, limit_batches, row_keys
 from prospectra.session import write_and_read_back
 
 ROUNDS = 2
 SMOOTHING = 0.01
 HELD_WORDS = 120_000
+COUNTED_WORDS = 400_000
+WORDS_AT_ONCE = 20_000
 LONGEST_PIECE = 16
 START = "▁"    # stands before a word, as in the vocabulary
 
@@ -174,18 +176,26 @@ def _read(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        train: Counter[bytes] = Counter()
-        rest: Counter[bytes] = Counter()
-        for part in in_slices([batch], 2):
-            for held_out, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                (rest if held_out else train).update(words_of(text))
+    """Counts of a task's texts, sent on whenever ``COUNTED_WORDS`` distinct words have come together."""
+    train: Counter[bytes] = Counter()
+    rest: Counter[bytes] = Counter()
+
+    def sent() -> pa.RecordBatch:
         words = list(train.keys() | rest.keys())
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array([w.decode("utf-8", "replace") for w in words], pa.string()),
              pa.array([train[w] for w in words], pa.int64()), pa.array([rest[w] for w in words], pa.int64())],
             ["word", "in_train", "in_rest"])
 
+    for batch in in_slices(batches, 2):
+        for held_out, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            (rest if held_out else train).update(words_of(text))
+        if len(train) + len(rest) > COUNTED_WORDS:
+            yield sent()
+            train.clear()
+            rest.clear()
+    yield sent()
+
 
 def word_counts(rows: DataFrame) -> DataFrame:
     """A written table (word, in_train, in_rest) of all distinct words, counted per batch before the shuffle."""
@@ -235,7 +245,7 @@ def _expected(words: DataFrame, vocabulary: str, log_weights: np.ndarray) -> np.
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces(vocabulary), weights.value)
         total = np.zeros(len(weights.value))
-        for batch in batches:
+        for batch in in_runs(batches, WORDS_AT_ONCE):
             total += lattice.expected_counts(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "n"])
@@ -254,7 +264,7 @@ def word_scores(words: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces(vocabulary), weights.value)
-        for batch in batches:
+        for batch in in_runs(batches, WORDS_AT_ONCE):
             score = lattice.log_probabilities(batch.column(0).to_pylist()) / math.log(10)
             train = batch.column(1).to_numpy()
             uses = train + batch.column(2).to_numpy()
@@ -320,6 +330,7 @@ def _score(held: Broadcast, end: tuple[int, float, float]):
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None,
                     rounds: int = ROUNDS, held: int = HELD_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per document."""
+    limit_batches(docs)
     rows = _read(docs, doc_id, text)
     words = word_counts(rows)
     model = fit(rows, words, vocabulary, rounds)

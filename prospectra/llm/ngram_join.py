@@ -41,7 +41,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prospectra.llm.common import free_name, in_slices, small_or_plain
+from prospectra.llm.common import free_name, in_slices, limit_batches, small_or_plain
 from prospectra.session import write_and_read_back
 
 SHINGLE = 5
@@ -54,6 +54,7 @@ LEAST_TOP_FREQUENCY = 8
 KEY_BITS = 40
 BITMAP_BITS = 28
 RANGES = 256
+BLOCK_KEYS = 3_000_000
 BINS = 32
 
 _RANGE_BITS = RANGES.bit_length() - 1
@@ -74,7 +75,7 @@ def exact_shingles(text: str | None) -> set[tuple[bytes, ...]]:
 
 class Hasher:
     """Shingle hashes of texts; keeps word hashes between texts, up to a bound."""
-    WORDS = 400_000
+    WORDS = 250_000
 
     def __init__(self) -> None:
         self._known: dict[bytes, int] = {}
@@ -110,12 +111,21 @@ def _top_bits(hashes: np.ndarray, bits: int) -> np.ndarray:
 # 1. Order ------------------------------------------------------------------
 
 def _key_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch of texts and key range: the sorted keys as 32-bit steps, so that they pack well."""
+    """Per ``BLOCK_KEYS`` keys and key range: the sorted keys as 32-bit steps, so that they pack well."""
     hasher = Hasher()
     width = np.uint64(KEY_BITS - _RANGE_BITS)
-    for batch in batches:
-        keys = [_top_bits(hasher(t), KEY_BITS) for part in in_slices([batch], 0) for t in part.column(0).to_pylist()]
-        keys = np.sort(np.concatenate([*keys, np.empty(0, np.uint64)]))
+
+    def runs() -> Iterator[np.ndarray]:
+        held, size = [], 0
+        for batch in in_slices(batches, 0):
+            held += [_top_bits(hasher(t), KEY_BITS) for t in batch.column(0).to_pylist()]
+            size = sum(map(len, held))
+            if size >= BLOCK_KEYS:
+                yield np.sort(np.concatenate(held))
+                held = []
+        yield np.sort(np.concatenate([*held, np.empty(0, np.uint64)]))
+
+    for keys in runs():
         cuts = np.searchsorted(keys, np.arange(RANGES + 1, dtype=np.uint64) << width)
         ranges, blocks = [], []
         for r in range(RANGES):
@@ -228,6 +238,7 @@ def _read(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", top: int = TOP) -> DataFrame:
     """A written table of one row per document: its set in numbers, and its prefix."""
+    limit_batches(docs)
     rows = _read(docs, doc_id, text)
     order = docs.sparkSession.sparkContext.broadcast(shingle_order(rows.select("text"), top))
     return write_and_read_back(rows.mapInArrow(_sets(order), _SETS), "shingle-sets")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prospectra.llm.common import crc_remainder, in_slices
+from prospectra.llm.common import crc_remainder, in_slices, limit_batches
 from prospectra.session import write_and_read_back
 
 MAX_TRAINING_ROWS = 20_000
@@ -174,6 +174,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
 
 def featurize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A written table (doc_id, features), one row per document."""
+    limit_batches(docs)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, 1):
             rows = [features_of(t) for t in batch.column(1).to_pylist()]
@@ -214,6 +216,7 @@ def score(features: DataFrame, model: AdditiveModel) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: AdditiveModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score at least the threshold, with all their columns.  No shuffle."""
+    limit_batches(docs)
     at = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
