@@ -9,10 +9,12 @@ named by shingle and step.  Two texts agree in a sample with a probability
 equal to the generalised Jaccard similarity of their bags, so the share of
 equal positions of two fingerprints estimates it.
 
-Gamma(2, 1) is the sum of two exponentials, and their ratio is uniform and
-independent of the sum, so ``r = -ln u1 - ln u2`` and ``beta = ln u2 / ln(u1 u2)``
-come from the same two numbers.  For weight 1, by far the most frequent, the
-step is 0 and the value is ``c u1``: one logarithm.
+Gamma(2, 1) is the sum of two exponentials, and one's share of the sum is
+uniform and independent of it.  So four exponentials ``e1 .. e4`` give all:
+``c = e3 + e4``, ``r = e1 + e2`` with ``e1 = -ln(e3 / c)``, ``beta = e2 / r``.  For
+weight 1, by far the most frequent, the step is 0 and the value comes to ``e3``.
+Values are kept as ``1 - exp(-a)``, which keeps their order, and for weight 1
+that is a plain uniform number: the bits of a hash, without any logarithm.
 
 Only built-in functions are used.  A shingle common to two versions of a text
 with equal weight is sampled once for both.
@@ -32,7 +34,7 @@ SHINGLE = 5
 BLOCKS, BLOCK = 8, 8
 SAMPLES = BLOCKS * BLOCK
 _DIGITS = 4                      # hexadecimal digits per sample
-_SCALE = float(1 << 40)
+_SCALE = float(1 << 46)
 _UNIT = float(1 << 32)
 
 # Texts of about so many characters are worked in one task.
@@ -54,22 +56,28 @@ def shingle_hashes(text: Column) -> Column:
     return F.get(F.transform(F.array(words), windows), F.lit(0))
 
 
-def _uniforms(term: Column, number: Column) -> tuple[Column, Column]:
-    """Two numbers in (0, 1) from one 64-bit hash."""
-    h = F.xxhash64(term, number)
-    return ((F.shiftrightunsigned(h, 32) + 0.5) / _UNIT, (h.bitwiseAND(F.lit(0xFFFFFFFF)) + 0.5) / _UNIT)
+def _bits(term: Column, number: Column) -> Column:
+    """46 bits, uniform: the scaled value of weight 1."""
+    return F.shiftrightunsigned(F.xxhash64(term, number), 18)
 
 
-def _sample(term: Column, weight: Column, number: Column) -> Column:
-    """Value and name of a shingle's sample in one number: the value decides the order."""
-    u1, u2 = _uniforms(term, number)
-    v1, v2 = _uniforms(term, -number - 1)
-    c = -F.log(v1 * v2)
-    r, beta = -F.log(u1 * u2), F.log(u2) / F.log(u1 * u2)
-    step = F.when(weight == 1, F.lit(0)).otherwise(F.floor(F.log(weight.cast("double")) / r + beta))
-    value = F.when(weight == 1, c * u1).otherwise(c * F.exp(-r * (step - beta + 1)))
-    name = (F.shiftrightunsigned(term, 7) + step * 40503).bitwiseAND(F.lit(0xFFFF))
-    return F.shiftleft((value * _SCALE).cast("long"), 16).bitwiseOR(name)
+def _packed(term: Column, value: Column, step: Column) -> Column:
+    """A sample as one number: the value decides the order, the last digits name shingle and step."""
+    return F.shiftleft(value, 16).bitwiseOR((F.shiftrightunsigned(term, 7) + step * 40503).bitwiseAND(F.lit(0xFFFF)))
+
+
+def _other_weight(term: Column, weight: Column, number: Column) -> Column:
+    """The sample of a shingle whose weight is not 1."""
+    more = F.xxhash64(term, -number - 1)
+    e3 = -F.log1p(-(_bits(term, number) + 0.5) / _SCALE)
+    e4 = -F.log((F.shiftrightunsigned(more, 32) + 0.5) / _UNIT)
+    e2 = -F.log((more.bitwiseAND(F.lit(0xFFFFFFFF)) + 0.5) / _UNIT)
+    c = e3 + e4
+    e1 = -F.log(e3 / c)
+    r, beta = e1 + e2, e2 / (e1 + e2)
+    step = F.floor(F.log(weight.cast("double")) / r + beta)
+    value = -F.expm1(-c * F.exp(-r * (step - beta + 1)))
+    return _packed(term, F.least((value * _SCALE).cast("long"), F.lit((1 << 46) - 1)), step)
 
 
 def _hex(sample: Column) -> Column:
@@ -96,9 +104,16 @@ def fingerprints(rows: DataFrame, keys: list[str], first: str, second: str) -> D
                 .when(F.col("_w1") == 0, F.array(version("_w2", 2)))
                 .otherwise(F.array(version("_w1", 1), version("_w2", 2))))
     weighted = weights.select(*keys, "_term", F.explode(versions).alias("_v")).select(*keys, "_term", "_v.w", "_v.m")
-    blocks = weighted.select("*", F.explode(F.array(*[F.lit(b) for b in range(BLOCKS)])).alias("_block"))
+    # Other weights are worked in a higher-order function, which also keeps the loop below, compiled
+    # as one method, short enough for the compiler of the virtual machine.
+    one = F.col("w") == 1
+    rare = F.when(~one, F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda i: _other_weight(
+        F.col("_term"), F.col("w"), i)))
+    blocks = weighted.select(*keys, "_term", "m", one.alias("_one"), rare.alias("_rare")).select(
+        "*", F.explode(F.array(*[F.lit(b * BLOCK) for b in range(BLOCKS)])).alias("_block"))
     samples = blocks.select(*keys, "_block", "m", *[
-        _sample(F.col("_term"), F.col("w"), F.col("_block") * BLOCK + i).alias(f"_s{i}") for i in range(BLOCK)])
+        F.when(F.col("_one"), _packed(F.col("_term"), _bits(F.col("_term"), F.col("_block") + i), F.lit(0)))
+        .otherwise(F.get("_rare", F.col("_block") + i)).alias(f"_s{i}") for i in range(BLOCK)])
     least = samples.groupBy(*keys, "_block").agg(*[
         F.min(F.when(F.col("m").bitwiseAND(F.lit(mask)) > 0, F.col(f"_s{i}"))).alias(f"_{mask}_{i}")
         for mask in (1, 2) for i in range(BLOCK)])
