@@ -51,12 +51,74 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_MIXES = tuple(np.uint64(m) for m in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
+_SLOT_BITS = 17
+
+
+class PieceTable:
+    """Piece numbers of many substrings at once, by 64-bit hashes of their code points.
+
+    Each piece has its own slot in one of a few small tables; pieces whose
+    slot is taken go to the next table.
+    """
+
+    def __init__(self, number: dict[str, int]) -> None:
+        texts = list(number)
+        self._hash = np.array([self.hash_of(t) for t in texts], np.uint64)
+        if len(np.unique(self._hash)) < len(texts):
+            raise ValueError("two pieces share a hash")
+        self._number = np.array([number[t] for t in texts], np.int64)
+        self._tables = []
+        left = np.arange(len(texts))
+        for mix in _MIXES:
+            table = np.full(1 << _SLOT_BITS, -1, np.int64)
+            slots = self._slots(self._hash[left], mix)
+            table[slots[::-1]] = left[::-1]
+            self._tables.append((mix, table))
+            left = left[table[slots] != left]
+        if len(left):
+            raise ValueError("more pieces than the tables hold")
+
+    @staticmethod
+    def hash_of(text: str) -> int:
+        h = 0
+        for char in text:
+            h = (h * int(_FACTOR) + ord(char) + 1) % (1 << 64)
+        return h
+
+    @staticmethod
+    def _slots(hashes: np.ndarray, mix: np.uint64) -> np.ndarray:
+        return ((hashes ^ (hashes >> np.uint64(31))) * mix) >> np.uint64(64 - _SLOT_BITS)
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The piece of each hash, -1 where there is none."""
+        out = np.full(hashes.shape, -1, np.int64)
+        for mix, table in self._tables:
+            at = table[self._slots(hashes, mix)]
+            hit = (at >= 0) & (self._hash[at] == hashes)
+            out[hit] = self._number[at[hit]]
+        return out
+
+    def substrings(self, codes: np.ndarray) -> np.ndarray:
+        """Piece numbers ``[word, start, length - 1]`` of equally long words, given as rows of code points."""
+        words, size = codes.shape
+        hashes = np.zeros((words, size), np.uint64)
+        out = np.full((words, size, LONGEST_PIECE), -1, np.int64)
+        for length in range(1, min(size, LONGEST_PIECE) + 1):
+            starts = size - length + 1
+            hashes = hashes[:, :starts] * _FACTOR + codes[:, length - 1:] + np.uint64(1)
+            out[:, :starts, length - 1] = self.numbers(hashes)
+        return out
+
+
 @dataclass
 class Pieces:
     """Piece numbers by text, the pieces of single bytes, and the scores they come with."""
     number: dict[str, int]
     byte: list[int]
     scores: np.ndarray
+    table: PieceTable
 
     def first_weights(self) -> np.ndarray:
         """Log weights from the vocabulary's scores, which fall by one per rank: 1 / (rank + 3), to sum 1."""
@@ -77,7 +139,7 @@ def pieces(vocabulary: str) -> Pieces:
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
             number[piece] = i
             scores[i] = model.get_score(i)
-    return Pieces(number, byte, scores)
+    return Pieces(number, byte, scores, PieceTable({t: n for t, n in number.items() if len(t) <= LONGEST_PIECE}))
 
 
 class Lattice:
@@ -101,13 +163,9 @@ class Lattice:
         """Piece numbers and log weights of all substrings of the (equally long) marked words,
         ``[word, start, length - 1]``, and the byte pieces behind numbers beyond the vocabulary."""
         marked = [START + w for w in words]
-        size = len(marked[0])
-        get, known = self._vocabulary.number.get, len(self._weights)
-        spelt: dict[str, int] = {}
-        spans = [(i, j) for i in range(size) for j in range(i + 1, min(size, i + LONGEST_PIECE) + 1)]
-        number = np.full((len(words), size, LONGEST_PIECE), -1, np.int64)
-        starts, lengths = (np.array(x) for x in zip(*[(i, j - i - 1) for i, j in spans]))
-        number[:, starts, lengths] = np.array([[get(w[i:j], -1) for i, j in spans] for w in marked])
+        codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+        number = self._vocabulary.table.substrings(codes.reshape(len(marked), -1).astype(np.uint64))
+        known, spelt = len(self._weights), {}
         for w, i in zip(*np.nonzero(number[:, :, 0] < 0)):
             char = marked[w][i]
             number[w, i, 0] = spelt.setdefault(char, known + len(spelt))
