@@ -20,7 +20,7 @@ def label_customers(customers: DataFrame, targets: DataFrame) -> DataFrame:
     ``targets`` holds each account once, so no customer row is repeated.
     """
     joined = balanced_left_join(customers, targets.select(column(schema.ACCOUNT).alias("_account")),
-                                schema.ID, "_account")
+                                schema.ID, "_account", unique_right=True)
     hit = F.when(F.col("_account").isNotNull(), 1).otherwise(0)
     return joined.select(*[column(c) for c in customers.columns], hit.alias(schema.LABEL))
 

@@ -21,7 +21,6 @@ from prospectra.operators.ranks import quantiles, stored
 
 BINS = 30
 TOP = 10
-FIRST_COLUMNS = 8
 
 _POS, _NAME, _VALUE = "pos", "column_name", "value"
 
@@ -175,20 +174,21 @@ def top_categories(df: DataFrame, columns: Sequence[str] | None = None, k: int =
     return _named(top, columns)
 
 
-_PAIR_SUMS = ("n", "mean_x", "mean_y", "c_xx", "c_yy", "c_xy")
+_PAIR_SUMS = ("n", "mean_x", "mean_y", "c_xx", "c_yy", "c_xy", "min_x", "max_x", "min_y", "max_y")
 
 
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every column pair over rows where both are finite.
 
-    NULL where a side is constant.  The matrix comes in long form, both
+    NULL where a side is constant, that is where its smallest and largest value
+    over the pair's rows are equal.  The matrix comes in long form, both
     triangles.
 
     One aggregate per pair would be about a thousand for the customer table,
     too wide for compiled aggregation.  Instead each task adds up the pair sums
     of its rows by matrix products over Arrow batches and emits one row per
-    pair: counts, means and centred products.  These partial moments are then
-    merged in Spark, one row per task and pair.
+    pair: counts, means, centred products and ranges.  These partial moments
+    are then merged in Spark, one row per task and pair.
     """
     columns = list(columns or numeric_columns(df))
     doubles = df.select(*[column(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
@@ -208,10 +208,11 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
                .withColumn("off_x", F.col("mean_x") - overall("mean_x"))
                .withColumn("off_y", F.col("mean_y") - overall("mean_y"))
                .groupBy("a", "b")
-               .agg(merged("c_xx", off_x, off_x), merged("c_yy", off_y, off_y), merged("c_xy", off_x, off_y)))
+               .agg(merged("c_xx", off_x, off_x), merged("c_yy", off_y, off_y), merged("c_xy", off_x, off_y),
+                    (F.min("min_x") < F.max("max_x")).alias("varies_x"), (F.min("min_y") < F.max("max_y")).alias("varies_y")))
     r = F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c_xy") / F.sqrt(F.col("c_xx") * F.col("c_yy")))))
-    found = moments.select("a", "b", F.when((F.col("c_xx") > 0) & (F.col("c_yy") > 0), r).alias("correlation"))
+        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide("c_xy", F.sqrt(F.col("c_xx") * F.col("c_yy"))))))
+    found = moments.select("a", "b", F.when(F.col("varies_x") & F.col("varies_y"), r).alias("correlation"))
     names = F.array(*[F.lit(c) for c in columns])
     return found.select(
         F.get(names, F.col("a")).alias("column_a"), F.get(names, F.col("b")).alias("column_b"), "correlation")
@@ -222,29 +223,46 @@ def _pair_moments(width: int):
     executors need not have this package."""
     names = ["a", "b", *_PAIR_SUMS]
 
+    def ranges(raw, finite):
+        """Smallest and largest finite value of column a over the rows where b is finite, as [a, b]."""
+        low, high = np.where(finite, raw, np.inf), np.where(finite, raw, -np.inf)
+        least = np.repeat(low.min(axis=0)[:, None], width, axis=1)
+        most = np.repeat(high.max(axis=0)[:, None], width, axis=1)
+        # Columns without a gap share the rows of all others, so only the rest are looked at one by one.
+        for b in np.flatnonzero(~finite.all(axis=0)):
+            rows = finite[:, b]
+            least[:, b] = low[rows].min(axis=0, initial=np.inf)
+            most[:, b] = high[rows].max(axis=0, initial=-np.inf)
+        return least, most
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s_x, s_xx, s_xy = np.zeros((4, width, width))
-        shift = None
+        n, mean, c_xx, c_xy = np.zeros((4, width, width))
+        low, high = np.full((width, width), np.inf), np.full((width, width), -np.inf)
         for batch in batches:
-            raw = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            if not batch.num_rows:
+                continue
+            raw = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(float)
             finite = np.isfinite(raw)
-            if shift is None:
-                shift = np.where(finite, raw, 0.0).sum(axis=0) / np.maximum(finite.sum(axis=0), 1)
-            x = np.where(finite, raw - shift, 0.0)
             seen = finite.astype(float)
-            n += seen.T @ seen
-            s_x += x.T @ seen
-            s_xx += (x * x).T @ seen
-            s_xy += x.T @ x
-        if shift is None:
+            # Each batch is centred on its own means, then merged by the rule for two parts.
+            shift = np.where(finite, raw, 0.0).sum(axis=0) / np.maximum(finite.sum(axis=0), 1)
+            x = np.where(finite, raw - shift, 0.0)
+            more = seen.T @ seen
+            s_x, some = x.T @ seen, np.maximum(more, 1)
+            own_mean = np.where(more > 0, shift[:, None] + s_x / some, 0.0)
+            total = n + more
+            step = np.where((n > 0) & (more > 0), own_mean - mean, 0.0)
+            weight = n * more / np.maximum(total, 1)
+            c_xx += (x * x).T @ seen - s_x * s_x / some + step * step * weight
+            c_xy += x.T @ x - s_x * s_x.T / some + step * step.T * weight
+            mean = np.where(n > 0, mean + step * more / np.maximum(total, 1), own_mean)
+            n = total
+            least, most = ranges(raw, finite)
+            low, high = np.minimum(low, least), np.maximum(high, most)
+        if not n.any():
             return
-        m = s_x / np.maximum(n, 1)
-        c_xx = s_xx - s_x * m
-        # A constant side must come out as exactly 0, whatever rounding left.
-        c_xx[c_xx < 1e-12 * s_xx] = 0.0
-        mean = m + shift[:, None]
         a, b = np.indices((width, width)).reshape(2, -1).astype("int32")
-        moments = [n, mean, mean.T, c_xx, c_xx.T, s_xy - s_x * m.T]
+        moments = [n, mean, mean.T, c_xx, c_xx.T, c_xy, low, high, low.T, high.T]
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)] + [pa.array(t.ravel()) for t in moments],
                                          names=names)
 
@@ -257,7 +275,7 @@ def boxplot_stats(df: DataFrame, label: str = schema.LABEL, columns: Sequence[st
     Whiskers end at the furthest value inside the fences, or at the quartile
     where no value lies between.
     """
-    columns = columns or numeric_columns(df)[:FIRST_COLUMNS]
+    columns = columns or numeric_columns(df)
     by = (_POS, label)
     counts = stored(value_counts(long_numeric(df, columns, (label,)), by))
     quartile = [F.get("quantiles", F.lit(i)) for i in range(3)]
@@ -279,7 +297,7 @@ def boxplot_stats(df: DataFrame, label: str = schema.LABEL, columns: Sequence[st
 def target_rate(df: DataFrame, label: str = schema.LABEL, columns: Sequence[str] | None = None,
                 k: int = TOP) -> DataFrame:
     """Mean label per category, the k highest per column; ties by value."""
-    columns = columns or categorical_columns(df)[:FIRST_COLUMNS]
+    columns = columns or categorical_columns(df)
     rates = (long_text(df, columns, (label,)).groupBy(_POS, _VALUE)
              .agg(F.avg(column(label)).alias("rate"), F.count("*").alias("count")))
     order = Window.partitionBy(_POS).orderBy(F.desc("rate"), _VALUE)

@@ -129,7 +129,7 @@ _TABLES = {
     "csv_transactions": _with(
         "SELECT o_custkey AS accountid, 'say \"' || concat(p_brand, ' ', p_type) || '\";' || chr(10) || 'next' AS cnttype_desc, "
         "o_orderkey AS order_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey"),
-    "csv_customers": _with("SELECT " + _rounded([c for c in schema.CUSTOMER_COLUMNS if c != "ape_sums"])
+    "csv_customers": _with("SELECT " + _rounded(schema.CUSTOMER_COLUMNS)
                            + " FROM fx_customer_360"),
     "table_roundtrip": _with(f"SELECT {_rounded(schema.CUSTOMER_COLUMNS)} FROM fx_customer_360"),
     "preview": _with(f"SELECT {_rounded(_STAGE1)} FROM stage1 ORDER BY client_id LIMIT 10"),
@@ -225,13 +225,17 @@ _PROFILE = {
         "count(*) AS n, row_number() OVER (PARTITION BY column_name ORDER BY count(*) DESC, value) AS rank "
         "FROM texts GROUP BY 1, 2) WHERE rank <= 10", _T),
     "correlation": _with("SELECT column_a, column_b, correlation FROM pairs", *_correlations(_NUMERIC)),
-    "boxplot_stats": _with(_BOX_BODY, _melt("cells", _NUMERIC[:8], "double", (_LABEL,)), _BOX),
+    "correlation_gaps_first": _with(
+        "SELECT a.name AS column_a, b.name AS column_b, correlation FROM names a CROSS JOIN names b "
+        "LEFT JOIN pairs ON column_a = a.name AND column_b = b.name",
+        *_correlations(_DOUBLES), "names(name) AS (SELECT unnest([" + _list(map(_s, [*_DOUBLES, "tenth", "third"])) + "]))"),
+    "boxplot_stats": _with(_BOX_BODY, _melt("cells", _NUMERIC, "double", (_LABEL,)), _BOX),
     "boxplot_stats_doubles": _with(_BOX_BODY, _melt("cells", _DOUBLES, "double", (_LABEL,)), _BOX),
     "target_rate": _with(
         "SELECT column_name, value, round(rate, 6) AS rate, n AS count, cast(rank AS integer) AS rank FROM ("
         f"SELECT column_name, value, avg({_LABEL}) AS rate, count(*) AS n, row_number() OVER "
         f"(PARTITION BY column_name ORDER BY avg({_LABEL}) DESC, value) AS rank FROM texts GROUP BY 1, 2) "
-        "WHERE rank <= 10", _melt("texts", _TEXT[:8], "varchar", (_LABEL,))),
+        "WHERE rank <= 10", _melt("texts", _TEXT, "varchar", (_LABEL,))),
     "top_k_coefficients": _with(
         "SELECT feature, round(coefficient, 6) AS coefficient, side FROM ("
         "SELECT *, 'top' AS side, row_number() OVER (ORDER BY coefficient DESC, feature) AS r FROM slopes "
@@ -439,7 +443,8 @@ _SCORES = {
         "LEFT JOIN fx_customer_360 ON client_id = scored_id", _CLEANED, _LINEAR, _FLAGGED),
     "prospects_unmatched": _with(
         "SELECT count(*) AS rows, min(score) AS lowest, max(score) AS highest FROM flagged "
-        f"WHERE scored_id NOT IN (SELECT client_id FROM fx_customer_360 WHERE client_id % {HOLE} <> 0)",
+        f"WHERE CASE WHEN scored_id % {HOLE} = 0 THEN -scored_id ELSE scored_id END NOT IN "
+        "(SELECT client_id FROM fx_customer_360)",
         _CLEANED, _LINEAR, _FLAGGED),
 }
 

@@ -83,8 +83,8 @@ def csv_transactions(spark, sf_dir):
 
 
 def csv_customers(spark, sf_dir):
-    landed = standins.customer_360(spark, sf_dir).drop("ape_sums")
-    return rounded(landing.read_csv(spark, _landed(landed, ","), ",", schema.customer_schema()))
+    landed = _landed(standins.customer_360(spark, sf_dir), ",")
+    return rounded(landing.read_csv(spark, landed, ",", schema.customer_schema()))
 
 
 def table_roundtrip(spark, sf_dir):
@@ -136,6 +136,14 @@ def top_k_coefficients(spark, sf_dir):
     return rounded(metrics.top_and_bottom(slopes, "coefficient"))
 
 
+def correlation_gaps_first(spark, sf_dir):
+    """Rows sorted so that a column's first batches hold no value, and constants that are no binary fractions."""
+    table = standins.stage1_table(spark, sf_dir)
+    columns = [*_doubles(table), "tenth", "third"]
+    table = table.withColumns({"tenth": F.lit(0.1), "third": F.lit(1.0) / 3})
+    return rounded(profile.correlation(table.orderBy(F.col("ape_sums").asc_nulls_first(), schema.ID), columns))
+
+
 def feature_labels(spark, sf_dir):
     info = profile.column_info(standins.stage1_table(spark, sf_dir))
     return explain.labelled_features(info.select("column_name", "non_null"))
@@ -270,8 +278,10 @@ def prospects(spark, sf_dir):
 
 
 def prospects_unmatched(spark, sf_dir):
-    known = standins.customer_360(spark, sf_dir).where(column(schema.ID) % HOLE != 0)
-    return rounded(publish.unmatched_prospects(score_linear(spark, sf_dir), known))
+    """Every tenth scored row gets an id that no customer has."""
+    unknown = F.when(column(schema.ID) % HOLE == 0, -column(schema.ID)).otherwise(column(schema.ID))
+    scored = score_linear(spark, sf_dir).withColumn(schema.ID, unknown)
+    return rounded(publish.unmatched_prospects(scored, standins.customer_360(spark, sf_dir)))
 
 
 # Models --------------------------------------------------------------------
@@ -359,6 +369,7 @@ QUERIES: dict[str, Query] = {
     "histogram": _profiled(profile.histogram),
     "top_categories": _profiled(profile.top_categories),
     "correlation": _profiled(profile.correlation),
+    "correlation_gaps_first": correlation_gaps_first,
     "boxplot_stats": _profiled(profile.boxplot_stats),
     "boxplot_stats_doubles": boxplot_stats_doubles,
     "target_rate": _profiled(profile.target_rate),
