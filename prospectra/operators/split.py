@@ -56,14 +56,18 @@ def split_exact(df: DataFrame, label: str = schema.LABEL, id_col: str = schema.I
 
 
 def folds_exact(df: DataFrame, label: str = schema.LABEL, id_col: str = schema.ID, folds: int = FOLDS,
-                seed: int = SEED + 1) -> DataFrame:
-    """Add ``fold`` so that each class is spread evenly over the folds."""
+                seed: int = SEED + 1, within: str | None = None) -> DataFrame:
+    """Add ``fold`` so that each class is spread evenly over the folds.
+
+    With ``within`` the rows are ranked inside each value of that column, as
+    the folds of the training side are.
+    """
     shares = [i / folds for i in range(1, folds)]
 
     def place(h: Column, cuts: Column) -> Column:
         return sum((F.coalesce(h > cuts[i], F.lit(True)).cast("int") for i in range(folds - 1)), start=F.lit(0))
 
-    return _with_cuts(df, label, id_col, shares, seed, "fold", place)
+    return _with_cuts(df, label, id_col, shares, seed, "fold", place, within)
 
 
 def order_key(id_col: str, seed: int) -> Column:
@@ -71,14 +75,37 @@ def order_key(id_col: str, seed: int) -> Column:
     return F.coalesce(F.conv(F.substring(_digest(id_col, seed), 1, 15), 16, 10).cast("bigint"), F.lit(0))
 
 
-def _with_cuts(df: DataFrame, label: str, id_col: str, shares: Sequence[float], seed: int, name: str, place) -> DataFrame:
-    keys = df.select(column(label).alias("_class"), order_key(id_col, seed).alias("_key"))
-    counts = stored(keys.groupBy("_class", "_key").agg(F.count("*").alias("_n")))
-    ranks = (counts.groupBy("_class").agg(F.sum("_n").alias("_rows"))
-             .select("_class", F.posexplode(F.array(*[F.lit(s) for s in shares])).alias("tag", "_share"), "_rows")
-             .select("_class", "tag", F.round(F.col("_rows") * F.col("_share")).cast("bigint").alias("rank")))
-    cuts = (values_at_ranks(counts, "_key", "_n", ranks, ("_class",)).groupBy("_class")
+def _with_cuts(df: DataFrame, label: str, id_col: str, shares: Sequence[float], seed: int, name: str, place,
+               within: str | None = None) -> DataFrame:
+    group = F.lit(0) if within is None else column(within)
+    by = ("_class", "_group")
+    keys = df.select(column(label).alias("_class"), group.alias("_group"), order_key(id_col, seed).alias("_key"))
+    counts = stored(keys.groupBy(*by, "_key").agg(F.count("*").alias("_n")))
+    ranks = (counts.groupBy(*by).agg(F.sum("_n").alias("_rows"))
+             .select(*by, F.posexplode(F.array(*[F.lit(s) for s in shares])).alias("tag", "_share"), "_rows")
+             .select(*by, "tag", F.round(F.col("_rows") * F.col("_share")).cast("bigint").alias("rank")))
+    cuts = (values_at_ranks(counts, "_key", "_n", ranks, by).groupBy(*by)
             .agg(F.map_from_entries(F.collect_list(F.struct("tag", "_key"))).alias("_cuts")))
-    # One row per class, so the second pass is a map-side lookup.
-    joined = df.join(F.broadcast(cuts), column(label) == F.col("_class"), "left")
-    return joined.withColumn(name, place(order_key(id_col, seed), F.col("_cuts"))).drop("_class", "_cuts")
+    # One row per class and group; the planner sends it to the rows where it is small.
+    joined = df.join(cuts, (column(label) == F.col("_class")) & (group == F.col("_group")), "left")
+    return joined.withColumn(name, place(order_key(id_col, seed), F.col("_cuts"))).drop("_class", "_group", "_cuts")
+
+
+def class_cuts(marked: DataFrame, label: str = schema.LABEL, id_col: str = schema.ID, seed: int = SEED) -> dict[str, int]:
+    """Class (as text) to the highest order key on the test side, of a table split by ``split_exact``."""
+    rows = (marked.where(F.col("is_test") == 1).groupBy(column(label).cast("string").alias("c"))
+            .agg(F.max(order_key(id_col, seed)).alias("k")))
+    return {r["c"]: r["k"] for r in rows.collect()}
+
+
+def in_training(split: dict, label: str, id_col: str) -> Column:
+    """1 for rows that a saved split put on the training side, 0 for its test rows.
+
+    ``split`` names its kind, seed and, where it is exact, the cuts of the classes.
+    """
+    if split["kind"] == "hash":
+        return (hash_of(id_col, split["seed"]) >= FIFTHS[0]).cast("int")
+    cut = F.lit(-1)
+    for name, key in split["cuts"].items():
+        cut = F.when(column(label).cast("string") == name, F.lit(key)).otherwise(cut)
+    return (order_key(id_col, split["seed"]) > cut).cast("int")

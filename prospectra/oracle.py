@@ -372,6 +372,40 @@ _PREP = {
         _IDS, _ranked("k43")),
 }
 
+# Models: what SQL can know of them.  Sides and folds are ranked like the exact split and folds.
+
+_SIDES = (
+    "sides AS (SELECT client_id, " + _LABEL + ", k43, cast(r <= round(n * 0.2) AS integer) AS is_test FROM placed)",
+    f"""ranked_sides AS (SELECT *, row_number() OVER (PARTITION BY {_LABEL}, is_test ORDER BY k43) AS r2,
+  count(*) OVER (PARTITION BY {_LABEL}, is_test) AS n2 FROM sides)""",
+    f"marked AS (SELECT client_id, {_LABEL}, is_test, " + " + ".join(
+        f"cast(r2 > round(n2 * {share}) AS integer)" for share in (0.2, 0.4, 0.6, 0.8)) + " AS fold FROM ranked_sides)")
+_MARKED = (_IDS, _ranked("k42"), *_SIDES)
+_FEATURES = [c for c in _STAGE2 if c not in (_ID, _LABEL)]
+_SLOTS = "slots(slot, feature) AS (SELECT cast(row_number() OVER (ORDER BY part, feature_order, feature) - 1 AS integer), feature FROM (" + (
+    " UNION ALL ".join([f"SELECT 0 AS part, {i} AS feature_order, {_s(c)} AS feature"
+                        for i, c in enumerate(c for c in _FEATURES if c in _NUMERIC)]
+                       + [f"SELECT 1, {i}, concat({_s(c + '_')}, level) FROM (SELECT DISTINCT coalesce({_q(c)}, '0') AS level "
+                          "FROM stage2 JOIN marked USING (client_id) WHERE is_test = 0)"
+                          for i, c in enumerate(c for c in _FEATURES if c in _TEXT)])) + "))"
+_BOTH = "(VALUES ('logistic'), ('tree')) f(family)"
+
+_MODELS = {
+    "train_folds": _with(f"SELECT client_id, {_LABEL}, is_test, fold FROM marked", *_MARKED),
+    "cv_scores": _with(f"SELECT family, fold, count(*) AS rows, cast(sum({_LABEL}) AS bigint) AS positives, true AS metrics_in_range "
+                       f"FROM marked CROSS JOIN {_BOTH} WHERE is_test = 0 GROUP BY family, fold", *_MARKED),
+    "train_and_select": _with(f"SELECT family, count(*) AS rows, cast(sum({_LABEL}) AS bigint) AS positives, true AS choice_is_best "
+                              f"FROM marked CROSS JOIN {_BOTH} WHERE is_test = 1 GROUP BY family", *_MARKED),
+    "model_report": _with(f"SELECT cast({_LABEL} AS varchar) AS class, count(*) AS support FROM marked WHERE is_test = 1 "
+                          f"GROUP BY {_LABEL}", *_MARKED),
+    "coefficients": _with("SELECT slot, feature FROM slots", *_MARKED, _SLOTS),
+    "train_logistic": _with("SELECT feature, true AS at_optimum FROM slots", *_MARKED, _SLOTS),
+    "importances": _with("SELECT count(*) AS slots, true AS sum_is_one, true AS none_negative FROM slots", *_MARKED, _SLOTS),
+    "train_tree": _with("SELECT count(*) AS rows, true AS leaves_are_large, true AS depth_is_bounded FROM marked "
+                        "WHERE is_test = 0", *_MARKED),
+    "score_batch": _with("SELECT client_id, true AS in_range, true AS flag_follows, true AS coefficients_agree FROM stage2"),
+}
+
 # Scores and explanations
 
 _SCORE = "1 / (1 + exp(-({} + {})))".format(standins.LINEAR_INTERCEPT, " + ".join(
@@ -448,4 +482,4 @@ _SCORES = {
         _CLEANED, _LINEAR, _FLAGGED),
 }
 
-ORACLE_SQL: dict[str, str] = {**_TABLES, **_PROFILE, **_METRICS, **_PREP, **_SCORES}
+ORACLE_SQL: dict[str, str] = {**_TABLES, **_PROFILE, **_METRICS, **_PREP, **_MODELS, **_SCORES}

@@ -14,21 +14,22 @@ from prospectra.sources import model_store, tables
 
 
 def score_table(fitted: PipelineModel, table: DataFrame, threshold: float = schema.FLAG_THRESHOLD,
-                id_col: str | None = None, label: str = schema.LABEL) -> DataFrame:
-    """(id, score, flag, is_train) of all rows, training rows included and marked.
+                id_col: str | None = None, label: str = schema.LABEL, how: dict | None = None) -> DataFrame:
+    """(id, score, flag) of all rows, training rows included.
 
-    The mark repeats the default split by hash; it says nothing about a model
-    trained on an exact split.
+    With ``how``, the split that was saved with the model, ``is_train`` marks
+    the rows that it put on the training side; an exact split needs the label.
     Without an id column the rows are numbered.
     """
     found = id_col or features.id_column(table)
     if found is None:
         table, found = features.with_row_ids(table), "row_id"
-    cleaned = features.clean_values(table.drop(label), (found,))
-    marked = split.split_by_hash(cleaned, found)
-    scored = model.with_score(fitted, marked, (found, "is_test"))
-    return scored.select(column(found), schema.SCORE, flag_at(F.col(schema.SCORE), threshold).alias(schema.FLAG),
-                         (1 - F.col("is_test")).alias("is_train"))
+    marks = ["is_train"] if how else []
+    if how:
+        table = table.withColumn("is_train", split.in_training(how, label, found))
+    cleaned = features.clean_values(table.drop(label), (found, *marks))
+    scored = model.with_score(fitted, cleaned, (found, *marks))
+    return scored.select(column(found), schema.SCORE, flag_at(F.col(schema.SCORE), threshold).alias(schema.FLAG), *marks)
 
 
 def explain_requests(fitted: PipelineModel, requests: DataFrame,
@@ -50,6 +51,6 @@ def run_scoring_job(spark: SparkSession, names: TableNames, model_path: str,
     saved = model_store.load_model(spark, model_path)
     table = spark.table(names.stage2)
     model_store.check_signature(table, saved.signature)
-    scored = score_table(saved.model, table, threshold).drop("is_train")
+    scored = score_table(saved.model, table, threshold)
     tables.write_table(scored, names.scored)
     tables.write_table(publish.prospects(spark.table(names.scored), spark.table(names.customers)), names.prospects)

@@ -13,11 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prospectra import schema
+from prospectra.functions.values import column
 from prospectra.operators import features, metrics, model, split
 from prospectra.session import write_and_read_back
 from prospectra.sources import model_store
 
 
+# Tasks that write one fold of one side.
+FILES_PER_FOLD = 64
+
+
 class Trained(NamedTuple):
     model: PipelineModel
     family: str
@@ -25,21 +30,35 @@ class Trained(NamedTuple):
     inputs: DataFrame
 
 
+def require_binary(table: DataFrame, label: str) -> None:
+    """Raise unless every label is 0 or 1: other rows would shift the class weights and vanish."""
+    odd = table.agg(F.count_if(F.coalesce(~column(label).isin(0, 1), F.lit(True)))).first()[0]
+    if odd:
+        raise ValueError(f"{odd} rows have a label in '{label}' that is neither 0 nor 1")
+
+
 def split_table(table: DataFrame, label: str = schema.LABEL, id_col: str = schema.ID,
-                exact: bool = False) -> DataFrame:
+                exact: bool = True) -> DataFrame:
     """The cleaned table with ``is_test`` and ``fold``, stored by both.
 
+    ``exact`` holds the class shares of both sides, and of the folds of each
+    side, to one id; without it both are drawn by a hash of the id.  Labels
+    must be 0 or 1.
+
     Storing cuts lineage for the many passes of training, and reading one side
     of the split or four of five folds skips the other directories.
     Infinities become 0 here: they have no mean to scale by.
     """
     features.require_columns(table, (label, id_col))
+    require_binary(table, label)
     cleaned = features.clean_values(table, (id_col, label))
     if exact:
-        marked = split.folds_exact(split.split_exact(cleaned, label, id_col), label, id_col)
+        marked = split.folds_exact(split.split_exact(cleaned, label, id_col), label, id_col, within="is_test")
     else:
         marked = split.assign_folds(split.split_by_hash(cleaned, id_col), id_col)
-    return write_and_read_back(marked, "split", ("is_test", "fold"))
+    # Rows of a directory come together first, so that each task does not write a file into every one.
+    spread = F.pmod(split.order_key(id_col, split.SEED), F.lit(FILES_PER_FOLD))
+    return write_and_read_back(marked.repartition("is_test", "fold", spread), "split", ("is_test", "fold"))
 
 
 def side(stored: DataFrame, is_test: int) -> DataFrame:
@@ -86,16 +105,22 @@ def cross_validate(stored: DataFrame, label: str = schema.LABEL, id_col: str = s
 
 
 def run_training_job(spark: SparkSession, feature_table: str, model_path: str, runs_table: str | None = None,
-                     label: str = schema.LABEL, id_col: str = schema.ID) -> str:
-    """Train on a stage 2 table, save the chosen model and note the run; returns the run id."""
+                     label: str = schema.LABEL, id_col: str = schema.ID, exact: bool = True) -> str:
+    """Train on a stage 2 table, save the chosen model and note the run; returns the run id.
+
+    How the rows were split is saved with the model.
+    """
     table = spark.table(feature_table)
     features.require_columns(table, (label,))
-    trained = train_and_select(split_table(table, label, id_col), label, id_col)
+    marked = split_table(table, label, id_col, exact)
+    trained = train_and_select(marked, label, id_col)
+    how = {"kind": "exact" if exact else "hash", "seed": split.SEED,
+           "cuts": split.class_cuts(marked, label, id_col) if exact else {}}
     best = trained.metrics.where(F.col("family") == trained.family).first()
     values = {"test_roc_auc": best.roc_auc, "test_pr_auc": best.average_precision}
     return model_store.save_model(
         trained.model, model_path, trained.family, trained.inputs.drop(label),
-        {k: v for k, v in values.items() if v is not None}, id_col, runs_table)
+        {k: v for k, v in values.items() if v is not None}, id_col, runs_table, how)
 
 
 def report_on_test(trained: Trained, stored: DataFrame, label: str = schema.LABEL) -> tuple[DataFrame, DataFrame]:

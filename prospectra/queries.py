@@ -6,12 +6,14 @@ import functools
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prospectra import schema, standins
-from prospectra.functions.values import clamped, column, flag_at, percent_text, segment
+from prospectra.functions.values import clamped, column, flag_at, missing_to_zero, percent_text, segment, text_or_zero
 from prospectra.operators import explain, features, label, metrics, model, prep, profile, publish, split
 from prospectra.plans import training
 from prospectra.session import shared_folder
@@ -301,49 +303,104 @@ def _fitted_for(application: str, sf_dir: str) -> training.Trained:
     return training.train_and_select(_split_for(application, sf_dir))
 
 
+def train_folds(spark, sf_dir):
+    """Which side and fold each customer is in, as every training job has it."""
+    return _split_table(spark, sf_dir).select(schema.ID, schema.LABEL, F.col("is_test").cast("int"), F.col("fold").cast("int"))
+
+
 def _trained(spark, sf_dir, family: str):
     train = training.side(_split_table(spark, sf_dir), 0)
     return model.fit_all(train, families=(family,))[family], train
 
 
+def _slots(spark, names) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(names)), "slot int, feature string")
+
+
 def train_logistic(spark, sf_dir):
+    """Per slot: whether the fitted coefficients are at the optimum of the penalised loss."""
     fitted, train = _trained(spark, sf_dir, "logistic")
-    return model.evaluate({"logistic": fitted}, train)
+    last, slots = fitted.stages[-1], model.feature_names(fitted, train)
+    vectors = PipelineModel(stages=fitted.stages[:-1]).transform(prep.with_class_weights(train))
+    at = F.aggregate(F.zip_with("x", F.lit(last.coefficients.toArray().tolist()), lambda x, b: x * b), F.lit(last.intercept),
+                     lambda total, t: total + t)
+    rows = vectors.select(vector_to_array(prep.FEATURES).alias("x"), prep.WEIGHT, schema.LABEL)
+    residuals = rows.select("x", (F.col(prep.WEIGHT) * (1 / (1 + F.exp(-at)) - column(schema.LABEL))).alias("r"))
+    sums = residuals.select(F.posexplode("x").alias("slot", "v"), "r").groupBy("slot").agg(
+        F.sum(F.col("v") * F.col("r")).alias("pull"), F.count("*").alias("n"))
+    penalty = F.element_at(F.lit(last.coefficients.toArray().tolist()), F.col("slot") + 1)
+    return sums.join(_slots(spark, slots), "slot").select(
+        "feature", (F.abs((F.col("pull") + penalty) / F.col("n")) < 1e-4).alias("at_optimum"))
 
 
 def train_tree(spark, sf_dir):
+    """The leaves of the fitted tree over its training rows, and its depth."""
     fitted, train = _trained(spark, sf_dir, "tree")
-    return model.evaluate({"tree": fitted}, train)
+    last = fitted.stages[-1].copy().setLeafCol("leaf")
+    leaves = PipelineModel(stages=[*fitted.stages[:-1], last]).transform(train).groupBy("leaf").count()
+    return leaves.agg(F.sum("count").alias("rows"), (F.min("count") >= model.TREE_LEAF_ROWS).alias("leaves_are_large"),
+                      F.lit(last.depth <= model.TREE_DEPTH).alias("depth_is_bounded"))
 
 
 def coefficients(spark, sf_dir):
+    """The slots of the model's own encoder in order: numbers, then the levels of each text column."""
     fitted, train = _trained(spark, sf_dir, "logistic")
-    return metrics.top_and_bottom(model.coefficients(fitted, train), "coefficient")
+    finite = model.coefficients(fitted, train).where(F.abs("coefficient") < float("inf"))
+    return finite.join(_slots(spark, model.feature_names(fitted, train)), "feature").select("slot", "feature")
 
 
 def importances(spark, sf_dir):
     fitted, train = _trained(spark, sf_dir, "tree")
-    return model.importances(fitted, train).orderBy(F.desc("importance"), "feature").limit(20)
+    return model.importances(fitted, train).agg(
+        F.count("*").alias("slots"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("sum_is_one"),
+        (F.min("importance") >= 0).alias("none_negative"))
+
+
+def _in_range(*names: str):
+    return F.forall(F.array(*names), lambda v: v.isNotNull() & (v >= 0) & (v <= 1))
 
 
 def cv_scores(spark, sf_dir):
-    return training.cross_validate(_split_table(spark, sf_dir))
+    found = training.cross_validate(_split_table(spark, sf_dir))
+    return found.select("family", "fold", "rows", "positives",
+                        _in_range("roc_auc", "average_precision").alias("metrics_in_range"))
 
 
 def train_and_select(spark, sf_dir):
+    """Both families on the test side, and whether the chosen one is the best by average precision."""
     trained = _fitted_for(spark.sparkContext.applicationId, sf_dir)
-    return trained.metrics.withColumn("chosen", F.col("family") == trained.family)
+    best = F.max("average_precision").over(Window.partitionBy())
+    chosen = F.col("family") == trained.family
+    return trained.metrics.select("family", "rows", "positives", "average_precision", chosen.alias("chosen"), best.alias("best")).select(
+        "family", "rows", "positives", (~F.col("chosen") | (F.col("average_precision") == F.col("best"))).alias("choice_is_best"))
 
 
 def model_report(spark, sf_dir):
+    """Rows of each class on the test side, as the chosen model's report counts them."""
     trained = _fitted_for(spark.sparkContext.applicationId, sf_dir)
-    return training.report_on_test(trained, _split_table(spark, sf_dir))[0]
+    report = training.report_on_test(trained, _split_table(spark, sf_dir))[0]
+    return report.where(F.col("class").isin("0", "1")).select("class", "support")
 
 
 def score_batch(spark, sf_dir):
-    trained = _fitted_for(spark.sparkContext.applicationId, sf_dir)
+    """Per customer: the score is a probability, the flag follows it, and the exported coefficients give it again."""
+    fitted, train = _trained(spark, sf_dir, "logistic")
     table = features.clean_values(standins.stage2_table(spark, sf_dir))
-    return model.score_batch(trained.model, table)
+    scaler, last = fitted.stages[1], fitted.stages[-1]
+    values = dict(zip(model.feature_names(fitted, train), last.coefficients.toArray().tolist()))
+    total = F.lit(last.intercept)
+    for c, mean, scale in zip(scaler.numeric_columns(), scaler.getOrDefault(scaler.means), scaler.getOrDefault(scaler.scales)):
+        total = total + (missing_to_zero(column(c)) - mean) / scale * values[c]
+    for c in features.categorical_columns(table):
+        levels = {n[len(c) + 1:]: v for n, v in values.items() if n.startswith(f"{c}_") and n not in table.columns}
+        known = F.create_map(*[F.lit(x) for pair in levels.items() for x in pair])
+        total = total + F.coalesce(F.try_element_at(known, text_or_zero(column(c))), F.lit(0.0))
+    again = table.select(column(schema.ID).alias("_id"), (1 / (1 + F.exp(-total))).alias("_again"))
+    scored = model.score_batch(fitted, table).join(again, column(schema.ID) == F.col("_id"))
+    score = F.col(schema.SCORE)
+    return scored.select(schema.ID, ((score >= 0) & (score <= 1)).alias("in_range"),
+                         (F.col(schema.FLAG) == (score >= schema.FLAG_THRESHOLD).cast("int")).alias("flag_follows"),
+                         (F.abs(score - F.col("_again")) < 1e-9).alias("coefficients_agree"))
 
 
 QUERIES: dict[str, Query] = {
@@ -389,6 +446,7 @@ QUERIES: dict[str, Query] = {
     "split_exact": split_exact,
     "kfold_assign": kfold_assign,
     "kfold_exact": kfold_exact,
+    "train_folds": train_folds,
     "score_linear": score_linear,
     "flag_scores": flag_scores,
     "segments": segments,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from datetime import datetime
 from typing import NamedTuple
 
 from pyspark.ml import PipelineModel
@@ -18,25 +19,29 @@ class SavedModel(NamedTuple):
     model: PipelineModel
     family: str
     signature: T.StructType
+    how: dict | None = None
 
 
-_META = "run_id string, family string, signature string"
+_META = "run_id string, family string, signature string, split string, saved_at timestamp"
 _RUNS = "run_id string, family string, metric string, value double, signature string"
 
 
 def save_model(model: PipelineModel, path: str, family: str, inputs: DataFrame, metrics: dict[str, float],
-               id_col: str, runs_table: str | None = None) -> str:
-    """Save the pipeline, its input schema and five example rows; note the run.
+               id_col: str, runs_table: str | None = None, how: dict | None = None) -> str:
+    """Save the pipeline, its input schema, five example rows and how the rows were split; note the run.
 
     Returns the run id.  ``inputs`` are the training rows as the model takes
-    them, raw columns included.
+    them, raw columns included.  Pipeline and example go to a folder of the
+    run; a small file that names the run is added last, so readers see the
+    model before or this one and never a mixture.
     """
     spark = inputs.sparkSession
     run_id = uuid.uuid4().hex
     signature = inputs.schema.json()
-    model.write().overwrite().save(f"{path}/pipeline")
-    spark.createDataFrame([(run_id, family, signature)], _META).write.mode("overwrite").parquet(f"{path}/meta")
-    inputs.orderBy(column(id_col)).limit(5).write.mode("overwrite").parquet(f"{path}/example")
+    model.write().save(f"{path}/{run_id}/pipeline")
+    inputs.orderBy(column(id_col)).limit(5).write.parquet(f"{path}/{run_id}/example")
+    meta = spark.createDataFrame([(run_id, family, signature, json.dumps(how), datetime.now())], _META)
+    meta.coalesce(1).write.mode("append").parquet(f"{path}/meta")
     if runs_table:
         rows = [(run_id, family, name, float(value), signature) for name, value in metrics.items()]
         spark.createDataFrame(rows, _RUNS).write.mode("append").saveAsTable(runs_table)
@@ -44,9 +49,9 @@ def save_model(model: PipelineModel, path: str, family: str, inputs: DataFrame,
 
 
 def load_model(spark: SparkSession, path: str) -> SavedModel:
-    meta = spark.read.schema(_META).parquet(f"{path}/meta").first()
-    return SavedModel(PipelineModel.load(f"{path}/pipeline"), meta.family,
-                      T.StructType.fromJson(json.loads(meta.signature)))
+    meta = spark.read.schema(_META).parquet(f"{path}/meta").orderBy(F.desc("saved_at")).first()
+    return SavedModel(PipelineModel.load(f"{path}/{meta.run_id}/pipeline"), meta.family,
+                      T.StructType.fromJson(json.loads(meta.signature)), json.loads(meta.split))
 
 
 def check_signature(df: DataFrame, signature: T.StructType) -> None:

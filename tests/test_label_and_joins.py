@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from prospectra import schema, standins
 from prospectra.operators import features, label, publish
-from prospectra.operators.joins import balanced_left_join
+from prospectra.operators.joins import _grid, balanced_left_join
 
 
 def plan_of(df):
@@ -75,6 +75,41 @@ def test_skewed_join_spreads_hot_and_null_keys(spark):
     assert max(r["count"] for r in sizes) < 11_000
 
 
+def sizes_of(spark, join):
+    """Rows per partition of a join that neither broadcasts nor adapts."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return [r["count"] for r in join().groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_identical_left_rows_are_spread(spark):
+    left = spark.range(60_000).select(F.when(F.col("id") < 30_000, 7).otherwise(F.col("id")).cast("long").alias("k"))
+    right = spark.createDataFrame([(7, "hot")], "rk long, tag string")
+    sizes = sizes_of(spark, lambda: balanced_left_join(left, right, "k", "rk"))
+    assert sum(sizes) == 60_000 and max(sizes) < 2 * 60_000 / 8
+
+
+def test_a_hot_right_key_is_spread(spark):
+    left = spark.range(10_000).select((F.col("id") + 1).alias("k"))
+    right = spark.range(30_000).select(F.when(F.col("id") < 20_000, 7).otherwise(F.col("id")).cast("long").alias("rk"), F.lit("t").alias("tag"))
+    want = left.join(right, F.col("k") == F.col("rk"), "left").count()
+    sizes = sizes_of(spark, lambda: balanced_left_join(left, right, "k", "rk"))
+    assert sum(sizes) == want == 29_999 and max(sizes) < 2 * want / 8
+
+
+def test_keys_hot_on_both_sides_give_the_plain_rows_without_many_copies(spark):
+    left = spark.range(900).select(F.when(F.col("id") < 300, 7).when(F.col("id") < 500, 8).otherwise(F.col("id")).cast("long").alias("k"), "id")
+    right = spark.range(600).select(F.when(F.col("id") < 200, 7).otherwise(F.col("id") + 400).cast("long").alias("rk"), F.col("id").alias("rid"))
+    got = balanced_left_join(left, right, "k", "rk")
+    plain = left.join(right, F.col("k") == F.col("rk"), "left")
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    assert max(_grid(300, 200, 256)) < 32
+
+
 def test_publication_filters_before_the_join(spark, sf_dir):
     scored = standins.scored(spark, sf_dir).select("client_id", "score", (F.col("score") > 0.5).cast("int").alias("flag"))
     plan = publish.prospects(scored, standins.customer_360(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()

@@ -150,7 +150,7 @@ def test_reading_one_side_prunes_directories(stored):
 def test_scores_are_probabilities_of_all_rows_without_python(spark, trained):
     table = features.clean_features(standins.stage1_table(spark, "/root/testdata/sf0.01"))
     out = scoring.score_table(trained.model, table)
-    assert out.columns == ["client_id", "score", "flag", "is_train"]
+    assert out.columns == ["client_id", "score", "flag"]
     rows = out.collect()
     assert len(rows) == 1500 and all(0 <= r.score <= 1 and r.flag == int(r.score >= 0.2) for r in rows)
     plan = out._jdf.queryExecution().executedPlan().toString()
@@ -178,7 +178,9 @@ def test_saved_model_scores_the_same(spark, stored, trained, tmp_path):
         model_store.check_signature(rows.drop("travel"), loaded.signature)
     noted = model_store.runs(spark, "runs_db.model_runs").where(F.col("run_id") == run_id).first()
     assert (noted.test_roc_auc, noted.test_pr_auc) == (0.5, 0.25)
-    assert spark.read.parquet(str(tmp_path / "m" / "example")).count() == 5
+    assert spark.read.parquet(str(tmp_path / "m" / run_id / "example")).count() == 5
+    newer = model_store.save_model(trained.model, str(tmp_path / "m"), "tree", rows.drop(schema.LABEL), {}, "client_id")
+    assert newer != run_id and model_store.load_model(spark, str(tmp_path / "m")).family == "tree"
 
 
 def test_id_can_be_kept_as_a_feature(stored):
@@ -206,3 +208,25 @@ def test_exact_split_table(spark):
     out = training.split_table(table, exact=True)
     shares = {(r[schema.LABEL], r.is_test): r["count"] for r in out.groupBy(schema.LABEL, "is_test").count().collect()}
     assert shares == {(0, 0): 935, (0, 1): 234, (1, 0): 265, (1, 1): 66}
+    for side in (0, 1):
+        for label in (0, 1):
+            folds = [r["count"] for r in out.where((F.col("is_test") == side) & (F.col(schema.LABEL) == label))
+                     .groupBy("fold").count().collect()]
+            assert len(folds) == 5 and max(folds) - min(folds) <= 1
+
+
+@pytest.mark.parametrize("odd", [None, 2])
+def test_labels_other_than_0_and_1_are_refused(spark, odd):
+    df = spark.createDataFrame([(1, 0, 1.0), (2, 1, 2.0), (3, odd, 3.0)], "client_id long, is_target_customer int, x double")
+    with pytest.raises(ValueError, match="1 rows have a label"):
+        training.split_table(df)
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_training_rows_are_marked_by_the_saved_split(spark, trained, exact):
+    table = standins.stage2_table(spark, "/root/testdata/sf0.01")
+    marked = training.split_table(table, exact=exact)
+    how = {"kind": "exact" if exact else "hash", "seed": split.SEED, "cuts": split.class_cuts(marked) if exact else {}}
+    out = scoring.score_table(trained.model, table, how=how)
+    both = out.join(marked.select("client_id", "is_test"), "client_id")
+    assert both.count() == 1500 and both.where(F.col("is_train") == F.col("is_test")).count() == 0

@@ -83,6 +83,24 @@ def test_correlation_equals_pandas(table):
             assert r.correlation == pytest.approx(want.loc[r.column_a, r.column_b], abs=1e-9)
 
 
+@pytest.mark.parametrize("parts", [1, 3, 11])
+def test_constants_have_no_correlation_and_gaps_first_do(spark, parts):
+    gap = F.when(F.col("id") >= 12_000, 1.7e9 + F.rand(3) * 100)
+    df = spark.range(40_000).select(gap.alias("late"), (gap * 2 + 1).alias("twice"), F.rand(5).alias("noise"),
+                                    F.lit(0.1).alias("tenth"), (F.lit(1.0) / 3).alias("third"), F.lit(1e-3).alias("small"),
+                                    F.lit(1e9 + 0.1).alias("large"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        df = df.coalesce(1) if parts == 1 else df.repartition(parts)
+        found = {(r.column_a, r.column_b): r.correlation for r in profile.correlation(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found["late", "twice"] == pytest.approx(1.0, abs=1e-6) and found["late", "late"] == 1.0
+    assert abs(found["late", "noise"]) < 0.05
+    constants = ("tenth", "third", "small", "large")
+    assert all(v is None for k, v in found.items() if set(k) & set(constants))
+
+
 def test_top_categories_and_describe(table):
     df, pdf = table
     counts = pdf.town.value_counts()
