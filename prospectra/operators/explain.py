@@ -6,7 +6,9 @@ explaining adds no shuffle and no Python to a scoring plan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prospectra import schema
@@ -35,18 +37,6 @@ INTEREST_LABELS = {
 }
 MODERN_CHANNELS = ("bank_transfer_payment", "credit_card_payment")
 
-# The drivers that readers are told about.
-KEY_DRIVERS = ("ecomm_counts", "occupancy_IN24", "yearly_payment", "occupancy_SA33", "occupancy_IN23")
-
-DRIVER_TEXTS = {
-    "ecomm_counts": "More online purchases go with a higher response to add-on cover.",
-    "occupancy_IN24": "This occupation group buys the product more often than others.",
-    "yearly_payment": "Paying once a year points to commitment and room for a further policy.",
-    "occupancy_SA33": "This occupation group has answered earlier offers above average.",
-    "occupancy_IN23": "This occupation group adds to the score and suits cross-selling.",
-}
-
-
 def _rules(score: Column, medium: float) -> dict[str, tuple[Column, Column]]:
     """Rule name -> (when it speaks, what it says), in reading order."""
     ages, interests = joined_labels(AGE_LABELS), joined_labels(INTEREST_LABELS)
@@ -65,10 +55,6 @@ def _rules(score: Column, medium: float) -> dict[str, tuple[Column, Column]]:
     }
 
 
-RULES = ("age", "relationship", "yearly", "monthly", "online", "channel", "premium", "policies", "interests",
-         "segment")
-
-
 def explanation_rules(score: Column, medium: float = schema.FLAG_THRESHOLD) -> Column:
     """Names of the rules that apply, in order."""
     return F.array_compact(F.array(*[F.when(on, F.lit(n)) for n, (on, _) in _rules(score, medium).items()]))
@@ -90,15 +76,28 @@ def explanation_counts(scored: DataFrame, medium: float = schema.FLAG_THRESHOLD)
             .groupBy("rule").agg(F.count("*").alias("customers")))
 
 
-def driver_texts(features: DataFrame, texts: dict[str, str] | None = None, name: str = "feature") -> DataFrame:
-    """Join driver names to their texts whatever their case; names without a text are left out."""
-    texts = texts or DRIVER_TEXTS
-    dim = features.sparkSession.createDataFrame(
-        [(k.lower(), v) for k, v in texts.items()], "_key string, text string")
-    return features.join(F.broadcast(dim), F.lower(column(name)) == F.col("_key")).drop("_key")
+def key_drivers(coefficients: DataFrame, k: int = 5, name: str = "feature", value: str = "coefficient") -> DataFrame:
+    """(feature, coefficient, rank) of the k strongest coefficients of a fitted model, either sign; ties by name."""
+    strength = F.abs(column(value))
+    top = coefficients.select(column(name), column(value)).orderBy(F.desc_nulls_last(strength), column(name)).limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last(strength), column(name))))
+
+
+def driver_texts(drivers: DataFrame, texts: DataFrame | None = None, name: str = "feature") -> DataFrame:
+    """Add ``text`` to ``key_drivers``: the caller's, matched whatever the case, else a sentence from sign and rank.
+
+    ``texts`` has (feature, text).
+    """
+    direction = F.when(F.col("coefficient") >= 0, F.lit("raises")).otherwise(F.lit("lowers"))
+    own = F.concat(F.lit("Driver "), F.col("rank"), F.lit(": "), column(name), F.lit(" "), direction, F.lit(" the score."))
+    if texts is None:
+        return drivers.withColumn("text", own)
+    given = texts.select(F.lower("feature").alias("_key"), F.col("text").alias("_text")).dropDuplicates(["_key"])
+    found = drivers.join(given, F.lower(column(name)) == F.col("_key"), "left")
+    return found.withColumn("text", F.coalesce("_text", own)).drop("_key", "_text")
 
 
-def active_drivers(df: DataFrame, drivers: tuple[str, ...] = KEY_DRIVERS) -> DataFrame:
+def active_drivers(df: DataFrame, drivers: Sequence[str]) -> DataFrame:
     """(feature, customers): how many customers have each driver, by column or by level.
 
     A driver that is no column is read as ``column_level``.

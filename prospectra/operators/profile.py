@@ -58,9 +58,10 @@ def value_counts(long: DataFrame, by: Sequence[str] = (_POS,)) -> DataFrame:
 
 def _missing_by_column(df: DataFrame) -> DataFrame:
     """(pos, rows, missing), one row per column."""
-    marks = df.select(*[is_missing(column(f.name), f.dataType).cast("int").alias(f.name) for f in df.schema.fields])
-    return (_exploded(marks, df.columns, "int", ()).groupBy(_POS)
-            .agg(F.count("*").alias("rows"), F.sum(_VALUE).alias("missing")))
+    # One plain aggregate, then one row to turn: half the time of counting exploded cells.
+    counts = df.agg(F.count("*").alias("rows"), F.array(*[
+        F.count_if(is_missing(column(f.name), f.dataType)) for f in df.schema.fields]).alias("all_missing"))
+    return counts.select(F.posexplode("all_missing").alias(_POS, "missing"), "rows").select(_POS, "rows", "missing")
 
 
 def class_distribution(df: DataFrame, label: str = schema.LABEL, digits: int = 2) -> DataFrame:
@@ -112,12 +113,19 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     standard deviation undefined, given as NULL.
     """
     columns = columns or numeric_columns(df)
-    cells = _exploded(df, columns, "double", ()).withColumn(_VALUE, nan_to_null(F.col(_VALUE)))
-    moments = cells.groupBy(_POS).agg(
-        F.count(_VALUE).alias("count"), nan_to_null(F.avg(_VALUE)).alias("mean"),
-        nan_to_null(F.stddev_samp(_VALUE)).alias("std"),
-        F.min(_VALUE).alias("min"), F.max(_VALUE).alias("max"))
-    quartiles = quantiles(stored(value_counts(long_numeric(df, columns))), _VALUE, "n", (0.25, 0.5, 0.75), (_POS,))
+    # The table is read once; everything else comes from its stored value counts.
+    counts = stored(value_counts(long_numeric(df, columns)))
+    value, n = F.col(_VALUE), F.col("n")
+    sums = counts.groupBy(_POS).agg(F.sum("n").alias("count"), (F.sum(value * n) / F.sum("n")).alias("mean"),
+                                    F.min(_VALUE).alias("min"), F.max(_VALUE).alias("max"))
+    apart = value - F.col("mean")
+    spread = (counts.join(sums.select(_POS, "mean", "count"), _POS).groupBy(_POS)
+              .agg(F.sqrt(F.try_divide(F.sum(apart * apart * n), F.first("count") - 1)).alias("std")))
+    every = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias(_POS))
+    moments = every.join(sums, _POS, "left").join(spread, _POS, "left").select(
+        _POS, F.coalesce("count", F.lit(0)).alias("count"), nan_to_null(F.col("mean")).alias("mean"),
+        nan_to_null(F.col("std")).alias("std"), "min", "max")
+    quartiles = quantiles(counts, _VALUE, "n", (0.25, 0.5, 0.75), (_POS,))
     return _named(moments.join(quartiles, _POS, "left"), columns).select(
         _NAME, "count", "mean", "std", "min",
         *[F.get("quantiles", F.lit(i)).alias(q) for i, q in enumerate(("q25", "q50", "q75"))], "max")

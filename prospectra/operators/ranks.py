@@ -14,6 +14,7 @@ once, and a lost executor costs a re-read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,38 +23,53 @@ from pyspark.sql import functions as F
 from prospectra.functions.values import column
 from prospectra.session import write_and_read_back
 
-# 2**10 - 1 cut points make 1,024 buckets per group.
-_BITS = 10
-_PROBS = [i / 2 ** _BITS for i in range(1, 2 ** _BITS)]
-_STEPS = [2 ** b for b in reversed(range(_BITS))]
+# Distinct values that a bucket should hold, and the fewest and most bits of buckets per group.
+BUCKET_ROWS = 50_000
+_LEAST_BITS, _MOST_BITS = 4, 14
+# Sketches of a group that are merged side by side before the last merge.
+PARTS = 16
+
+
+def bucket_bits(rows: int, target: int) -> int:
+    """As many buckets as the counts need, a power of two."""
+    return min(_MOST_BITS, max(_LEAST_BITS, math.ceil(math.log2(max(rows / target, 1)))))
 
 
 def stored(counts: DataFrame) -> DataFrame:
     return write_and_read_back(counts, "value-counts")
 
 
-def bucketed(counts: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+def bucketed(counts: DataFrame, value: str, by: Sequence[str], target: int | None = None) -> DataFrame:
     """Add ``_bucket``: the number of cut points at or below the value.
 
-    The groups must be few (columns, labels, folds, models): one row of cut
-    points per group is broadcast.
+    The number of cut points follows the number of stored counts.  Sketches
+    are merged per group and part first, then per group, and the cut points are
+    stored, so that every reader of the buckets gets the same ones.
     """
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(column(value), _PROBS, 10_000).alias("_cuts"))
-    return (counts.join(F.broadcast(cuts), list(by))
-            .withColumn("_bucket", _search("_cuts", column(value))).drop("_cuts"))
-
-
-def _search(cuts: str, value: Column) -> Column:
+    bits = bucket_bits(counts.count(), target or BUCKET_ROWS)
+    probs = [i / 2 ** bits for i in range(1, 2 ** bits)]
+    # Equal steps through each part's values, then through all parts' steps: close to even is enough.
+    part = F.pmod(F.xxhash64(column(value)), F.lit(PARTS)).alias("_part")
+    steps = (counts.select(*by, part, column(value).alias("_v")).groupBy(*by, "_part")
+             .agg(F.percentile_approx("_v", probs, 10 * 2 ** bits).alias("_steps")))
+    cuts = write_and_read_back(
+        steps.select(*by, F.explode("_steps").alias("_v")).groupBy(*by)
+        .agg(F.percentile_approx("_v", probs, 10 * 2 ** bits).alias("_cuts")), "cut-points")
+    return (counts.join(cuts, list(by))
+            .withColumn("_bucket", _search("_cuts", column(value), bits)).drop("_cuts"))
+
+
+def _search(cuts: str, value: Column, bits: int) -> Column:
     """Binary search for the number of sorted cut points <= value."""
     def step(found: Column, width: Column) -> Column:
         probe = found + width
         return F.when(F.element_at(cuts, probe) <= value, probe).otherwise(found)
 
-    return F.aggregate(F.array(*[F.lit(s) for s in _STEPS]), F.lit(0), step)
+    return F.aggregate(F.array(*[F.lit(2 ** b) for b in reversed(range(bits))]), F.lit(0), step)
 
 
 def _bucket_offsets(placed: DataFrame, sums: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Per bucket, the totals of all lower buckets (at most 1,024 rows per group)."""
+    """Per bucket, the totals of all lower buckets (at most ``2 ** 14`` rows per group)."""
     totals = placed.groupBy(*by, "_bucket").agg(*[F.sum(column(s)).alias(f"_total_{s}") for s in sums])
     lower = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(*by, "_bucket", *[f"_total_{s}" for s in sums], *[

@@ -465,13 +465,14 @@ _SCORES = {
         f"SELECT '{name}' AS rule, count(*) AS customers FROM explained WHERE {on} HAVING count(*) > 0"
         for name, on, _ in _rule_rows()), _CLEANED, _LINEAR, _EXPLAINED),
     "driver_texts": _with(
-        "SELECT h.feature, count(*) AS customers, t.text FROM ("
-        "SELECT 'ecomm_counts' AS feature FROM stage2 WHERE ecomm_counts > 0 UNION ALL "
-        "SELECT 'yearly_payment' FROM stage2 WHERE yearly_payment > 0 UNION ALL "
-        "SELECT concat('occupancy_', occupancy) FROM stage2 WHERE occupancy IN ('IN24', 'SA33', 'IN23')) h "
-        "JOIN driver_dim t ON lower(h.feature) = lower(t.feature) GROUP BY h.feature, t.text",
-        "driver_dim(feature, text) AS (VALUES " + _list(
-            f"({_s(k)}, {_s(v)})" for k, v in explain.DRIVER_TEXTS.items()) + ")"),
+        "SELECT feature, coalesce(text, 'Driver ' || rank || ': ' || feature || CASE WHEN coefficient >= 0 THEN ' raises' "
+        "ELSE ' lowers' END || ' the score.') AS text, customers FROM (SELECT *, row_number() OVER (ORDER BY abs(coefficient) DESC, "
+        "feature) AS rank FROM given) JOIN held USING (feature) LEFT JOIN texts t ON lower(t.key) = lower(feature) WHERE rank <= 3 "
+        "AND customers > 0",
+        "given(feature, coefficient) AS (VALUES " + _list(f"({_s(k)}, {v}::double)" for k, v in standins.LINEAR_WEIGHTS.items()) + ")",
+        "texts(key, text) AS (VALUES " + _list(f"({_s(k)}, {_s(v)})" for k, v in standins.DRIVER_TEXTS.items()) + ")",
+        "held AS (" + " UNION ALL ".join(f"SELECT {_s(c)} AS feature, count(*) FILTER (WHERE {_q(c)} > 0) AS customers FROM stage2"
+                                         for c in standins.LINEAR_WEIGHTS) + ")"),
     "prospects": _with(
         f"SELECT {_rounded(schema.CUSTOMER_COLUMNS)}, score, 1::integer AS flag FROM flagged "
         "LEFT JOIN fx_customer_360 ON client_id = scored_id", _CLEANED, _LINEAR, _FLAGGED),

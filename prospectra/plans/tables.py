@@ -21,11 +21,14 @@ class TableNames(NamedTuple):
 
 
 def ingest(spark: SparkSession, transactions_csv: str, customers_csv: str, names: TableNames,
-           customer_types=None) -> None:
-    """Land both CSV files as tables: ';' separated transactions, ',' separated customers."""
-    tables.write_table(landing.read_csv(spark, transactions_csv, ";", schema.transaction_schema()),
+           customer_types=None, multi_line: bool = False) -> None:
+    """Land both CSV files as tables: ';' separated transactions, ',' separated customers.
+
+    ``multi_line`` is for files with line breaks inside quotes; it reads each file in one task.
+    """
+    tables.write_table(landing.read_csv(spark, transactions_csv, ";", schema.transaction_schema(), multi_line),
                        names.transactions)
-    tables.write_table(landing.read_csv(spark, customers_csv, ",", customer_types or schema.customer_schema()),
+    tables.write_table(landing.read_csv(spark, customers_csv, ",", customer_types or schema.customer_schema(), multi_line),
                        names.customers)
 
 

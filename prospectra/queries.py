@@ -81,7 +81,8 @@ def csv_transactions(spark, sf_dir):
     rows = standins.transactions(spark, sf_dir)
     landed = rows.select(F.col(schema.ACCOUNT).alias("AccountID"),
                          F.concat(F.lit('say "'), schema.PRODUCT, F.lit('";\nnext')).alias("CNTTYPE desc"), "order_id")
-    return landing.read_csv(spark, _landed(landed, ";"), ";", schema.transaction_schema().add("order_id", T.LongType()))
+    return landing.read_csv(spark, _landed(landed, ";"), ";", schema.transaction_schema().add("order_id", T.LongType()),
+                            multi_line=True)
 
 
 def csv_customers(spark, sf_dir):
@@ -272,7 +273,12 @@ def explanation_counts(spark, sf_dir):
 
 
 def driver_texts(spark, sf_dir):
-    return explain.driver_texts(explain.active_drivers(standins.stage2_table(spark, sf_dir)))
+    """The strongest given coefficients, their texts, and how many customers have each."""
+    given = spark.createDataFrame(list(standins.LINEAR_WEIGHTS.items()), "feature string, coefficient double")
+    drivers = explain.key_drivers(given, k=3)
+    texts = spark.createDataFrame(list(standins.DRIVER_TEXTS.items()), "feature string, text string")
+    held = explain.active_drivers(standins.stage2_table(spark, sf_dir), list(standins.LINEAR_WEIGHTS))
+    return explain.driver_texts(drivers, texts).join(held, "feature").select("feature", "text", "customers")
 
 
 def prospects(spark, sf_dir):

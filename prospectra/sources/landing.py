@@ -5,22 +5,22 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prospectra.functions.values import column
 
 
 def read_csv(spark: SparkSession, path: str | list[str], sep: str = ";", types: T.StructType | None = None,
-             multi_line: bool = True) -> DataFrame:
+             multi_line: bool = False) -> DataFrame:
     """Read quoted CSV with a header and normalised column names.
 
     With ``types`` only the header line is looked at before the read and the
     named columns are cast afterwards (a value that does not fit is NULL);
     without it Spark infers types in one extra pass over the files.
 
-    ``multi_line`` allows line breaks inside quotes, at the price of one task
-    per file.  Land many files, or turn it off where no value has line breaks
-    so that files are split.
+    Files are split over tasks, so a line break ends a row.  ``multi_line``
+    allows line breaks inside quotes, at the price of one task per file.
     """
     options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line,
                "mode": "PERMISSIVE", "inferSchema": types is None}
@@ -41,6 +41,18 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
+def misfits(raw: DataFrame, types: T.StructType) -> DataFrame:
+    """(column_name, misfits): how many present values of each typed column do not fit, in one pass.
+
+    ``raw`` is the landed table as text, before ``cast_columns``.
+    """
+    named = [f for f in types.fields if f.name in raw.columns]
+    counts = raw.agg(F.array(*[F.count_if(column(f.name).isNotNull() & column(f.name).try_cast(f.dataType).isNull())
+                               for f in named]).alias("n"))
+    names = F.array(*[F.lit(f.name) for f in named])
+    return counts.select(F.posexplode("n").alias("pos", "misfits")).select(F.get(names, F.col("pos")).alias("column_name"), "misfits")
+
+
 def cast_columns(df: DataFrame, types: Mapping[str, T.DataType]) -> DataFrame:
     """Cast the named columns; values that do not fit become NULL."""
     return df.select(*[column(c).try_cast(types[c]).alias(c) if c in types else column(c) for c in df.columns])

@@ -103,6 +103,8 @@ LINEAR_WEIGHTS = {
     "lapse_counts": -0.20,
 }
 LINEAR_INTERCEPT = -1.50
+# Texts that a caller gives for some drivers; the rest get a sentence of their own.
+DRIVER_TEXTS = {"ECOMM_counts": "Buys online.", "lapse_counts": "Let policies lapse."}
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

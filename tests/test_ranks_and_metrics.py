@@ -129,5 +129,6 @@ def test_buckets_split_a_skewed_frame(spark):
     """One value with most of the rows is one counted row; the rest spread over the buckets."""
     values = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.col("id") / 40_000.0).alias("v"))
     counts = values.groupBy("v").agg(F.count("*").alias("n")).withColumn("g", F.when(F.col("v") >= 0, "a"))
-    sizes = bucketed(counts, "v", ("g",)).groupBy("_bucket").count().collect()
-    assert len(sizes) > 1000 and max(r["count"] for r in sizes) < 5 * 26_700 / 1024
+    few, many = (bucketed(counts, "v", ("g",), target).groupBy("_bucket").count().collect() for target in (10_000, 30))
+    assert len(many) > 900 and max(r["count"] for r in many) < 5 * 26_700 / 1024
+    assert len(few) <= 16 and max(r["count"] for r in few) > 4 * max(r["count"] for r in many)

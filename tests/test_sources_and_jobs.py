@@ -19,11 +19,17 @@ def test_csv_options(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text(CSV)
     types = T.StructType().add("account_id", T.LongType()).add("amount", T.DoubleType())
-    df = landing.read_csv(spark, str(path), ";", types)
+    df = landing.read_csv(spark, str(path), ";", types, multi_line=True)
     assert df.columns == ["account_id", "cnttype_desc", "amount"]
     assert [tuple(r) for r in df.collect()] == [(1, 'say "hi"', None), (2, "two\nlines", None), (None, None, 7.0)]
 
 
+def test_misfits_are_counted(spark):
+    raw = spark.createDataFrame([("1", "2.5", "x"), ("a", None, "y"), ("", "1,5", "z")], "i string, d string, s string")
+    types = T.StructType().add("i", T.LongType()).add("d", T.DoubleType()).add("absent", T.LongType())
+    assert {r.column_name: r.misfits for r in landing.misfits(raw, types).collect()} == {"i": 2, "d": 1}
+
+
 def test_csv_inference_and_comma(spark, tmp_path):
     path = tmp_path / "c.csv"
     path.write_text("Client ID,Name\n1,a\n2,b\n")
@@ -140,7 +146,11 @@ def test_explanations_need_no_shuffle_and_no_python(spark, chain):
     assert all(text.endswith("potential.") for text in last)
 
 
-def test_driver_texts_ignore_case(spark):
-    names = spark.createDataFrame([("Ecomm_Counts",), ("Occupancy_IN24",), ("other",)], "feature string")
-    found = {r.feature for r in explain.driver_texts(names).collect()}
-    assert found == {"Ecomm_Counts", "Occupancy_IN24"}
+def test_key_drivers_and_their_texts(spark):
+    fitted = spark.createDataFrame([("Ecomm_Counts", 0.5), ("b", -0.9), ("a", 0.1), ("none", None)], "feature string, coefficient double")
+    texts = spark.createDataFrame([("ECOMM_COUNTS", "Buys online."), ("unused", "x")], "feature string, text string")
+    drivers = explain.key_drivers(fitted, k=3)
+    assert [(r.feature, r["rank"]) for r in drivers.orderBy("rank").collect()] == [("b", 1), ("Ecomm_Counts", 2), ("a", 3)]
+    found = {r.feature: r.text for r in explain.driver_texts(drivers, texts).collect()}
+    assert found == {"Ecomm_Counts": "Buys online.", "b": "Driver 1: b lowers the score.", "a": "Driver 3: a raises the score."}
+    assert explain.driver_texts(drivers).where("text is null").count() == 0
