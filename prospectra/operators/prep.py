@@ -22,6 +22,8 @@ from prospectra.operators.features import categorical_columns, numeric_columns,
 
 # Columns per aggregate: longer lists no longer compile to one fast method.
 STATISTICS_PER_AGGREGATE = 15
+# Levels that a text column may have; each is a slot of the vector and a value on the driver.
+MOST_LEVELS = 10_000
 FEATURES = "features"
 WEIGHT = "class_weight"
 
@@ -110,15 +112,32 @@ def one_hot_long(df: DataFrame, id_col: str = schema.ID, columns: Sequence[str]
     return df.select(column(id_col), F.explode(levels).alias("feature"), F.lit(1.0).alias("value"))
 
 
-def preparation_stages(df: DataFrame, exclude: Sequence[str] = (schema.ID, schema.LABEL)) -> list:
+def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, levels): distinct values per text column, missing counted as one, found in one distributed pass."""
+    names = F.array(*[F.lit(c) for c in columns])
+    cells = df.select(F.posexplode(F.array(*[text_or_zero(column(c)) for c in columns])).alias("pos", "value"))
+    return (cells.groupBy("pos", "value").agg(F.lit(1).alias("one")).groupBy("pos").agg(F.count("*").alias("levels"))
+            .select(F.get(names, F.col("pos")).alias("column_name"), "levels"))
+
+
+def check_levels(df: DataFrame, columns: Sequence[str], most: int = MOST_LEVELS) -> None:
+    """Raise, naming the columns, where one has more than ``most`` levels."""
+    wide = level_counts(df, columns).where(F.col("levels") > most).orderBy("column_name").collect() if columns else []
+    if wide:
+        raise ValueError(f"more than {most} levels: " + ", ".join(f"{r.column_name} ({r.levels})" for r in wide))
+
+
+def preparation_stages(df: DataFrame, exclude: Sequence[str] = (schema.ID, schema.LABEL),
+                       most_levels: int = MOST_LEVELS) -> list:
     """Stages from raw columns to the vector ``features``: numbers first, then levels.
 
     The level lists of the text columns are the only thing that reaches the
-    driver.  A level not seen in training has all its slots at zero: indexing
+    driver; a column with more than ``most_levels`` is refused first.  A level not seen in training has all its slots at zero: indexing
     keeps it as an extra last level and encoding drops the last.
     """
     reject_untyped(df, exclude)
     numeric, text = numeric_columns(df, exclude), categorical_columns(df, exclude)
+    check_levels(df, text, most_levels)
     stages = [MissingValueFiller(numeric=numeric, categorical=text), PopulationScaler(numeric=numeric)]
     indexed, encoded = [f"{c}__index" for c in text], [f"{c}__levels" for c in text]
     if text:

@@ -70,6 +70,13 @@ def test_unseen_level_is_all_zero(spark):
     assert vectors == [[0.0, 1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 0.0]]
 
 
+def test_columns_with_too_many_levels_are_refused_by_name(spark):
+    df = spark.range(50).select(F.col("id").cast("string").alias("free"), F.lit("a").alias("fixed"))
+    assert {r.column_name: r.levels for r in prep.level_counts(df, ["free", "fixed"]).collect()} == {"free": 50, "fixed": 1}
+    with pytest.raises(ValueError, match=r"free \(50\)"):
+        prep.preparation_stages(df, (), most_levels=10)
+
+
 def test_class_weights(spark):
     df = spark.createDataFrame([(0,), (0,), (0,), (1,)], "is_target_customer int")
     assert {r[0]: r.weight for r in prep.class_weights(df).collect()} == {0: pytest.approx(4 / 6), 1: 2.0}
