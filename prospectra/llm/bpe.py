@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prospectra.llm.common import free_name, in_slices, limit_batches
+from prospectra.llm.common import SLICE_BYTES, free_name, in_slices, limit_batches
 
-# Pre-tokens that a task remembers; beyond, it starts afresh.
-REMEMBERED = 150_000
+# Pre-tokens that a task remembers; beyond, it keeps those of the texts at hand.
+REMEMBERED = 300_000
 REMEMBERED_BYTES = 64
 
 
@@ -90,11 +90,17 @@ class Codec:
         self.ranks = ranks
         self.pieces = {rank: piece for piece, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
+        self._one = np.array([ranks.get(bytes([a]), -1) for a in range(256)])
         self._two = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
         self._known: dict[str, bytes] = {}
 
     def merge_all(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each byte string, all worked through one rank queue.
+        """The ids of each byte string, all worked through one rank queue."""
+        ids, ends = self._merged(words)
+        return [part.tolist() for part in np.split(ids, ends[:-1])] if words else []
+
+    def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids in one row, and where each word's end.
 
         Merging makes a longer string, so no new pair falls into the bucket at
         hand; if one falls below it, the queue turns there first.
@@ -106,6 +112,8 @@ class Codec:
         np.frombuffer(border, np.uint8)[starts] = 1
         after = list(range(1, size + 1))    # start of the next part
         before = list(range(-1, size - 1))  # start of the part before
+        token = self._one[np.frombuffer(data, np.uint8)].tolist()  # id of the part that starts here
+        gone = bytearray(size)              # no part starts here any more
         queue, pair = self._pairs(data, border)
         buckets, start = queue.buckets, queue.open
         rank = queue.first()
@@ -119,6 +127,8 @@ class Codec:
                     continue                # stale
                 j = after[i]
                 k = after[i] = after[j]
+                token[i] = rank
+                gone[j] = 1
                 pair[i] = pair[j] = -1
                 if not border[k]:
                     before[k] = i
@@ -142,14 +152,8 @@ class Codec:
             if not bucket:
                 queue.close(rank)
             rank = queue.first()
-        out, at, ranks = [], 0, self.ranks
-        for w in words:
-            end, ids = at + len(w), []
-            while at < end:
-                ids.append(ranks[data[at:after[at]]])
-                at = after[at]
-            out.append(ids)
-        return out
+        stays = np.frombuffer(gone, np.uint8) == 0
+        return np.array(token, np.uint32)[stays], np.concatenate([[0], np.cumsum(stays)])[starts[1:]]
 
     def _pairs(self, data: bytes, border: bytearray) -> tuple[RankQueue, list[int]]:
         """The queue of all adjacent bytes' ranks, and the rank at each position (-1: none)."""
@@ -168,21 +172,29 @@ class Codec:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         pieces = [self.split(t) for t in texts]
         if len(self._known) > REMEMBERED:
-            self._known = {}
-        known = self._known
+            # What occurs here is what is most likely to occur next.
+            self._known = {p: b for p in {p for parts in pieces for p in parts} if (b := self._known.get(p)) is not None}
+        known, look_up = self._known, self._known.get
+        found = [list(map(look_up, parts)) for parts in pieces]
+        fresh = {p for parts, ids in zip(pieces, found) if None in ids for p, i in zip(parts, ids) if i is None}
         rest = []
-        for p in {p for parts in pieces for p in parts if p not in known}:
+        for p in fresh:
             data = p.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(data)
             if whole is None:
-                rest.append((p, data))
+                rest.append((data, p))
             else:
                 known[p] = whole.to_bytes(4, "little")
-        rest.sort()
-        for (p, _), ids in zip(rest, self.merge_all([b for _, b in rest]) if rest else []):
-            known[p] = b"".join([i.to_bytes(4, "little") for i in ids])
-        out = [b"".join([known[p] for p in parts]) for parts in pieces]
-        for p, data in rest:
+        if rest:
+            rest.sort()
+            ids, ends = self._merged([data for data, _ in rest])
+            packed, at = ids.astype("<u4").tobytes(), 0
+            for (_, p), end in zip(rest, (ends * 4).tolist()):
+                known[p] = packed[at:end]
+                at = end
+        out = [b"".join(ids) if None not in ids else b"".join([known[p] if i is None else i for p, i in zip(parts, ids)])
+               for parts, ids in zip(pieces, found)]
+        for data, p in rest:
             if len(data) > REMEMBERED_BYTES:
                 del known[p]
         return out
@@ -217,7 +229,7 @@ def _no_cycle_search() -> Iterator[None]:
 def _codec_run(at: int, names: list[str], vocabulary: str, pattern: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary, pattern)
-        for batch in in_slices(batches, at):
+        for batch in in_slices(batches, at, 2 * SLICE_BYTES):
             with _no_cycle_search():
                 ids = own.encode_batch([t or "" for t in batch.column(at).to_pylist()])
                 made = [ids, [own.decode(memoryview(b).cast("I")) for b in ids]][:len(names)]
