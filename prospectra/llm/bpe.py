@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prospectra.llm.common import SLICE_BYTES, free_name, in_slices, limit_batches
+from prospectra.llm.common import SLICE_BYTES, free_name, in_slices, ready_for_python
 
 # Pre-tokens that a task remembers; beyond, it keeps those of the texts at hand.
 REMEMBERED = 300_000
@@ -246,7 +246,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: st
            pattern: str | None = None) -> DataFrame:
     """``docs`` with the token ids of ``text``, as little-endian unsigned 32-bit numbers.  No shuffle."""
     names = [free_name(docs.columns, ids)]
-    limit_batches(docs)
+    ready_for_python(docs)
     return docs.mapInArrow(_codec_run(docs.columns.index(text), names, vocabulary or default_vocabulary(),
                                       pattern or default_pattern()), _added(docs, names))
 
@@ -255,7 +255,7 @@ def round_trip(docs: DataFrame, text: str = "text", ids: str = "ids", decoded: s
                vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """As ``encode``, with the bytes that the ids decode to, in the same pass."""
     names = [free_name(docs.columns, ids), free_name(docs.columns, decoded)]
-    limit_batches(docs)
+    ready_for_python(docs)
     return docs.mapInArrow(_codec_run(docs.columns.index(text), names, vocabulary or default_vocabulary(),
                                       pattern or default_pattern()), _added(docs, names))
 
@@ -264,7 +264,7 @@ def decode(encoded: DataFrame, ids: str = "ids", decoded: str = "decoded", vocab
            pattern: str | None = None) -> DataFrame:
     """``encoded`` with the bytes that its ids stand for; NULL ids stay NULL."""
     vocabulary, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
-    limit_batches(encoded)
+    ready_for_python(encoded)
     at, names = encoded.columns.index(ids), [free_name(encoded.columns, decoded)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prospectra.llm.common import ready_for_python
+
 
 @dataclass(frozen=True)
 class Turn:
@@ -129,6 +131,7 @@ def _write(template: Template):
 def format_conversations(rows: DataFrame, template: Template | None = None, conv_id: str = "conv_id", turn: str = "turn",
                          role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, segment, turn, text, loss, problem): the segments of every conversation, in order."""
+    ready_for_python(rows)
     ordered = (rows.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"),
                            F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
                .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text"))
@@ -206,6 +209,7 @@ def _read(template: Template):
 
 def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
     """One row per conversation, parsed from its segments: turn and loss digests, lengths, problems."""
+    ready_for_python(segments)
     ordered = (segments.select("conv_id", "segment", "text", "loss", "problem")
                .repartition("conv_id").sortWithinPartitions("conv_id", "segment"))
     return ordered.mapInArrow(_read(template or Template()), _DIGESTS)

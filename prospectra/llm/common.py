@@ -7,7 +7,10 @@ and ``bytes.lower()`` changes A-Z only, so word work is done on UTF-8 bytes.
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Iterable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +40,29 @@ def small_or_plain(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(side) if side.count() <= rows else side
 
 
-def limit_batches(df: DataFrame, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's Arrow batches to ``rows`` rows, where they are larger.
+_shipped: set[str] = set()
 
-    A batch of texts lies in memory several times, on both sides of the pipe
-    to Python; at the default of 10,000 rows that is hundreds of MB per task.
+
+def ready_for_python(df: DataFrame, rows: int = BATCH_ROWS) -> None:
+    """Set the session up for operators that hand texts to Python.
+
+    The package is sent to the workers, once per application, so that they can
+    import it wherever the session was started.  The session's Arrow batches
+    are lowered to ``rows`` rows, where they are larger: a batch of texts lies
+    in memory several times, on both sides of the pipe to Python, and at the
+    default of 10,000 rows that is hundreds of MB per task.
     """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).parent.parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name)
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(name))
+    now = int(spark.conf.get(name))
     if now <= 0 or now > rows:
-        df.sparkSession.conf.set(name, rows)
+        spark.conf.set(name, rows)
 
 
 def in_slices(batches: Iterable[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

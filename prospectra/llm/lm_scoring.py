@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prospectra.llm.common import crc_remainder, in_runs, in_slices, limit_batches, row_keys
+from prospectra.llm.common import crc_remainder, in_runs, in_slices, ready_for_python, row_keys
 from prospectra.session import write_and_read_back
 
 ROUNDS = 2
@@ -388,7 +388,7 @@ def _score(held: Broadcast, end: tuple[int, float, float]):
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None,
                     rounds: int = ROUNDS, held: int = HELD_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per document."""
-    limit_batches(docs)
+    ready_for_python(docs)
     rows = _read(docs, doc_id, text)
     words = word_counts(rows)
     model = fit(rows, words, vocabulary, rounds)

@@ -41,7 +41,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prospectra.llm.common import free_name, in_slices, limit_batches, small_or_plain
+from prospectra.llm.common import free_name, in_slices, ready_for_python, small_or_plain
 from prospectra.session import write_and_read_back
 
 SHINGLE = 5
@@ -238,7 +238,7 @@ def _read(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", top: int = TOP) -> DataFrame:
     """A written table of one row per document: its set in numbers, and its prefix."""
-    limit_batches(docs)
+    ready_for_python(docs)
     rows = _read(docs, doc_id, text)
     order = docs.sparkSession.sparkContext.broadcast(shingle_order(rows.select("text"), top))
     return write_and_read_back(rows.mapInArrow(_sets(order), _SETS), "shingle-sets")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prospectra.llm.common import crc_remainder, in_slices, limit_batches
+from prospectra.llm.common import crc_remainder, in_slices, ready_for_python
 from prospectra.session import write_and_read_back
 
 MAX_TRAINING_ROWS = 20_000
@@ -174,7 +174,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
 
 def featurize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A written table (doc_id, features), one row per document."""
-    limit_batches(docs)
+    ready_for_python(docs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, 1):
@@ -209,6 +209,7 @@ def score(features: DataFrame, model: AdditiveModel) -> DataFrame:
             found = model.scores(flat.reshape(batch.num_rows, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "score"])
 
+    ready_for_python(features)
     return features.mapInArrow(run, "doc_id long, score double").select(
         "doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -216,7 +217,7 @@ def score(features: DataFrame, model: AdditiveModel) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: AdditiveModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score at least the threshold, with all their columns.  No shuffle."""
-    limit_batches(docs)
+    ready_for_python(docs)
     at = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

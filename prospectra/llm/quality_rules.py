@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prospectra.llm.common import free_name, in_slices, limit_batches, row_keys, small_or_plain
+from prospectra.llm.common import free_name, in_slices, ready_for_python, row_keys, small_or_plain
 from prospectra.session import write_and_read_back
 
 MIN_WORDS = 10
@@ -117,7 +117,7 @@ def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """A written table of one row per document: counts, text hashes and line entries."""
-    limit_batches(docs)
+    ready_for_python(docs)
     rows = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string"), F.col(host).cast("string"))
     return write_and_read_back(rows.mapInArrow(_measure, _MEASURES), "quality-measures")
 

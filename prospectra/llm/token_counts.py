@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prospectra.llm.bpe import default_pattern, default_vocabulary
-from prospectra.llm.common import in_slices, limit_batches
+from prospectra.llm.common import in_slices, ready_for_python
 
 RULES = ("first", "last", "largest")
 
@@ -88,7 +88,7 @@ def count_by_section(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """(doc_id, section, start_char, end_char, n_tokens, n_crossing), one row per section.  No shuffle."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    limit_batches(docs)
+    ready_for_python(docs)
     vocabulary, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
     names = ["doc_id", "section", "start_char", "end_char", "n_tokens", "n_crossing"]
 
