@@ -33,6 +33,7 @@ id of the component's rows (NULL if all are NULL).  Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,15 +50,15 @@ NUMERATOR, DENOMINATOR = 80, 100
 # The frequent end of the order that tasks hold in memory: so many keys at most.
 TOP = 1_000_000
 LEAST_TOP_FREQUENCY = 8
-# Frequencies are counted by the top bits of a shingle's hash.  Fewer bits than the
-# texts need make the order less sharp, and a full bitmap prunes less; links stay.
-KEY_BITS = 40
+# A full bitmap prunes less; links stay.
 BITMAP_BITS = 28
-RANGES = 256
+# Shingles that one task counts together, at most about so many; and those of a block that is sent.
+RANGE_KEYS = 1_000_000
 BLOCK_KEYS = 3_000_000
 BINS = 32
+_LEAST_RANGE_BITS, _MOST_RANGE_BITS, _LEAST_KEY_BITS = 8, 18, 40
+_BYTES_PER_SHINGLE = 6
 
-_RANGE_BITS = RANGES.bit_length() - 1
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -110,52 +111,75 @@ def _top_bits(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 # 1. Order ------------------------------------------------------------------
 
-def _key_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per ``BLOCK_KEYS`` keys and key range: the sorted keys as 32-bit steps, so that they pack well."""
-    hasher = Hasher()
-    width = np.uint64(KEY_BITS - _RANGE_BITS)
+class Sizes(NamedTuple):
+    """How frequencies are counted: by the top bits of a shingle's hash, in ranges of those keys.
+
+    Both grow with the texts, so a range stays about as large and keys stay apart.
+    """
+    key_bits: int
+    range_bits: int
+
+    @classmethod
+    def of(cls, text_bytes: int) -> Sizes:
+        shingles = max(text_bytes // _BYTES_PER_SHINGLE, 1)
+        range_bits = min(_MOST_RANGE_BITS, max(_LEAST_RANGE_BITS, (shingles // RANGE_KEYS).bit_length()))
+        # A step inside a range must fit in 32 bits.
+        return cls(min(range_bits + 32, max(_LEAST_KEY_BITS, shingles.bit_length() + 12)), range_bits)
+
+    @property
+    def width(self) -> int:
+        return self.key_bits - self.range_bits
 
-    def runs() -> Iterator[np.ndarray]:
-        held, size = [], 0
+
+def _key_blocks(sizes: Sizes):
+    """Per ``BLOCK_KEYS`` keys and key range: the sorted keys as 32-bit steps, so that they pack well."""
+    def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        hasher, held, size = Hasher(), [], 0
         for batch in in_slices(batches, 0):
-            held += [_top_bits(hasher(t), KEY_BITS) for t in batch.column(0).to_pylist()]
-            size = sum(map(len, held))
+            new = [_top_bits(hasher(t), sizes.key_bits) for t in batch.column(0).to_pylist()]
+            held += new
+            size += sum(map(len, new))
             if size >= BLOCK_KEYS:
                 yield np.sort(np.concatenate(held))
-                held = []
+                held, size = [], 0
         yield np.sort(np.concatenate([*held, np.empty(0, np.uint64)]))
 
-    for keys in runs():
-        cuts = np.searchsorted(keys, np.arange(RANGES + 1, dtype=np.uint64) << width)
-        ranges, blocks = [], []
-        for r in range(RANGES):
-            part = keys[cuts[r]:cuts[r + 1]] - (np.uint64(r) << width)
-            if len(part):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = np.uint64(sizes.width)
+        for keys in runs(batches):
+            cuts = np.searchsorted(keys, np.arange((1 << sizes.range_bits) + 1, dtype=np.uint64) << width)
+            ranges, blocks = [], []
+            for r in np.flatnonzero(np.diff(cuts)).tolist():
+                part = keys[cuts[r]:cuts[r + 1]] - (np.uint64(r) << width)
                 ranges.append(r)
                 blocks.append(np.diff(part, prepend=np.uint64(0)).astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(blocks, pa.binary())], ["range", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(blocks, pa.binary())],
+                                             ["range", "block"])
+    return run
 
 
-def _merge_blocks(key: tuple, table: pa.Table) -> pa.Table:
+def _merge_blocks(sizes: Sizes):
     """One range: the bitmap slice of keys that two documents hold, and the frequent keys."""
-    r = key[0].as_py()
-    keys = [np.cumsum(np.frombuffer(b, np.uint32), dtype=np.uint64) for b in table.column("block").to_pylist()]
-    found, count = np.unique(np.concatenate(keys), return_counts=True)
-    bits = np.zeros(1 << BITMAP_BITS - _RANGE_BITS, bool)
-    bits[found[count > 1] >> np.uint64(KEY_BITS - BITMAP_BITS)] = True
-    often = count >= LEAST_TOP_FREQUENCY
-    base = np.uint64(r) << np.uint64(KEY_BITS - _RANGE_BITS)
-    return pa.table({
-        "range": pa.array([r], pa.int32()), "shared": pa.array([np.packbits(bits).tobytes()], pa.binary()),
-        "keys": pa.array([(found[often] + base).astype(np.int64)], pa.list_(pa.int64())),
-        "counts": pa.array([count[often].astype(np.int64)], pa.list_(pa.int64()))})
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        r = key[0].as_py()
+        keys = [np.cumsum(np.frombuffer(b, np.uint32), dtype=np.uint64) for b in table.column("block").to_pylist()]
+        found, count = np.unique(np.concatenate(keys), return_counts=True)
+        bits = np.zeros(1 << BITMAP_BITS - sizes.range_bits, bool)
+        bits[found[count > 1] >> np.uint64(sizes.key_bits - BITMAP_BITS)] = True
+        often = count >= LEAST_TOP_FREQUENCY
+        base = np.uint64(r) << np.uint64(sizes.width)
+        return pa.table({
+            "range": pa.array([r], pa.int32()), "shared": pa.array([np.packbits(bits).tobytes()], pa.binary()),
+            "keys": pa.array([(found[often] + base).astype(np.int64)], pa.list_(pa.int64())),
+            "counts": pa.array([count[often].astype(np.int64)], pa.list_(pa.int64()))})
+    return run
 
 
 class Order:
     """The global order of shingles: rare first, by listed frequency and hash."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, shared: np.ndarray) -> None:
-        self.keys, self.counts, self.shared = keys, counts, shared
+    def __init__(self, sizes: Sizes, keys: np.ndarray, counts: np.ndarray, shared: np.ndarray) -> None:
+        self.key_bits, self.keys, self.counts, self.shared = sizes.key_bits, keys, counts, shared
 
     def sort(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The hashes in order, and which of them a second document may hold."""
@@ -163,7 +187,7 @@ class Order:
         met = (self.shared[bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1
         rank = met.astype(np.int64)
         if len(self.keys):
-            k = _top_bits(h, KEY_BITS)
+            k = _top_bits(h, self.key_bits)
             at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
             rank = np.where(self.keys[at] == k, self.counts[at], rank)
         order = np.lexsort((h, rank))
@@ -176,21 +200,22 @@ def shingle_order(texts: DataFrame, top: int = TOP) -> Order:
     That is ``2 ** BITMAP_BITS`` bits and at most ``top`` keys: the cut is the
     smallest frequency that no more than ``top`` keys reach.
     """
+    sizes = Sizes.of(texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
     counted = write_and_read_back(
-        texts.mapInArrow(_key_blocks, "range int, block binary").groupBy("range").applyInArrow(
-            _merge_blocks, "range int, shared binary, keys array<long>, counts array<long>"), "shingle-frequencies")
+        texts.mapInArrow(_key_blocks(sizes), "range int, block binary").groupBy("range").applyInArrow(
+            _merge_blocks(sizes), "range int, shared binary, keys array<long>, counts array<long>"), "shingle-frequencies")
     pairs = counted.select(F.explode(F.arrays_zip("keys", "counts")).alias("k")).select("k.keys", "k.counts")
     reached = F.sum("n").over(Window.orderBy(F.desc("counts")))
     least = (pairs.groupBy("counts").agg(F.count("*").alias("n")).orderBy(F.desc("counts")).limit(top)
              .select("counts", reached.alias("reached")).where(F.col("reached") <= top).agg(F.min("counts")).first()[0])
     shared = np.zeros(1 << BITMAP_BITS - 3, np.uint8)
-    size = len(shared) // RANGES
+    size = len(shared) >> sizes.range_bits
     for row in counted.select("range", "shared").collect():
         shared[row["range"] * size:(row["range"] + 1) * size] = np.frombuffer(row["shared"], np.uint8)
     listed = (pairs.where(F.col("counts") >= least) if least else pairs.limit(0)).toArrow()
     keys = listed.column("keys").to_numpy().astype(np.uint64)
     order = np.argsort(keys)
-    return Order(keys[order], listed.column("counts").to_numpy()[order].astype(np.int64), shared)
+    return Order(sizes, keys[order], listed.column("counts").to_numpy()[order].astype(np.int64), shared)
 
 
 # 2. Prefixes ---------------------------------------------------------------

@@ -63,6 +63,17 @@ def test_order_does_not_change_links(spark):
     assert {tuple(r) for r in links[0].collect()} == {tuple(r) for r in links[1].collect()} != set()
 
 
+def test_sizes_grow_with_the_texts(monkeypatch, spark):
+    small, large, huge = (join.Sizes.of(n) for n in (10 ** 6, 3 * 10 ** 10, 10 ** 14))
+    assert small == (40, 8) and small.range_bits < large.range_bits < huge.range_bits and huge.width <= 32
+    assert 3 * 10 ** 10 / 6 / 2 ** large.range_bits < join.RANGE_KEYS
+    monkeypatch.setattr(join, "RANGE_KEYS", 3)
+    monkeypatch.setattr(join, "BLOCK_KEYS", 100)
+    df = e.table(spark)
+    assert join.Sizes.of(5000).range_bits > 8
+    assert found(df) == sorted(brute(e.rows()), key=str)
+
+
 def test_one_of_each_group_stays(spark):
     df = e.table(spark, extra=True)
     kept = join.keep_one_per_group(df)
