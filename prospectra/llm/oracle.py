@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from prospectra.llm import license_scan
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -87,8 +89,63 @@ SELECT any_value(d.doc_id) AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shi
 FROM reach r JOIN docs d ON d.k = r.k JOIN docs o ON o.k = r.other LEFT JOIN sizes s ON s.k = r.k GROUP BY r.k
 """
 
+# The template's markers: 15 characters around a system text, 13 around a user's, 9 around an assistant's.
+OP7 = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+placed AS (
+  SELECT *, lag(turn) OVER w AS turn_before, lag(role) OVER w AS role_before, row_number() OVER w AS place,
+    length(replace(text, '\', '\\')) + len(regexp_extract_all(replace(text, '\', '\\'),
+      '<<SYS>>|<</SYS>>|\[/INST\]|\[INST\]|\[OUT\]|\[ROLE\]|\[/ROLE\]|\[:\]|</s>|<s>')) AS hidden
+  FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(hidden + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 ELSE 16 + length(role) END))::BIGINT
+    AS formatted_chars,
+  count(*) FILTER (WHERE turn <= turn_before OR NOT CASE coalesce(role_before, '')
+    WHEN '' THEN role IN ('system', 'user') WHEN 'user' THEN role = 'assistant' ELSE role = 'user' END) AS n_problems
+FROM placed GROUP BY conv_id
+"""
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_PHRASES = ", ".join(f"('{p.label}', {_list(p.words())})" for p in license_scan.PHRASES)
+_TEMPLATES = ", ".join(f"('{t.label}', {_list(t.distinct())}, {len(t.words())})" for t in license_scan.TEMPLATES)
+
+OP9 = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id,
+    regexp_extract_all({_LOWER.replace('text', "coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+phrases(label, p) AS (VALUES {_PHRASES}),
+templates(label, need, n) AS (VALUES {_TEMPLATES}),
+spots AS (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM docs WHERE list_has_any(w, ['license', 'by'])),
+places AS (SELECT k, label, i - 1 AS place FROM spots JOIN phrases ON w[i:i + len(p) - 1] = p),
+base AS (
+  SELECT k, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY k),
+blocks AS (SELECT k, w, label, need, n, unnest(range(0, len(w), n)) AS b FROM docs CROSS JOIN templates),
+found AS (
+  SELECT k, label, len(list_intersect(need, w[b + 1:b + 2 * n])) AS met, len(need) AS size FROM blocks),
+more AS (SELECT k, label, max(met::DOUBLE / size) AS share FROM found WHERE 100 * met >= 80 * size GROUP BY k, label),
+best AS (SELECT k, max(share) AS best FROM more GROUP BY k),
+named AS (
+  SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT k, label FROM places UNION SELECT k, label FROM more) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+  last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0)::DOUBLE END AS score
+FROM docs LEFT JOIN base USING (k) LEFT JOIN best USING (k) LEFT JOIN named USING (k)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": OP2,
     "op5_ngram_join": OP5,
+    "op7_chat_format": OP7,
     "op8_mixing": OP8,
+    "op9_license_scan": OP9,
 }

@@ -14,7 +14,7 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     assert mismatch(QUERIES[name](spark, sf_dir), duck(sf_dir), ORACLE_SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) - {"op7_chat_format"}))
 def test_sql_agrees_on_awkward_rows(spark, tmp_path, name):
     path = str(tmp_path / "documents.parquet")
     e.table(spark).coalesce(1).write.parquet(path)
