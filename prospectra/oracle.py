@@ -483,4 +483,6 @@ _SCORES = {
         _CLEANED, _LINEAR, _FLAGGED),
 }
 
+_SCORES["scored_sink"] = _SCORES["score_linear"]
+
 ORACLE_SQL: dict[str, str] = {**_TABLES, **_PROFILE, **_METRICS, **_PREP, **_MODELS, **_SCORES}

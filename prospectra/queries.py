@@ -237,6 +237,14 @@ def score_linear(spark, sf_dir):
         schema.ID, schema.SCORE, flag_at(F.col(schema.SCORE)).alias(schema.FLAG)))
 
 
+def scored_sink(spark, sf_dir):
+    """The scored table, written to the catalog and read back."""
+    database = f"scores_{uuid.uuid4().hex}"
+    tables.create_schema(spark, database, f"{shared_folder(spark)}/{database}")
+    tables.write_table(score_linear(spark, sf_dir), f"{database}.scored")
+    return tables.read_table(spark, f"{database}.scored")
+
+
 def flag_scores(spark, sf_dir):
     scored = standins.scored(spark, sf_dir)
     score = F.col(schema.SCORE)
@@ -454,6 +462,7 @@ QUERIES: dict[str, Query] = {
     "kfold_exact": kfold_exact,
     "train_folds": train_folds,
     "score_linear": score_linear,
+    "scored_sink": scored_sink,
     "flag_scores": flag_scores,
     "segments": segments,
     "percent_labels": percent_labels,
