@@ -397,19 +397,31 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", "component")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per document."""
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text_hash, n, component_id, kept_hash), one row per document.
+
+    A component keeps the row of its smallest id (NULL if all are NULL) and, of that id's texts
+    in the component, the smallest text hash.  Both are NULL for rows without shingles.
+    """
     sets = shingle_sets(docs, doc_id, text)
     entries = prefix_entries(sets)
     links = verify(candidates_to_leaders(entries), sets, docs, doc_id, text)
     rest = verify(candidates_across(entries, components(links)), sets, docs, doc_id, text)
     found = components(links.union(rest))
-    classes = (sets.where("n > 0").groupBy("node", "set_hash").agg(F.min("doc_id").alias("smallest"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
+    classes = (sets.where("n > 0").groupBy("node", "set_hash").agg(first.alias("first"))
                .join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
     classes = write_and_read_back(classes, "classes")
-    named = write_and_read_back(classes.groupBy("component").agg(F.min("smallest").alias("component_id")), "components")
-    named = write_and_read_back(classes.join(named, "component").select("node", "set_hash", "component_id"), "class-names")
-    return sets.join(named, ["node", "set_hash"], "left").select(
+    named = write_and_read_back(classes.groupBy("component").agg(F.min("first").alias("first")).select(
+        "component", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("kept_hash")), "components")
+    named = write_and_read_back(classes.join(named, "component").select("node", "set_hash", "component_id", "kept_hash"),
+                                "class-names")
+    return sets.join(named, ["node", "set_hash"], "left").select("doc_id", "text_hash", "n", "component_id", "kept_hash")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per document."""
+    return _grouped(docs, doc_id, text).select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -417,15 +429,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with one document of each component, the one with the smallest id.
 
-    Rows without shingles all stay; where kept rows share an id and text, one stays.
+    Rows are told apart by id and text, so another text with the same id, or
+    with no id, is judged by its own component.  Rows without shingles all
+    stay; where kept rows share an id and text, one stays.
     """
-    found = write_and_read_back(near_duplicates(docs, doc_id, text), "near-duplicates")
-    gone = found.where("n_shingles > 0 and not (doc_id <=> component_id)").select("doc_id").distinct()
-    name = free_name(docs.columns, "kept_id")
-    gone = small_or_plain(write_and_read_back(gone, "left-out")).withColumnRenamed("doc_id", name)
-    kept = docs.join(gone, F.col(doc_id).cast("long") == F.col(name), "left_anti")
-    repeated = found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1")
+    found = write_and_read_back(_grouped(docs, doc_id, text), "near-duplicates").where("n > 0")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    names = [free_name(docs.columns, n) for n in ("row_id", "row_hash")]
+    gone_names = [free_name([*docs.columns, *names], n) for n in ("gone_id", "gone_hash")]
+    keyed = docs.select("*", F.col(doc_id).cast("long").alias(names[0]), F.xxhash64(F.col(text)).alias(names[1]))
+
+    def rows_of(keys: DataFrame, name: str) -> tuple[DataFrame, Column]:
+        keys = small_or_plain(write_and_read_back(keys, name)).toDF(*gone_names)
+        return keys, F.col(names[0]).eqNullSafe(F.col(gone_names[0])) & (F.col(names[1]) == F.col(gone_names[1]))
+
+    kept = keyed.join(*rows_of(found.where(~first).select("doc_id", "text_hash").distinct(), "left-out"), "left_anti")
+    repeated = found.where(first).groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
     if repeated.isEmpty():
-        return kept
-    words = F.col(text).rlike(r"[^ \t-\r]")
-    return kept.where(words).dropDuplicates([doc_id]).unionByName(kept.where(~F.coalesce(words, F.lit(False))))
+        return kept.drop(*names)
+    repeated, same = rows_of(repeated, "repeated-rows")
+    return (kept.join(repeated, same, "left_anti")
+            .unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(names)).drop(*names))

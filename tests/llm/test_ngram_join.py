@@ -85,6 +85,18 @@ def test_one_of_each_group_stays(spark):
     assert ids == sorted([*alone, *groups], key=str)
 
 
+def test_groups_are_judged_by_row_where_ids_repeat_or_miss(spark):
+    near, alone = e.prose(1, 120), [e.prose(800 + i, 60) for i in range(5)]
+    data = [(1, near), (2, e.edited(near, 3, 0.01)), (2, alone[0]),         # (a) another text of an id that is left out
+            (3, alone[1]), (3, alone[2]), (3, alone[2]),                    # (b) two texts with one id, one of them twice
+            (None, alone[3]), (None, alone[4]), (None, alone[4].upper()),   # (b) groups without an id
+            (None, e.edited(near, 4, 0.01)), (None, None), (2, ""), (2, "")]    # (c) a NULL id in a named group
+    kept = join.keep_one_per_group(e.table(spark, [(*d, "en", "a", 0) for d in data], extra=True))
+    found = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in kept.collect()), key=str)
+    assert found == sorted([(1, near), (2, alone[0]), (3, alone[1]), (3, alone[2]), (None, alone[3]), (None, alone[4]),
+                            (None, ""), (2, ""), (2, "")], key=str)
+
+
 def test_empty_table(spark):
     assert found(e.empty(spark)) == []
     assert join.keep_one_per_group(e.empty(spark)).collect() == []
