@@ -6,8 +6,11 @@ the host's limit allows is removed, and a document is rejected when too few of
 its words are left.
 
 Copies must not make each other's lines look like page furniture, so documents
-that agree in the longest *other* line count once for a line: a header stands
-above many different bodies, a copied body above one.
+that agree in the set of all their normalised lines count once; pages that
+share some lines and differ in any other are documents of their own.
+``frequent_lines`` can also count by the longest *other* line of each document,
+as the SQL of op2 does; that misses lines of pages that share two lines longer
+than their own.
 
 Defined results: a NULL text has no words (so it fails the base rule); NULL
 hosts form one host of their own; repeated rows are measured row by row and
@@ -44,12 +47,12 @@ _SEPARATORS = " \t\n\x0b\x0c\r"
 
 _MEASURES = ("row_key long, doc_id long, host long, text_hash_a long, text_hash_b long, n_words long, word_chars long, "
              "n_symbols long, n_dup_lines long, n_repeat_words long, "
-             "lines array<struct<line: long, words: int, family: long>>")
+             "page long, lines array<struct<line: long, words: int, family: long>>")
 
 
 _ARROW = pa.schema([
     *[(n, pa.int64()) for n in ("row_key", "doc_id", "host", "text_hash_a", "text_hash_b", "n_words", "word_chars",
-                                "n_symbols", "n_dup_lines", "n_repeat_words")],
+                                "n_symbols", "n_dup_lines", "n_repeat_words", "page")],
     ("lines", pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32()), ("family", pa.int64())])))])
 
 
@@ -80,9 +83,9 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def _line_entries(data: bytes, host: bytes) -> list[dict]:
-    """One entry per distinct normalised line: its hash within the host, its words over
-    all places, and the hash of the longest other line of the text."""
+def _line_entries(data: bytes, host: bytes) -> tuple[int, list[dict]]:
+    """The hash of the text's set of normalised lines, and one entry per such line: its hash
+    within the host, its words over all places, and the hash of the longest other line of the text."""
     words: dict[bytes, int] = {}
     for raw in data.lower().split(b"\n"):
         parts = raw.split()
@@ -94,7 +97,7 @@ def _line_entries(data: bytes, host: bytes) -> list[dict]:
     for line, n in words.items():
         other = next((x for x in reversed(longest) if x != line), b"")
         entries.append({"line": _hash(host + b"\0" + line), "words": n, "family": _hash(other)})
-    return entries
+    return _hash(b"\n".join(sorted(words))), entries
 
 
 def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,12 +109,13 @@ def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = text.encode("utf-8", "surrogatepass")
             host = b"-" if source is None else b"+" + source.encode("utf-8", "surrogatepass")
             words = data.split()
+            page, lines = _line_entries(data, host)
             rows.append({
                 "row_key": next(keys), "doc_id": doc_id, "host": _hash(host),
                 "text_hash_a": _hash(data), "text_hash_b": _hash(data, 1), "n_words": len(words),
                 "word_chars": len(text) - sum(text.count(c) for c in _SEPARATORS),
                 "n_symbols": len(_SYMBOLS.findall(text)), "n_dup_lines": duplicate_lines(text),
-                "n_repeat_words": repeated_words(words), "lines": _line_entries(data, host)})
+                "n_repeat_words": repeated_words(words), "page": page, "lines": lines})
         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
@@ -123,15 +127,17 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: s
 
 
 def frequent_lines(measures: DataFrame, limit_docs: int = LIMIT_DOCS,
-                   limit_percent: int = LIMIT_PERCENT) -> DataFrame:
+                   limit_percent: int = LIMIT_PERCENT, once_per: str = "family") -> DataFrame:
     """A written table (host, line, documents) of the lines above their host's limit.
 
-    The pairs are made distinct by (line, family) first, so a line that a third
-    of all documents hold is spread over many tasks and counted map-side.
+    Documents that agree in ``once_per`` count once: 'page', the set of all
+    lines, or 'family', the longest other line.  The pairs are made distinct by
+    (line, once_per) first, so a line that a third of all documents hold is
+    spread over many tasks and counted map-side.
     """
     sizes = measures.groupBy("host").agg(F.count("*").alias("host_docs"))
-    found = (measures.select("host", F.explode("lines").alias("l")).select("host", "l.line", "l.family")
-             .groupBy("host", "line", "family").agg(F.lit(1).alias("one"))
+    entries = measures.select("host", "page", F.explode("lines").alias("l")).select("host", "page", "l.line", "l.family")
+    found = (entries.groupBy("host", "line", once_per).agg(F.lit(1).alias("one"))
              .groupBy("host", "line").agg(F.count("*").alias("documents"))
              .where(F.col("documents") > limit_docs))
     above = found.join(sizes, "host").where(F.col("documents") * 100 > F.col("host_docs") * limit_percent)
@@ -150,14 +156,14 @@ def judge(measures: DataFrame, frequent: DataFrame, least_left_percent: int = LE
     gone = F.coalesce(F.col("removed_words"), F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     depleted = 100 * (F.col("n_words") - gone) < least_left_percent * F.col("n_words")
-    return (measures.drop("lines").join(removed, "row_key", "left")
+    return (measures.drop("page", "lines").join(removed, "row_key", "left")
             .select("*", gone.alias("_gone"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
             .drop("removed_words").withColumnRenamed("_gone", "removed_words"))
 
 
 def apply_rules(docs: DataFrame, **columns: str) -> DataFrame:
     measures = measure(docs, **columns)
-    return judge(measures, frequent_lines(measures))
+    return judge(measures, frequent_lines(measures, once_per="page"))
 
 
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:

@@ -56,6 +56,18 @@ def test_shared_lines_deplete_documents_but_copies_do_not(spark):
     assert not kept & {d[0] for d in pages}
 
 
+def test_furniture_longer_than_the_body_depletes_documents(spark):
+    furniture = "\n".join(e.prose(900 + i, 9) for i in range(5))
+    pages = [(i, f"{furniture}\nown words number {i}", "en", "a", 0) for i in range(30)]
+    copies = [(100 + i, e.prose(7, 60).upper() if i % 2 else e.prose(7, 60), "en", "a", 0) for i in range(30)]
+    df = e.table(spark, pages + copies)
+    found = {r["doc_id"]: r for r in rules.apply_rules(df).collect()}
+    for d in pages:
+        assert not found[d[0]]["base_failed"] and not found[d[0]]["kept"] and found[d[0]]["removed_words"] == 45
+    assert all(found[d[0]]["kept"] and found[d[0]]["removed_words"] == 0 for d in copies)
+    assert {r["doc_id"] for r in rules.keep_good(df).collect()} == {d[0] for d in copies}
+
+
 def test_kept_rows_keep_their_columns_and_repeats(spark):
     df = e.table(spark, extra=True)
     kept = rules.keep_good(df)
