@@ -133,9 +133,11 @@ def frequent_lines(measures: DataFrame, limit_docs: int = LIMIT_DOCS,
     Documents that agree in ``once_per`` count once: 'page', the set of all
     lines, or 'family', the longest other line.  The pairs are made distinct by
     (line, once_per) first, so a line that a third of all documents hold is
-    spread over many tasks and counted map-side.
+    spread over many tasks and counted map-side.  With 'page' a host's size is
+    counted in the same distinct documents as the lines.
     """
-    sizes = measures.groupBy("host").agg(F.count("*").alias("host_docs"))
+    sized = measures.groupBy("host", "page").agg(F.lit(1).alias("one")) if once_per == "page" else measures
+    sizes = sized.groupBy("host").agg(F.count("*").alias("host_docs"))
     entries = measures.select("host", "page", F.explode("lines").alias("l")).select("host", "page", "l.line", "l.family")
     found = (entries.groupBy("host", "line", once_per).agg(F.lit(1).alias("one"))
              .groupBy("host", "line").agg(F.count("*").alias("documents"))

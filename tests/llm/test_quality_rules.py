@@ -68,6 +68,14 @@ def test_furniture_longer_than_the_body_depletes_documents(spark):
     assert {r["doc_id"] for r in rules.keep_good(df).collect()} == {d[0] for d in copies}
 
 
+def test_copies_do_not_hide_the_furniture_of_other_pages(spark):
+    furniture = "\n".join(e.prose(900 + i, 9) for i in range(5))
+    pages = [(i, f"{furniture}\nown words number {i}", "en", "a", 0) for i in range(30)]
+    copies = [(1000 + i, e.prose(7, 60), "en", "a", 0) for i in range(900)]      # the pages are under 5 % of all rows
+    kept = {r["doc_id"] for r in rules.apply_rules(e.table(spark, pages + copies)).where("kept").collect()}
+    assert kept == {d[0] for d in copies}
+
+
 def test_kept_rows_keep_their_columns_and_repeats(spark):
     df = e.table(spark, extra=True)
     kept = rules.keep_good(df)
