@@ -3,15 +3,17 @@
 A source's repetition rate is ``weight share x budget / size``, where sizes
 are summed over all documents.  Each document draws a count from the Poisson
 distribution with that mean: a uniform number from a hash of seed, id and text
-is put through the inverse distribution function.  The document appears that
-often, and all copies are put in one random order over the whole output.
+is put through the inverse distribution function.  Means above ``MAX_RATE`` are
+drawn as a sum of equal parts, each from a number of its own.  The document
+appears that often, and all copies are put in one random order over the whole
+output.
 
 Nothing is drawn from a generator, so a retried task draws the same counts.
 
 Defined results: a NULL source is a source of its own; documents of sources
 without a weight, or with weight 0, get rate 0; a NULL or empty text has size
 0 and is drawn like any other; repeated rows share one count and stay
-repeated; rates above ``MAX_RATE`` are refused.
+repeated; a ``budget`` above ``MAX_BUDGET`` is refused, whatever the documents.
 """
 
 from __future__ import annotations
@@ -27,7 +29,10 @@ from prospectra.session import write_and_read_back
 SEED = 17
 # Share of a source in the mix: its size to this power, where no weights are given.
 TEMPERATURE = 0.7
+# The largest mean that one number draws.
 MAX_RATE = 64.0
+# The largest mix that may be asked for, as a multiple of the input.
+MAX_BUDGET = 64.0
 
 
 def source_rates(docs: DataFrame, source: str = "source", size: Column | None = None,
@@ -38,6 +43,8 @@ def source_rates(docs: DataFrame, source: str = "source", size: Column | None =
     ``size`` measures a document, default its characters.  ``budget`` is the
     size of the mix as a multiple of the whole input.
     """
+    if budget > MAX_BUDGET:
+        raise ValueError(f"the input would be repeated {budget:.1f} times on average; the limit is {MAX_BUDGET}")
     size = F.coalesce(F.length("text"), F.lit(0)) if size is None else size
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum(size.cast("double")).alias("size"))
     if weights is None:
@@ -53,11 +60,7 @@ def source_rates(docs: DataFrame, source: str = "source", size: Column | None =
     # The one-row side is a total, so this is no product of two tables.
     rates = (raw_sizes.join(F.broadcast(totals), F.lit(True)).withColumn("target", target).withColumn("rate", rate)
              .select("source", "size", "target", "rate"))
-    rates = write_and_read_back(rates, "source-rates")
-    highest = rates.agg(F.max("rate")).first()[0]
-    if highest is not None and highest > MAX_RATE:
-        raise ValueError(f"a source would be repeated {highest:.1f} times on average; the limit is {MAX_RATE}")
-    return rates
+    return write_and_read_back(rates, "source-rates")
 
 
 def uniform(*parts: Column) -> Column:
@@ -84,6 +87,20 @@ def poisson_count(u: Column, rate: Column, most: float = MAX_RATE) -> Column:
     return F.aggregate(steps, start, step, lambda s: s["k"])
 
 
+def poisson_sum(u: Column, rate: Column, parts: list[Column], most: float) -> Column:
+    """A Poisson number of any mean: ``poisson_count`` up to ``MAX_RATE``, beyond it the sum of
+    equal parts of at most that mean, each drawn from a hash of ``parts`` and its number."""
+    drawn = poisson_count(u, rate, min(most, MAX_RATE))
+    if most <= MAX_RATE:
+        return drawn
+    n = F.ceil(rate / MAX_RATE)
+    # All that a part needs is in its struct; names from outside would be worked out at every step.
+    each = F.transform(F.sequence(F.lit(1).cast("long"), n), lambda i: F.struct(
+        uniform(*parts, i).alias("u"), (rate / n).alias("rate")))
+    many = F.aggregate(each, F.lit(0), lambda total, x: total + poisson_count(x["u"], x["rate"], MAX_RATE))
+    return F.when(rate > MAX_RATE, many).otherwise(drawn)
+
+
 def draw_counts(docs: DataFrame, rates: DataFrame, seed: int = SEED, doc_id: str = "doc_id", text: str = "text",
                 source: str = "source", count: str = "copies") -> DataFrame:
     """``docs`` with the drawn number of copies.
@@ -94,9 +111,10 @@ def draw_counts(docs: DataFrame, rates: DataFrame, seed: int = SEED, doc_id: str
     name, rate = free_name(docs.columns, "rate_source"), free_name(docs.columns, "rate")
     most = rates.agg(F.max("rate")).first()[0] or 0.0
     rates = rates.select(F.col("source").alias(name), F.col("rate").alias(rate))
-    u = uniform(F.lit(seed), F.col(doc_id), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    parts = [F.lit(seed), F.col(doc_id), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))]
     return (docs.join(rates, F.col(source).eqNullSafe(F.col(name)), "left")
-            .withColumn(count, poisson_count(u, F.coalesce(F.col(rate), F.lit(0.0)), most)).drop(name, rate))
+            .withColumn(count, poisson_sum(uniform(*parts), F.coalesce(F.col(rate), F.lit(0.0)), parts, most))
+            .drop(name, rate))
 
 
 def mix(docs: DataFrame, rates: DataFrame, seed: int = SEED, doc_id: str = "doc_id", text: str = "text",

@@ -53,6 +53,23 @@ def test_shares_meet_the_targets(spark):
     assert abs(sum(places) / len(places) - 15_000) < 800                            # spread over the whole order
 
 
+def test_rare_source_in_a_large_mix_is_drawn_in_full(spark):
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"),
+                                     F.when(F.col("id") < 1_999, "big").otherwise("rare").alias("source"))
+    sizes = F.when(F.col("source") == "big", 1e6).otherwise(1.0)
+    assert mixing.source_rates(docs, size=sizes).where("source = 'rare'").first()["rate"] > 600
+    rates = mixing.source_rates(docs, weights={"big": 1.0, "rare": 1.0}, size=F.when(F.col("source") == "big", 1.0).otherwise(8.0))
+    rare = docs.where("source = 'big'").withColumn("source", F.lit("rare"))
+    mean = rates.where("source = 'rare'").first()["rate"]
+    assert mean > 64
+    counts = {r["doc_id"]: r["copies"] for r in mixing.draw_counts(rare, rates).collect()}
+    assert counts == {r["doc_id"]: r["copies"] for r in mixing.draw_counts(rare.repartition(5), rates).collect()}
+    drawn = list(counts.values())
+    assert abs(sum(drawn) / len(drawn) - mean) < 1.2 and max(drawn) > 140          # Poisson: mean and variance alike
+    assert abs(sum((x - mean) ** 2 for x in drawn) / len(drawn) / mean - 1) < 0.2
+    assert mixing.mix(docs, rates).where("source = 'rare'").count() > 64
+
+
 def test_weightless_sources_and_limits(spark):
     df = e.table(spark)
     assert {r["source"] for r in mixing.mix(df, mixing.source_rates(df, weights={"src1": 1.0})).collect()} <= {"src1"}
