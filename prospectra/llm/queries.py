@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prospectra.llm import (bpe, chat_format, fingerprints, license_scan, lm_scoring, mixing, ngram_join, quality_classifier,
-                            quality_rules, token_counts)
+                            quality_rules, sentence_pieces, token_counts)
 from prospectra.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(documents(spark, sf_dir))
 
 
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -87,5 +91,6 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_license_scan": op9_license_scan,
     "op10_lm_scoring": op10_lm_scoring,
+    "op12_sentence_pieces": op12_sentence_pieces,
     "pipeline": pipeline,
 }
