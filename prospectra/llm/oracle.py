@@ -142,10 +142,83 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 FROM docs LEFT JOIN base USING (k) LEFT JOIN best USING (k) LEFT JOIN named USING (k)
 """
 
+# crc32 of a conversation's decimal id, bit by bit.
+_CRC = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), list_transform(range(8), lambda i: i::BIGINT)),
+      lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END)))"""
+
+OP11 = f"""
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+own AS (SELECT c, max(p) AS n FROM turns GROUP BY c),
+sized AS (
+  SELECT o.c, o.c - o.c % 5 AS base, h, least(h, coalesce(b.n, 0)) AS taken
+  FROM (SELECT *, {_CRC} % 9 AS h FROM own) o LEFT JOIN own b ON b.c = o.c - o.c % 5),
+rebuilt AS (
+  SELECT s.c, p AS d, role, text FROM sized s JOIN turns t ON t.c = s.base AND p <= taken
+  UNION ALL SELECT s.c, p - h + taken, role, text FROM sized s JOIN turns t ON t.c = s.c AND p > h),
+paths AS (
+  SELECT c, d, strlen(text) AS bytes, sha256(list(row(role, text)) OVER w::VARCHAR) AS k,
+    coalesce(sha256(list(row(role, text)) OVER (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::VARCHAR), '') AS up,
+    d = count(*) OVER (PARTITION BY c) AS is_end
+  FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY d)
+  UNION ALL SELECT c, 0, 0, '', NULL, c NOT IN (SELECT c FROM rebuilt) FROM sized),
+named AS (SELECT c, d, bytes, k, CASE WHEN d = 1 THEN '' ELSE up END AS up, is_end FROM paths),
+nodes AS (
+  SELECT d, k, any_value(up) AS up, min(c) AS c, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS own_tokens,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE is_end), '')) AS ends_sha256 FROM named GROUP BY d, k),
+children AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+leafed AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (d, k)),
+totals AS (
+  SELECT a.d, a.k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(own_tokens)::BIGINT AS saved_tokens
+  FROM leafed n JOIN named a ON a.c = n.c AND a.d <= n.d GROUP BY a.d, a.k)
+SELECT x.c AS conv_id, x.d AS depth, p.c AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, x.ends_sha256
+FROM leafed x JOIN totals USING (d, k) LEFT JOIN nodes p ON p.d = x.d - 1 AND p.k = x.up
+"""
+
+OP13 = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER.replace('text', "coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+uses AS (SELECT k, lang, source, t, count(*) AS n FROM (SELECT k, lang, source, unnest(w) AS t FROM docs) GROUP BY ALL),
+kept AS (SELECT lang, t FROM uses GROUP BY lang, t HAVING count(*) >= 30),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+held AS (SELECT lang, source, t, sum(n) AS n FROM uses JOIN kept USING (lang, t) GROUP BY lang, source, t),
+groups AS (
+  SELECT lang, source, coalesce(v, 0) AS v, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM docs)
+  LEFT JOIN sizes USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM held GROUP BY lang, source) USING (lang, source)),
+shares AS (
+  SELECT lang, source, t, coalesce(n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (total + 5 * v)::HUGEINT AS p
+  FROM groups JOIN kept USING (lang) LEFT JOIN held USING (lang, source, t)),
+overall AS (
+  SELECT lang, t, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (any_value(all_n) + 5 * any_value(v))::HUGEINT AS q
+  FROM held JOIN sizes USING (lang) JOIN (SELECT lang, sum(n) AS all_n FROM held GROUP BY lang) USING (lang) GROUP BY lang, t),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+above AS (
+  SELECT lang, source, t AS item, (p - q)::BIGINT AS value FROM shares JOIN overall USING (lang, t) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS r
+  FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)
+  FROM above)
+SELECT lang, source, part, item, value, r::INTEGER AS rank FROM ranked WHERE part = 'pair' OR r <= 50
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": OP2,
     "op5_ngram_join": OP5,
     "op7_chat_format": OP7,
     "op8_mixing": OP8,
     "op9_license_scan": OP9,
+    "op11_prefix_trie": OP11,
+    "op13_divergence": OP13,
 }

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospectra.llm import (bpe, chat_format, fingerprints, license_scan, lm_scoring, mixing, ngram_join, quality_classifier,
-                            quality_rules, sentence_pieces, token_counts)
+from prospectra.llm import (bpe, chat_format, divergence, fingerprints, license_scan, lm_scoring, mixing, ngram_join,
+                            prefix_trie, quality_classifier, quality_rules, sentence_pieces, token_counts)
 from prospectra.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,10 +71,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digests(documents(spark, sf_dir))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -91,6 +99,8 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_license_scan": op9_license_scan,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_sentence_pieces": op12_sentence_pieces,
+    "op13_divergence": op13_divergence,
     "pipeline": pipeline,
 }
