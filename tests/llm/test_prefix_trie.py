@@ -45,7 +45,7 @@ def found(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
-def conversations(seed, n=150, longest=14):
+def conversations(seed, n=100, longest=12):
     """Few different texts, so that prefixes are shared at many depths; some ids are missing."""
     rng = random.Random(seed)
     rows = []
@@ -63,7 +63,7 @@ AWKWARD = [
     (None, 0, "user", "no id"), (7, None, None, None), (7, None, None, None), (11, 2, "user", "q"), (11, 1, "user", "p")]
 
 
-@pytest.mark.parametrize("seed, shard, band, most", [(1, 256, 64, 200_000), (2, 4, 2, 3), (3, 1, 3, 1), (4, 20, 1, 2)])
+@pytest.mark.parametrize("seed, shard, band, most", [(1, 256, 64, 200_000), (2, 4, 2, 3), (3, 1, 1, 1)])
 def test_equals_brute_force(spark, seed, shard, band, most):
     rows = conversations(seed)
     df = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), SCHEMA).repartition(7)
@@ -82,11 +82,11 @@ def test_awkward_rows(spark):
 
 
 def test_one_long_conversation_and_many_copies(spark):
-    """A conversation of 3,000 turns (heavy in many bands) and 600 equal ones (a heavy path, one long list of ends)."""
-    rows = [(3, t, "user", f"turn {t}") for t in range(3000)]
-    rows += [(1000 + c, t, "user", f"copy {t}") for c in range(600) for t in range(12)]
+    """A conversation of 200 turns (heavy in many bands) and 300 equal ones (a heavy path, one long list of ends)."""
+    rows = [(3, t, "user", f"turn {t}") for t in range(200)]
+    rows += [(1000 + c, t, "user", f"copy {t}") for c in range(300) for t in range(9)]
     df = spark.createDataFrame(rows, SCHEMA)
-    assert found(prefix_trie.build_trie(df, least_shard=50, least_band=100, most=10)) == brute(rows)
+    assert found(prefix_trie.build_trie(df, least_shard=20, least_band=10, most=10)) == brute(rows)
 
 
 def test_pieces_of_a_conversation_are_many(spark):
