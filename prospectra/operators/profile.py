@@ -1,7 +1,8 @@
 """Profiling of a wide table: one long relation of (column, value) feeds all of it.
 
 Exploding happens inside the scan stage and every aggregate over it combines
-map-side, so what is shuffled is one row per column and distinct value.
+map-side.  Numbers are described without their distinct values ever moving;
+text is counted by value.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 from prospectra import schema
 from prospectra.functions.values import column, is_finite, is_missing, nan_to_null
 from prospectra.operators.features import categorical_columns, numeric_columns
-from prospectra.operators.ranks import quantiles, stored
+from prospectra.operators.narrowing import exact_quantiles
 
 BINS = 30
 TOP = 10
@@ -113,20 +114,15 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     standard deviation undefined, given as NULL.
     """
     columns = columns or numeric_columns(df)
-    # The table is read once; everything else comes from its stored value counts.
-    counts = stored(value_counts(long_numeric(df, columns)))
-    value, n = F.col(_VALUE), F.col("n")
-    sums = counts.groupBy(_POS).agg(F.sum("n").alias("count"), (F.sum(value * n) / F.sum("n")).alias("mean"),
-                                    F.min(_VALUE).alias("min"), F.max(_VALUE).alias("max"))
-    apart = value - F.col("mean")
-    spread = (counts.join(sums.select(_POS, "mean", "count"), _POS).groupBy(_POS)
-              .agg(F.sqrt(F.try_divide(F.sum(apart * apart * n), F.first("count") - 1)).alias("std")))
+    cells = long_numeric(df, columns)
+    moments = cells.groupBy(_POS).agg(
+        F.count("*").alias("count"), nan_to_null(F.avg(_VALUE)).alias("mean"), nan_to_null(F.stddev_samp(_VALUE)).alias("std"),
+        F.min(_VALUE).alias("min"), F.max(_VALUE).alias("max"))
+    # Only values near a quartile move: see ``narrowing``.
+    quartiles = exact_quantiles(cells, _VALUE, (0.25, 0.5, 0.75), (_POS,))
     every = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias(_POS))
-    moments = every.join(sums, _POS, "left").join(spread, _POS, "left").select(
-        _POS, F.coalesce("count", F.lit(0)).alias("count"), nan_to_null(F.col("mean")).alias("mean"),
-        nan_to_null(F.col("std")).alias("std"), "min", "max")
-    quartiles = quantiles(counts, _VALUE, "n", (0.25, 0.5, 0.75), (_POS,))
-    return _named(moments.join(quartiles, _POS, "left"), columns).select(
+    found = every.join(moments, _POS, "left").join(quartiles, _POS, "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    return _named(found, columns).select(
         _NAME, "count", "mean", "std", "min",
         *[F.get("quantiles", F.lit(i)).alias(q) for i, q in enumerate(("q25", "q50", "q75"))], "max")
 
@@ -285,18 +281,21 @@ def boxplot_stats(df: DataFrame, label: str = schema.LABEL, columns: Sequence[st
     """
     columns = columns or numeric_columns(df)
     by = (_POS, label)
-    counts = stored(value_counts(long_numeric(df, columns, (label,)), by))
+    cells = long_numeric(df, columns, (label,))
     quartile = [F.get("quantiles", F.lit(i)) for i in range(3)]
     iqr = quartile[2] - quartile[0]
-    fences = (quantiles(counts, _VALUE, "n", (0.25, 0.5, 0.75), by)
-              .select(*by, *[q.alias(a) for q, a in zip(quartile, ("q1", "median", "q3"))],
+    fences = (exact_quantiles(cells, _VALUE, (0.25, 0.5, 0.75), by)
+              .select(column(_POS).alias("_p"), column(label).alias("_l"),
+                      *[q.alias(a) for q, a in zip(quartile, ("q1", "median", "q3"))],
                       (quartile[0] - 1.5 * iqr).alias("_lower"), (quartile[2] + 1.5 * iqr).alias("_upper")))
     value, inside = F.col(_VALUE), (F.col(_VALUE) >= F.col("_lower")) & (F.col(_VALUE) <= F.col("_upper"))
-    stats = (counts.join(F.broadcast(fences), list(by)).groupBy(*by, "q1", "median", "q3")
-             .agg(F.sum("n").alias("count"),
+    met = (column(_POS) == F.col("_p")) & column(label).eqNullSafe(F.col("_l"))
+    # One row per column and label is broadcast; whiskers and outliers are plain map-side aggregates.
+    stats = (cells.join(F.broadcast(fences), met).groupBy(*map(column, by), "q1", "median", "q3")
+             .agg(F.count("*").alias("count"),
                   F.min(F.when(inside, value)).alias("_lowest"), F.max(F.when(inside, value)).alias("_highest"),
-                  F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"))
-             .select(*by, "count", "q1", "median", "q3",
+                  F.count_if(~inside).alias("outliers"))
+             .select(*map(column, by), "count", "q1", "median", "q3",
                      F.least("q1", "_lowest").alias("whisker_low"),
                      F.greatest("q3", "_highest").alias("whisker_high"), "outliers"))
     return _named(stats, columns)

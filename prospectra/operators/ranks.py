@@ -56,10 +56,10 @@ def bucketed(counts: DataFrame, value: str, by: Sequence[str], target: int | Non
         steps.select(*by, F.explode("_steps").alias("_v")).groupBy(*by)
         .agg(F.percentile_approx("_v", probs, 10 * 2 ** bits).alias("_cuts")), "cut-points")
     return (counts.join(cuts, list(by))
-            .withColumn("_bucket", _search("_cuts", column(value), bits)).drop("_cuts"))
+            .withColumn("_bucket", search("_cuts", column(value), bits)).drop("_cuts"))
 
 
-def _search(cuts: str, value: Column, bits: int) -> Column:
+def search(cuts: str, value: Column, bits: int) -> Column:
     """Binary search for the number of sorted cut points <= value."""
     def step(found: Column, width: Column) -> Column:
         probe = found + width

@@ -390,7 +390,66 @@ _SLOTS = "slots(slot, feature) AS (SELECT cast(row_number() OVER (ORDER BY part,
                           for i, c in enumerate(c for c in _FEATURES if c in _TEXT)])) + "))"
 _BOTH = "(VALUES ('logistic'), ('tree')) f(family)"
 
+def _gini(a: str, b: str) -> str:
+    return f"(1.0 - ({a} / ({a} + {b})) * ({a} / ({a} + {b})) - ({b} / ({a} + {b})) * ({b} / ({a} + {b})))"
+
+
+def _tree(depth: int = 5, leaf_rows: int = 50) -> tuple[str, ...]:
+    """A tree fitted on the training side: ``placed<k>`` has each customer's node at depth k, ``best<k>`` the cuts there."""
+    cells = _list(
+        "{'pos': " + f"{i}, 'value': coalesce(cast({_q(c)} AS double), 0), 'level': cast(NULL AS varchar)" + "}" if c in _NUMERIC else
+        "{'pos': " + f"{i}, 'value': cast(0 AS double), 'level': coalesce({_q(c)}, '0')" + "}"
+        for i, c in enumerate(_TREE_COLUMNS))
+    out = [f"cells AS (SELECT client_id, c.pos AS pos, c.value AS value, c.level AS level FROM (SELECT client_id, unnest([{cells}]) AS c FROM cleaned))",
+           f"placed0 AS (SELECT client_id, {_LABEL} AS y, is_test, cast(1 AS bigint) AS node FROM marked)",
+           "class_weights AS (SELECT cast(count(*) AS double) / (2 * sum(1 - y)) AS w0, cast(count(*) AS double) / (2 * sum(y)) AS w1 "
+           "FROM placed0 WHERE is_test = 0)"]
+    left, right, whole = ("w0 * l0", "w1 * l1"), ("w0 * (t0 - l0)", "w1 * (t1 - l1)"), ("w0 * t0", "w1 * t1")
+    gain = (f"{_gini(*whole)} - (({left[0]} + {left[1]}) / ({whole[0]} + {whole[1]})) * {_gini(*left)}"
+            f" - (({right[0]} + {right[1]}) / ({whole[0]} + {whole[1]})) * {_gini(*right)}")
+    for k in range(depth):
+        out += [
+            f"counts{k} AS (SELECT node, pos, value, level, sum(1 - y) AS n0, sum(y) AS n1 FROM placed{k} JOIN cells USING (client_id) "
+            "WHERE is_test = 0 GROUP BY node, pos, value, level)",
+            f"totals{k} AS (SELECT node, sum(1 - y) AS t0, sum(y) AS t1 FROM placed{k} WHERE is_test = 0 GROUP BY node HAVING min(y) < max(y))",
+            f"""cuts{k} AS (
+  SELECT node, pos, value, level, t0, t1, lead(value) OVER w AS following,
+    CASE WHEN level IS NULL THEN sum(n0) OVER w ELSE t0 - n0 END AS l0, CASE WHEN level IS NULL THEN sum(n1) OVER w ELSE t1 - n1 END AS l1
+  FROM counts{k} JOIN totals{k} USING (node) WINDOW w AS (PARTITION BY node, pos ORDER BY value))""",
+            f"""best{k} AS (
+  SELECT node, pos, level, {gain} AS gain,
+    CASE WHEN level IS NULL THEN CASE WHEN (value + following) / 2 < following THEN (value + following) / 2 ELSE value END END AS threshold
+  FROM cuts{k} CROSS JOIN class_weights WHERE l0 + l1 >= {leaf_rows} AND t0 + t1 - l0 - l1 >= {leaf_rows}
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, pos, value, cuts{k}.level) = 1)""",
+            f"""placed{k + 1} AS (
+  SELECT p.client_id, y, is_test, CASE WHEN b.node IS NULL THEN p.node ELSE 2 * p.node + cast(
+    CASE WHEN b.level IS NULL THEN c.value > b.threshold ELSE c.level = b.level END AS bigint) END AS node
+  FROM placed{k} p LEFT JOIN best{k} b ON b.node = p.node LEFT JOIN cells c ON c.client_id = p.client_id AND c.pos = b.pos)"""]
+    names = _list(f"({i}, {_s(c)})" for i, c in enumerate(_TREE_COLUMNS))
+    every = " UNION ".join(f"SELECT node, count(*) AS rows, cast(sum(y) AS bigint) AS positives FROM placed{k} WHERE is_test = 0 GROUP BY node"
+                           for k in range(depth + 1))
+    cuts = " UNION ALL ".join(f"SELECT * FROM best{k}" for k in range(depth))
+    a, b = "w0 * (rows - positives)", "w1 * positives"
+    out += [f"cut_names(pos, column_name) AS (VALUES {names})", f"every AS ({every})", f"cuts AS ({cuts})",
+            f"""tree AS (
+  SELECT node, cast(length(bin(node)) - 1 AS integer) AS depth, rows, positives, {a} + {b} AS weight,
+    {_gini(a, b)} AS impurity, {b} / ({a} + {b}) AS probability, column_name, level, threshold, gain
+  FROM every CROSS JOIN class_weights LEFT JOIN cuts USING (node) LEFT JOIN cut_names USING (pos))"""]
+    return tuple(out)
+
+
+_TREE_COLUMNS = [*[c for c in _FEATURES if c in _NUMERIC], *[c for c in _FEATURES if c not in _NUMERIC]]
+
 _MODELS = {
+    "exact_tree": _with("SELECT node, depth, rows, positives, round(weight, 6) AS weight, round(impurity, 6) AS impurity, "
+                        "round(probability, 6) AS probability, column_name, level, round(threshold, 6) AS threshold, "
+                        "round(gain, 6) AS gain FROM tree", _CLEANED, *_MARKED, *_tree()),
+    "exact_tree_importances": _with(
+        "SELECT feature, round(taken / sum(taken) OVER (), 6) AS importance FROM (SELECT column_name || coalesce('_' || level, '') AS feature, "
+        "sum(weight * gain) AS taken FROM tree WHERE column_name IS NOT NULL GROUP BY feature)", _CLEANED, *_MARKED, *_tree()),
+    "exact_tree_scores": _with(
+        "SELECT client_id, node AS leaf, round(probability, 6) AS score, cast(probability >= 0.2 AS integer) AS flag "
+        "FROM placed5 JOIN tree USING (node)", _CLEANED, *_MARKED, *_tree()),
     "train_folds": _with(f"SELECT client_id, {_LABEL}, is_test, fold FROM marked", *_MARKED),
     "cv_scores": _with(f"SELECT family, fold, count(*) AS rows, cast(sum({_LABEL}) AS bigint) AS positives, true AS metrics_in_range "
                        f"FROM marked CROSS JOIN {_BOTH} WHERE is_test = 0 GROUP BY family, fold", *_MARKED),

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from prospectra import schema, standins
 from prospectra.functions.values import clamped, column, flag_at, missing_to_zero, percent_text, segment, text_or_zero
-from prospectra.operators import explain, features, label, metrics, model, prep, profile, publish, split
+from prospectra.operators import explain, features, label, metrics, model, prep, profile, publish, split, tree
 from prospectra.plans import training
 from prospectra.session import shared_folder
 from prospectra.sources import landing, tables
@@ -356,6 +356,32 @@ def train_tree(spark, sf_dir):
                       F.lit(last.depth <= model.TREE_DEPTH).alias("depth_is_bounded"))
 
 
+@functools.cache
+def _exact_tree_for(application: str, sf_dir: str) -> tuple[tree.Node, ...]:
+    return tuple(tree.fit(training.side(_split_for(application, sf_dir), 0)))
+
+
+def _exact_tree(spark, sf_dir) -> tuple[tree.Node, ...]:
+    return _exact_tree_for(spark.sparkContext.applicationId, sf_dir)
+
+
+def exact_tree(spark, sf_dir):
+    """The nodes of the exact-split tree: cuts, gains, rows of each class, impurities."""
+    return rounded(tree.node_table(spark, _exact_tree(spark, sf_dir)))
+
+
+def exact_tree_importances(spark, sf_dir):
+    return rounded(tree.importances(tree.node_table(spark, _exact_tree(spark, sf_dir))))
+
+
+def exact_tree_scores(spark, sf_dir):
+    """Every customer's leaf, score and flag by the exact-split tree, as one native expression."""
+    nodes = _exact_tree(spark, sf_dir)
+    table = features.clean_values(standins.stage2_table(spark, sf_dir))
+    scored = table.select(schema.ID, tree.place_of(nodes).alias("leaf"), tree.probability(nodes).alias(schema.SCORE))
+    return rounded(scored.withColumn(schema.FLAG, flag_at(F.col(schema.SCORE))))
+
+
 def coefficients(spark, sf_dir):
     """The slots of the model's own encoder in order: numbers, then the levels of each text column."""
     fitted, train = _trained(spark, sf_dir, "logistic")
@@ -473,6 +499,9 @@ QUERIES: dict[str, Query] = {
     "prospects_unmatched": prospects_unmatched,
     "train_logistic": train_logistic,
     "train_tree": train_tree,
+    "exact_tree": exact_tree,
+    "exact_tree_importances": exact_tree_importances,
+    "exact_tree_scores": exact_tree_scores,
     "coefficients": coefficients,
     "importances": importances,
     "cv_scores": cv_scores,

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prospectra.functions.values import column
+from prospectra.sources import multiline
 
 
 def read_csv(spark: SparkSession, path: str | list[str], sep: str = ";", types: T.StructType | None = None,
@@ -17,17 +18,55 @@ def read_csv(spark: SparkSession, path: str | list[str], sep: str = ";", types:
 
     With ``types`` only the header line is looked at before the read and the
     named columns are cast afterwards (a value that does not fit is NULL);
-    without it Spark infers types in one extra pass over the files.
+    without it types are inferred in one extra pass over the files.
 
     Files are split over tasks, so a line break ends a row.  ``multi_line``
-    allows line breaks inside quotes, at the price of one task per file.
+    allows line breaks inside quotes; files are still split over tasks, and
+    records are found by the parity of quotes (see ``multiline``), which asks
+    for well-formed files.
     """
-    options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line,
-               "mode": "PERMISSIVE", "inferSchema": types is None}
+    if multi_line:
+        df = normalize_columns(_read_records(spark, path, sep))
+        return infer_columns(df) if types is None else cast_columns(df, {f.name: f.dataType for f in types.fields})
+    options = {**_OPTIONS, "header": True, "sep": sep, "inferSchema": types is None}
     df = normalize_columns(spark.read.options(**options).csv(path))
     return df if types is None else cast_columns(df, {f.name: f.dataType for f in types.fields})
 
 
+_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+
+
+def _read_records(spark: SparkSession, path: str | list[str], sep: str) -> DataFrame:
+    """All columns as text.  Records are cut by ``multiline``, their fields by Spark's own parser."""
+    header = spark.read.options(**_OPTIONS, header=True, sep=sep, multiLine=True).csv(path)
+    rows = multiline.records(spark, path).where(~F.col("first"))
+    options = {**_OPTIONS, "sep": sep, "multiLine": "true", "lineSep": "\n"}
+    fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header.columns))])
+    parsed = rows.select(F.from_csv("record", fields.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "),
+                                    options).alias("r"))
+    return parsed.select("r.*").toDF(*header.columns)
+
+
+# From the narrowest type to the widest; what fits none stays text.
+_INFERRED = (T.IntegerType(), T.LongType(), T.DoubleType(), T.DateType(), T.TimestampType(), T.BooleanType())
+
+
+def infer_columns(df: DataFrame) -> DataFrame:
+    """Text columns cast to the first type that all their present values fit, in one pass over the table.
+
+    A column without any value stays text.
+    """
+    def fits(name: str) -> list[Column]:
+        value = column(name)
+        return [F.count_if(value.isNotNull() & value.try_cast(kind).isNull()) for kind in _INFERRED]
+
+    found = df.agg(F.array(*[F.struct(F.count(column(c)).alias("n"), F.array(*fits(c)).alias("misfits")) for c in df.columns])
+                   .alias("found")).first().found
+    types = {c: next((kind for kind, misfits in zip(_INFERRED, f.misfits) if f.n and not misfits), T.StringType())
+             for c, f in zip(df.columns, found)}
+    return cast_columns(df, types)
+
+
 def normal_name(name: str) -> str:
     return "_".join(name.strip().lower().split(" "))
 
