@@ -115,23 +115,28 @@ def _list(words: list[str]) -> str:
 
 
 _PHRASES = ", ".join(f"('{p.label}', {_list(p.words())})" for p in license_scan.PHRASES)
-_TEMPLATES = ", ".join(f"('{t.label}', {_list(t.distinct())}, {len(t.words())})" for t in license_scan.TEMPLATES)
+_TEMPLATES = ", ".join(
+    f"('{t.label}', {_list(t.distinct())}, {_list(t.naming.split())}::VARCHAR[], {len(t.words())}, "
+    f"{len(t.distinct()) if len(t.words()) < 10 else -(-len(t.distinct()) * 80 // 100)})" for t in license_scan.TEMPLATES)
 
 OP9 = rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS k, doc_id,
     regexp_extract_all({_LOWER.replace('text', "coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 phrases(label, p) AS (VALUES {_PHRASES}),
-templates(label, need, n) AS (VALUES {_TEMPLATES}),
+templates(label, need, naming, n, least) AS (VALUES {_TEMPLATES}),
 spots AS (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM docs WHERE list_has_any(w, ['license', 'by'])),
 places AS (SELECT k, label, i - 1 AS place FROM spots JOIN phrases ON w[i:i + len(p) - 1] = p),
 base AS (
   SELECT k, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY k),
-blocks AS (SELECT k, w, label, need, n, unnest(range(0, len(w), n)) AS b FROM docs CROSS JOIN templates),
+held AS (SELECT k, w, t.* FROM docs JOIN templates t ON len(list_intersect(need, w)) >= least),
+blocks AS (SELECT k, w, label, need, naming, n, least, unnest(range(0, len(w))) AS b FROM held),
 found AS (
-  SELECT k, label, len(list_intersect(need, w[b + 1:b + 2 * n])) AS met, len(need) AS size FROM blocks),
-more AS (SELECT k, label, max(met::DOUBLE / size) AS share FROM found WHERE 100 * met >= 80 * size GROUP BY k, label),
+  SELECT k, label, least, len(need) AS size, list_intersect(need, w[b + 1:b + 2 * n]) AS met, naming FROM blocks),
+more AS (
+  SELECT k, label, max(len(met)::DOUBLE / size) AS share FROM found
+  WHERE len(met) >= least AND list_has_all(met, naming) GROUP BY k, label),
 best AS (SELECT k, max(share) AS best FROM more GROUP BY k),
 named AS (
   SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) AS labels

@@ -1,3 +1,4 @@
+import random
 import re
 
 from prospectra.llm import license_scan as scan
@@ -16,10 +17,11 @@ def brute(text, percent=scan.THRESHOLD_PERCENT):
         base |= {p.label} if at else set()
     labels, best = set(base), 0.0
     for t in scan.TEMPLATES:
-        need, n = set(t.words()), len(t.words())
-        for i in range(0, max(len(w), 1), n):
-            share = len(need & set(w[i:i + 2 * n])) / len(need)
-            if share * 100 >= percent:
+        need, n, naming = set(t.words()), len(t.words()), set(t.naming.split())
+        for i in range(len(w)):
+            met = need & set(w[i:i + 2 * n])
+            share = len(met) / len(need)
+            if naming <= met and (share * 100 >= percent if n >= 10 else met == need):
                 labels.add(t.label)
                 best = max(best, share)
     return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)),
@@ -32,6 +34,12 @@ def test_equals_brute_force(spark):
              "Apache Apache License license apache", "licensed under CC BY-NC 4.0.", "All rights reserved", "all rights are reserved",
              long, "permission is hereby granted free of charge to any person", "İK mit licenſe K", "cc by" * 3, "cc by " * 50,
              scan.TEMPLATES[1].wording.upper(), " ".join(reversed(scan.TEMPLATES[0].words())), "\x00\x7f", "ÉÀ éà mit license"]
+    # Passages with words put in between, at every offset.
+    rng = random.Random(2)
+    for t in scan.TEMPLATES:
+        for gap in (0, 1, 3):
+            spread = [x for word in t.words() for x in (word, *(["und"] * (rng.random() < gap / 2)))]
+            texts.append(" ".join(["vor"] * rng.randint(0, 2 * len(spread)) + spread + ["nach"] * rng.randint(0, 40)))
     data = [*e.rows(), *[(1000 + i, t, "en", "a", 0) for i, t in enumerate(texts)]]
     found = [tuple(r) for r in scan.scan(e.table(spark, data, extra=True)).collect()]
     assert sorted(found, key=str) == sorted(((d[0], *brute(d[1])) for d in data), key=str)
@@ -51,3 +59,34 @@ def test_plan_is_native_and_empty_table_works(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert scan.scan(e.empty(spark)).collect() == []
+
+
+def test_labels_that_differ_in_one_word(spark):
+    texts = ["Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0.", "released under the apache license",
+             "Released under the MIT License", "all rights reserved", "all rights", "licensed under the license version 2 0"]
+    rows = scan.scan(e.table(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])).collect()
+    assert [r["labels"] for r in sorted(rows, key=lambda r: r["doc_id"])] == [
+        "cc-by,cc-by-nc", "cc-by,cc-by-sa", "apache", "mit", "all-rights-reserved", "", ""]
+
+
+def test_naming_words_must_stand(spark):
+    gpl = scan.TEMPLATES[1].wording
+    rows = [(0, gpl.replace("gnu ", ""), "en", "a", 0), (1, gpl.replace("free charge ", ""), "en", "a", 0)]
+    found = {r["doc_id"]: r["labels"] for r in scan.scan(e.table(spark, rows)).collect()}
+    assert found == {0: "", 1: "gpl"}
+
+
+def test_passages_at_every_offset(spark):
+    """Spread over nearly twice its length, a passage is found wherever it begins."""
+    words = scan.TEMPLATES[0].words()
+    spread = [x for w in words[:-1] for x in (w, "so")] + words[-1:]
+    rows = [(i, " ".join(["vor"] * i + spread + ["nach"] * 30), "en", "a", 0) for i in range(2 * len(words))]
+    assert all("gpl" in r["labels"] for r in scan.scan(e.table(spark, rows)).collect())
+
+
+def test_cost_follows_meetings_not_templates(spark):
+    """Many templates that no text meets add no meeting."""
+    many = (*scan.TEMPLATES, *[scan.Template(f"t{i}", " ".join(f"word{i}x{j}" for j in range(12))) for i in range(300)])
+    df = e.table(spark, [(i, f"{e.prose(i, 60)} {t.wording}", "en", "a", 0) for i, t in enumerate(scan.TEMPLATES)])
+    plain, with_many = ([tuple(r) for r in scan.scan(df, templates=t).orderBy("doc_id").collect()] for t in (scan.TEMPLATES, many))
+    assert plain == with_many
