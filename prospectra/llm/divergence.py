@@ -6,7 +6,7 @@ least ``LEAST_DOCS`` documents of the language take part.
 
 The frequent terms are found without ever counting the rare ones.  A term can
 be in no more documents than any of its prefixes, so prefixes are counted level
-by level (4 bytes, 8, 16, ...), and a prefix below the threshold is discarded
+by level (6 bytes, 12, 24, ...), and a prefix below the threshold is discarded
 together with all terms below it.  Terms end in a mark, so a prefix that ends
 in the mark is a complete term and is done; refinement ends when no longer
 prefix is left.  Each document sends a prefix at most once per level and counts
@@ -42,7 +42,7 @@ from prospectra.llm.common import in_slices, ready_for_python, small_or_plain
 from prospectra.session import write_and_read_back
 
 LEAST_DOCS = 30
-FIRST_WIDTH = 4
+FIRST_WIDTH = 6
 TOP_TERMS = 50
 # A task's matrix: so many terms by twice so many sources at most.
 BLOCK_TERMS = 2048
@@ -89,7 +89,7 @@ def count_terms(docs: DataFrame, text: str = "text", lang: str = "lang", source:
 
 def _prefixes(terms: str, before: int, width: int) -> Column:
     """A document's distinct prefixes of ``width`` bytes; terms of up to ``before`` bytes are complete already."""
-    longer = F.filter(terms, lambda t: F.length(t) > before)
+    longer = F.filter(terms, lambda t: F.length(t) > before) if before else F.col(terms)
     return F.array_distinct(F.transform(longer, lambda t: F.substring(t, 1, width)))
 
 
@@ -139,7 +139,7 @@ def _block_distances(tile: int):
 
         Rows without a term name a source and the share of terms it lacks.
         """
-        term = table["term"].combine_chunks().dictionary_encode()
+        term = table["term_id"].combine_chunks().dictionary_encode()
         at = term.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         place, p = (table[c].to_numpy() for c in ("place", "p"))
         bare = at < 0
@@ -171,10 +171,10 @@ def _distances(shares: DataFrame, groups: DataFrame, block_terms: int, tile: int
     # A tile meets every tile once, itself too; a language whose sources fit one tile repeats nothing.
     meets = F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(
         F.least(own, t).alias("tile_a"), F.greatest(own, t).alias("tile_b")))
-    columns = ["lang", "block", "tile_a", "tile_b", "place", "term", "p"]
+    columns = ["lang", "block", "tile_a", "tile_b", "place", "term_id", "p"]
     bare = (groups.where("v > 0").select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-            .select("*", F.inline(meets)).withColumns({"term": F.lit(None).cast("string"), "p": F.col("absent")}))
-    held = shares.withColumn("block", F.pmod(F.xxhash64("term"), blocks).cast("int")).select("*", F.inline(meets))
+            .select("*", F.inline(meets)).withColumns({"term_id": F.lit(None).cast("long"), "p": F.col("absent")}))
+    held = shares.withColumn("block", F.pmod(F.col("term_id"), blocks).cast("int")).select("*", F.inline(meets))
     return (held.select(*columns).unionByName(bare.select(*columns)).groupBy("lang", "block", "tile_a", "tile_b")
             .applyInArrow(_block_distances(tile), _DISTANCES).groupBy("lang", "a", "b").agg(F.sum("value").alias("value")))
 
@@ -185,25 +185,30 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = TOP_TE
     """(lang, source, part, item, value, rank): per source its distance from every other source of
     the language (``pair``), and the terms it uses more than its language does (``term``)."""
     documents = count_terms(docs, text, lang, source)
-    kept = write_and_read_back(frequent_terms(documents, least_docs, first_width).select("lang", "term"), "audit-kept")
-    wanted = small_or_plain(kept.select(F.col("lang").alias("_lang"), F.col("term").alias("_term")))
-    uses = documents.select("lang", "source", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("counts").alias("n"))))
+    every = write_and_read_back(documents.select("lang", "source").distinct()
+                                .withColumn("group_id", F.monotonically_increasing_id()), "audit-sources")
+    # Numbered in the order of languages and terms, so that numbers stand in for terms until the end.
+    kept = write_and_read_back(
+        frequent_terms(documents, least_docs, first_width).select("lang", "term").repartitionByRange("lang", "term")
+        .sortWithinPartitions("lang", "term").withColumn("term_id", F.monotonically_increasing_id()), "audit-kept")
+    wanted = small_or_plain(kept.select(F.col("lang").alias("_lang"), F.col("term").alias("_term"), "term_id"))
+    uses = documents.join(small_or_plain(every), ["lang", "source"]).select(
+        "lang", "group_id", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("counts").alias("n"))))
     counts = write_and_read_back(
-        uses.join(wanted, (F.col("lang") == F.col("_lang")) & (F.col("term") == F.col("_term")), "left_semi")
-        .groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "audit-counts")
+        uses.join(wanted, (F.col("lang") == F.col("_lang")) & (F.col("term") == F.col("_term")))
+        .groupBy("group_id", "term_id").agg(F.sum("n").alias("n")), "audit-counts")
 
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    every = documents.select("lang", "source").distinct()
+    totals = counts.groupBy("group_id").agg(F.sum("n").alias("total"))
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"))
     in_lang = Window.partitionBy("lang")
     groups = write_and_read_back(
-        every.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
-        .select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v"))
+        every.join(totals, "group_id", "left").join(sizes, "lang", "left")
+        .select("lang", "source", "group_id", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v"))
         .select("*", F.sum("total").over(in_lang).alias("lang_total"), F.count("*").over(in_lang).alias("sources"),
                 (F.row_number().over(in_lang.orderBy("source")) - 1).alias("place"))
         .withColumn("absent", F.when(F.col("v") > 0, share(F.lit(0).cast("long"), F.col("total"), F.col("v")))),
         "audit-groups")
-    shares = counts.join(small_or_plain(groups), ["lang", "source"]).withColumn(
+    shares = counts.join(small_or_plain(groups), "group_id").withColumn(
         "p", share(F.col("n"), F.col("total"), F.col("v")))
 
     values = _distances(shares, groups, block_terms, tile_sources)
@@ -215,13 +220,14 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = TOP_TE
     # The result has a row for every two sources of a language; their number is its size.
     pairs = (one.join(other, "lang").where("place <> other").join(both, ["lang", "place", "other"], "left")
              .select("lang", "source", F.lit("pair").alias("part"), "item", (F.coalesce("value", F.lit(0)) + without).alias("value")))
+    ranked = pairs.withColumn("rank", F.row_number().over(
+        Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
 
-    overall = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
-    above = (shares.join(overall, ["lang", "term"])
+    overall = counts.groupBy("term_id").agg(F.sum("n").alias("lang_n"))
+    above = (shares.join(overall, "term_id")
              .withColumn("value", F.col("p") - share(F.col("lang_n"), F.col("lang_total"), F.col("v"))).where("value > 0"))
-    by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "term")
-    terms = (above.withColumn("rank", F.row_number().over(by_value)).where(F.col("rank") <= top_terms)
+    by_value = Window.partitionBy("group_id").orderBy(F.desc("value"), "term_id")
+    best = above.select("lang", "source", "group_id", "term_id", "value", F.row_number().over(by_value).alias("rank"))
+    terms = (best.where(F.col("rank") <= top_terms).join(kept.select("term_id", "term"), "term_id")
              .select("lang", "source", F.lit("term").alias("part"), _spelt(F.col("term")).alias("item"), "value", "rank"))
-    ranked = pairs.withColumn("rank", F.row_number().over(
-        Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
     return ranked.unionByName(terms)
