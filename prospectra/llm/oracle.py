@@ -7,7 +7,7 @@ from prospectra.llm import license_scan
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-# Documents of a host are counted for a line by the longest other line of each.
+# Documents with the same set of normalised lines count once.
 OP2 = rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, source AS host, {_WORDS} AS w FROM documents),
@@ -24,16 +24,13 @@ worded AS (
 lined AS (SELECT k, host, raw, array_to_string(lw, ' ') AS line, len(lw) AS n FROM worded WHERE len(lw) > 0),
 dups AS (SELECT k, count(*) - count(DISTINCT raw) AS n_dup_lines FROM lined GROUP BY k),
 lines AS (SELECT k, host, line, sum(n) AS n FROM lined GROUP BY k, host, line),
-others AS (
-  SELECT *, row_number() OVER (PARTITION BY k ORDER BY strlen(line) DESC, encode(line) DESC) AS r FROM lines),
-families AS (
-  SELECT l.k, l.host, l.line, l.n, coalesce(CASE WHEN l.r = 1 THEN b.line ELSE a.line END, '') AS family
-  FROM others l LEFT JOIN others a ON a.k = l.k AND a.r = 1 LEFT JOIN others b ON b.k = l.k AND b.r = 2),
-sizes AS (SELECT host, count(*) AS host_docs FROM docs GROUP BY host),
+pages AS (SELECT k, host, string_agg(line, chr(10) ORDER BY line) AS page FROM lines GROUP BY k, host),
+sizes AS (
+  SELECT host, count(DISTINCT coalesce(page, '')) AS host_docs FROM docs LEFT JOIN (SELECT k, page FROM pages) USING (k) GROUP BY host),
 frequent AS (
-  SELECT f.host, f.line FROM families f JOIN sizes s ON f.host IS NOT DISTINCT FROM s.host
-  GROUP BY f.host, f.line, s.host_docs
-  HAVING count(DISTINCT f.family) > 20 AND 100 * count(DISTINCT f.family) > 5 * s.host_docs),
+  SELECT l.host, l.line FROM lines l JOIN pages p USING (k) JOIN sizes s ON l.host IS NOT DISTINCT FROM s.host
+  GROUP BY l.host, l.line, s.host_docs
+  HAVING count(DISTINCT p.page) > 20 AND (100 * count(DISTINCT p.page) > 5 * s.host_docs OR count(DISTINCT p.page) > 1000)),
 removed AS (
   SELECT l.k, sum(l.n) AS removed_words FROM lines l
   JOIN frequent f ON l.line = f.line AND l.host IS NOT DISTINCT FROM f.host GROUP BY l.k),

@@ -8,9 +8,9 @@ its words are left.
 Copies must not make each other's lines look like page furniture, so documents
 that agree in the set of all their normalised lines count once; pages that
 share some lines and differ in any other are documents of their own.
-``frequent_lines`` can also count by the longest *other* line of each document,
-as the SQL of op2 does; that misses lines of pages that share two lines longer
-than their own.
+
+A host's limit follows its size between two absolute numbers, so that a line of
+a few pages never goes and a line of very many always does, however big the host.
 
 Defined results: a NULL text has no words (so it fails the base rule); NULL
 hosts form one host of their own; repeated rows are measured row by row and
@@ -36,9 +36,11 @@ from prospectra.session import write_and_read_back
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-# A line is removed in a host beyond this many documents and this share of the host's documents.
+# A line is removed in a host beyond this many documents and this share of the host's documents,
+# and beyond ``MOST_DOCS`` documents whatever the share.
 LIMIT_DOCS = 20
 LIMIT_PERCENT = 5
+MOST_DOCS = 1000
 # A document is depleted when less than this share of its words is left.
 LEAST_LEFT_PERCENT = 30
 
@@ -47,13 +49,13 @@ _SEPARATORS = " \t\n\x0b\x0c\r"
 
 _MEASURES = ("row_key long, doc_id long, host long, text_hash_a long, text_hash_b long, n_words long, word_chars long, "
              "n_symbols long, n_dup_lines long, n_repeat_words long, "
-             "page long, lines array<struct<line: long, words: int, family: long>>")
+             "page long, lines array<struct<line: long, words: int>>")
 
 
 _ARROW = pa.schema([
     *[(n, pa.int64()) for n in ("row_key", "doc_id", "host", "text_hash_a", "text_hash_b", "n_words", "word_chars",
                                 "n_symbols", "n_dup_lines", "n_repeat_words", "page")],
-    ("lines", pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32()), ("family", pa.int64())])))])
+    ("lines", pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32())])))])
 
 
 def _signed(n: int) -> int:
@@ -85,18 +87,14 @@ def duplicate_lines(text: str) -> int:
 
 def _line_entries(data: bytes, host: bytes) -> tuple[int, list[dict]]:
     """The hash of the text's set of normalised lines, and one entry per such line: its hash
-    within the host, its words over all places, and the hash of the longest other line of the text."""
+    within the host and its words over all places."""
     words: dict[bytes, int] = {}
     for raw in data.lower().split(b"\n"):
         parts = raw.split()
         if parts:
             line = b" ".join(parts)
             words[line] = words.get(line, 0) + len(parts)
-    longest = sorted(words, key=lambda x: (len(x), x))[-2:]
-    entries = []
-    for line, n in words.items():
-        other = next((x for x in reversed(longest) if x != line), b"")
-        entries.append({"line": _hash(host + b"\0" + line), "words": n, "family": _hash(other)})
+    entries = [{"line": _hash(host + b"\0" + line), "words": n} for line, n in words.items()]
     return _hash(b"\n".join(sorted(words))), entries
 
 
@@ -126,23 +124,24 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: s
     return write_and_read_back(rows.mapInArrow(_measure, _MEASURES), "quality-measures")
 
 
-def frequent_lines(measures: DataFrame, limit_docs: int = LIMIT_DOCS,
-                   limit_percent: int = LIMIT_PERCENT, once_per: str = "family") -> DataFrame:
+def frequent_lines(measures: DataFrame, limit_docs: int = LIMIT_DOCS, limit_percent: int = LIMIT_PERCENT,
+                   most_docs: int = MOST_DOCS) -> DataFrame:
     """A written table (host, line, documents) of the lines above their host's limit.
 
-    Documents that agree in ``once_per`` count once: 'page', the set of all
-    lines, or 'family', the longest other line.  The pairs are made distinct by
-    (line, once_per) first, so a line that a third of all documents hold is
-    spread over many tasks and counted map-side.  With 'page' a host's size is
-    counted in the same distinct documents as the lines.
+    Documents with the same set of lines count once, for a line and for the
+    host's size.  The pairs are made distinct by (line, set) first, so a line
+    that a third of all documents hold is spread over many tasks and counted
+    map-side.  Counts are written before they meet the hosts' sizes, so that a
+    host with very many lines is split.
     """
-    sized = measures.groupBy("host", "page").agg(F.lit(1).alias("one")) if once_per == "page" else measures
-    sizes = sized.groupBy("host").agg(F.count("*").alias("host_docs"))
-    entries = measures.select("host", "page", F.explode("lines").alias("l")).select("host", "page", "l.line", "l.family")
-    found = (entries.groupBy("host", "line", once_per).agg(F.lit(1).alias("one"))
-             .groupBy("host", "line").agg(F.count("*").alias("documents"))
-             .where(F.col("documents") > limit_docs))
-    above = found.join(sizes, "host").where(F.col("documents") * 100 > F.col("host_docs") * limit_percent)
+    sizes = write_and_read_back(measures.groupBy("host", "page").agg(F.lit(1).alias("one"))
+                                .groupBy("host").agg(F.count("*").alias("host_docs")), "host-sizes")
+    entries = measures.select("host", "page", F.explode("lines").alias("l")).select("host", "page", "l.line")
+    found = write_and_read_back(
+        entries.groupBy("host", "line", "page").agg(F.lit(1).alias("one"))
+        .groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > limit_docs), "line-counts")
+    beyond = (F.col("documents") * 100 > F.col("host_docs") * limit_percent) | (F.col("documents") > most_docs)
+    above = found.join(small_or_plain(sizes), "host").where(beyond)
     return write_and_read_back(above.select("host", "line", "documents"), "frequent-lines")
 
 
@@ -165,7 +164,7 @@ def judge(measures: DataFrame, frequent: DataFrame, least_left_percent: int = LE
 
 def apply_rules(docs: DataFrame, **columns: str) -> DataFrame:
     measures = measure(docs, **columns)
-    return judge(measures, frequent_lines(measures, once_per="page"))
+    return judge(measures, frequent_lines(measures))
 
 
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:

@@ -1,10 +1,15 @@
 from collections import Counter, defaultdict
 
+import duckdb
+
 from prospectra.llm import quality_rules as rules
+from prospectra.llm.oracle import ORACLE_SQL
+from prospectra.llm.queries import QUERIES
+from tests.compare import mismatch
 from tests.llm import edge_rows as e
 
 
-def brute(data, limit_docs, limit_percent, least_left):
+def brute(data, limit_docs, limit_percent, least_left, most_docs=1000):
     docs, lines_of = [], []
     for doc_id, text, _, source, _ in data:
         w = e.words(text)
@@ -17,12 +22,13 @@ def brute(data, limit_docs, limit_percent, least_left):
         docs.append([doc_id, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""),
                      len(raw) - len(set(raw)), len(covered), source])
         lines_of.append(lines)
-    families, sizes = defaultdict(set), Counter(d[6] for d in docs)
+    pages, sizes = defaultdict(set), defaultdict(set)
     for d, lines in zip(docs, lines_of):
+        sizes[d[6]].add(frozenset(lines))
         for line in lines:
-            rest = [x for x in lines if x != line]
-            families[d[6], line].add(max(rest, key=lambda x: (len(x.encode()), x.encode())) if rest else "")
-    often = {k for k, f in families.items() if len(f) > limit_docs and len(f) * 100 > sizes[k[0]] * limit_percent}
+            pages[d[6], line].add(frozenset(lines))
+    often = {k for k, f in pages.items()
+             if len(f) > limit_docs and (len(f) * 100 > len(sizes[k[0]]) * limit_percent or len(f) > most_docs)}
     out = []
     for d, lines in zip(docs, lines_of):
         gone = sum(n for line, n in lines.items() if (d[6], line) in often)
@@ -31,9 +37,9 @@ def brute(data, limit_docs, limit_percent, least_left):
     return out
 
 
-def run(spark, df, limit_docs=rules.LIMIT_DOCS, limit_percent=rules.LIMIT_PERCENT):
+def run(spark, df, limit_docs=rules.LIMIT_DOCS, limit_percent=rules.LIMIT_PERCENT, most_docs=rules.MOST_DOCS):
     m = rules.measure(df)
-    found = rules.judge(m, rules.frequent_lines(m, limit_docs, limit_percent))
+    found = rules.judge(m, rules.frequent_lines(m, limit_docs, limit_percent, most_docs))
     return [tuple(r) for r in found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                                            "base_failed", "kept", "removed_words").collect()]
 
@@ -87,3 +93,25 @@ def test_kept_rows_keep_their_columns_and_repeats(spark):
 def test_empty_table(spark):
     assert run(spark, e.empty(spark)) == []
     assert rules.keep_good(e.empty(spark)).collect() == []
+
+
+def test_a_big_host_is_not_spared(spark):
+    """A banner in 60 of 2,000 pages is under the share of the host; beyond the absolute limit it goes all the same."""
+    data = [(i, (f"{e.prose(5, 40)}\n" if i < 60 else "") + f"{e.prose(1000 + i, 12)}", "en", "big", 0) for i in range(2000)]
+    df = e.table(spark, data)
+    assert all(r[8] == 0 for r in run(spark, df))
+    found = run(spark, df, most_docs=50)
+    assert sorted(found) == sorted(brute(data, 20, 5, 30, 50))
+    assert {r[0] for r in found if r[8]} == set(range(60))
+
+
+def test_sql_counts_like_the_query(spark, tmp_path):
+    """Pages whose shared lines are longer than their own."""
+    furniture = "\n".join(e.prose(900 + i, 9) for i in range(5))
+    data = [(i, f"{furniture}\nown words number {i}", "en", "a" if i % 2 else None, 0) for i in range(60)]
+    data += [(100 + i, e.prose(7, 60), "en", "a", 0) for i in range(40)]
+    path = str(tmp_path / "documents.parquet")
+    e.table(spark, data).coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    assert mismatch(QUERIES["op2_quality_rules"](spark, str(tmp_path)), con, ORACLE_SQL["op2_quality_rules"]) is None
