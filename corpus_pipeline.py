@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prospectra.functions.values import column
 from prospectra.llm import bpe, mixing, ngram_join, quality_classifier, quality_rules
+from prospectra.llm.common import free_name
 from prospectra.session import write_and_read_back
 
 
@@ -34,10 +36,15 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document of the mix with its ids (little-endian 32-bit) and whether they decode to its text."""
+    """Every document of the mix with its ids (little-endian 32-bit) and whether they decode to its text.
+
+    A name that the documents have already gets underscores in front.
+    """
     back = bpe.round_trip(docs)
-    return back.select(*docs.columns, "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                       (F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("round_trip"))
+    ids, decoded = (column(c) for c in back.columns[len(docs.columns):])
+    added = {"ids": ids, "n_tokens": (F.octet_length(ids) / 4).cast("long"),
+             "round_trip": decoded == F.coalesce(column("text"), F.lit("")).cast("binary")}
+    return back.select(*[column(c) for c in docs.columns], *[v.alias(free_name(docs.columns, n)) for n, v in added.items()])
 
 
 STAGES = [
