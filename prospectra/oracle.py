@@ -278,6 +278,10 @@ def _fold(seed: int) -> str:
     return " + ".join(f"cast({h} >= '{cut}' AS integer)" for cut in ("33333333", "66666666", "99999999", "cccccccc"))
 
 
+def _cells(source: str) -> str:
+    return _CELLS.replace("FROM scored)", f"FROM {source})")
+
+
 _CELLS = """m AS (
   SELECT cast(count(*) FILTER (WHERE y = 0 AND score < 0.5) AS double) AS tn,
          cast(count(*) FILTER (WHERE y = 0 AND score >= 0.5) AS double) AS fp,
@@ -305,6 +309,12 @@ def _weighted(x: str) -> str:
     return f"({x}0 * s0 + {x}1 * s1) / total"
 
 
+_REPORT = " UNION ALL ".join([
+    _line("0", "p0", "r0", "f0", "s0"), _line("1", "p1", "r1", "f1", "s1"),
+    _line("accuracy", "acc", "acc", "acc", "total"),
+    _line("macro avg", _avg("p"), _avg("r"), _avg("f"), "total"),
+    _line("weighted avg", _weighted("p"), _weighted("r"), _weighted("f"), "total")])
+
 _METRICS = {
     "roc_auc": _with("SELECT rows, positives, round(roc_auc, 6) AS roc_auc FROM measured", _steps()),
     "average_precision": _with("SELECT rows, positives, round(average_precision, 6) AS average_precision FROM measured",
@@ -313,11 +323,7 @@ _METRICS = {
         "SELECT cast(a.v AS integer) AS actual, cast(p.v AS integer) AS predicted, count(s.client_id) AS count "
         "FROM (VALUES (0), (1)) a(v) CROSS JOIN (VALUES (0), (1)) p(v) "
         "LEFT JOIN scored s ON s.y = a.v AND cast(s.score >= 0.5 AS integer) = p.v GROUP BY 1, 2"),
-    "classification_report": _with(" UNION ALL ".join([
-        _line("0", "p0", "r0", "f0", "s0"), _line("1", "p1", "r1", "f1", "s1"),
-        _line("accuracy", "acc", "acc", "acc", "total"),
-        _line("macro avg", _avg("p"), _avg("r"), _avg("f"), "total"),
-        _line("weighted avg", _weighted("p"), _weighted("r"), _weighted("f"), "total")]), _CELLS),
+    "classification_report": _with(_REPORT, _CELLS),
     "cv_summary": _with(
         "SELECT count(*) AS folds, round(avg(roc_auc), 6) AS roc_auc_mean, round(stddev_pop(roc_auc), 6) AS roc_auc_std, "
         "round(avg(average_precision), 6) AS average_precision_mean, "
@@ -440,6 +446,8 @@ def _tree(depth: int = 5, leaf_rows: int = 50) -> tuple[str, ...]:
 
 _TREE_COLUMNS = [*[c for c in _FEATURES if c in _NUMERIC], *[c for c in _FEATURES if c not in _NUMERIC]]
 
+_TESTED = "tested AS (SELECT y, probability AS score, probability AS score_i FROM placed5 JOIN tree USING (node) WHERE is_test = 1)"
+
 _MODELS = {
     "exact_tree": _with("SELECT node, depth, rows, positives, round(weight, 6) AS weight, round(impurity, 6) AS impurity, "
                         "round(probability, 6) AS probability, column_name, level, round(threshold, 6) AS threshold, "
@@ -450,6 +458,10 @@ _MODELS = {
     "exact_tree_scores": _with(
         "SELECT client_id, node AS leaf, round(probability, 6) AS score, cast(probability >= 0.2 AS integer) AS flag "
         "FROM placed5 JOIN tree USING (node)", _CLEANED, *_MARKED, *_tree()),
+    "exact_tree_metrics": _with(
+        "SELECT rows, positives, round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision FROM measured",
+        _CLEANED, *_MARKED, *_tree(), _TESTED, _steps("tested")),
+    "exact_tree_report": _with(_REPORT, _CLEANED, *_MARKED, *_tree(), _TESTED, _cells("tested")),
     "train_folds": _with(f"SELECT client_id, {_LABEL}, is_test, fold FROM marked", *_MARKED),
     "cv_scores": _with(f"SELECT family, fold, count(*) AS rows, cast(sum({_LABEL}) AS bigint) AS positives, true AS metrics_in_range "
                        f"FROM marked CROSS JOIN {_BOTH} WHERE is_test = 0 GROUP BY family, fold", *_MARKED),

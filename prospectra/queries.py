@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 
 from prospectra import schema, standins
 from prospectra.functions.values import clamped, column, flag_at, missing_to_zero, percent_text, segment, text_or_zero
-from prospectra.operators import explain, features, label, metrics, model, prep, profile, publish, split, tree
+from prospectra.operators import explain, features, label, metrics, model, model_table, prep, profile, publish, split, tree
 from prospectra.plans import training
-from prospectra.session import shared_folder
+from prospectra.session import shared_folder, write_and_read_back
 from prospectra.sources import landing, tables
 from prospectra.standins import TARGET_PRODUCT
 
@@ -290,14 +290,14 @@ def driver_texts(spark, sf_dir):
 
 
 def prospects(spark, sf_dir):
-    return rounded(publish.prospects(score_linear(spark, sf_dir), standins.customer_360(spark, sf_dir)))
+    return rounded(publish.prospects(score_linear(spark, sf_dir), standins.customer_360_table(spark, sf_dir)))
 
 
 def prospects_unmatched(spark, sf_dir):
     """Every tenth scored row gets an id that no customer has."""
     unknown = F.when(column(schema.ID) % HOLE == 0, -column(schema.ID)).otherwise(column(schema.ID))
     scored = score_linear(spark, sf_dir).withColumn(schema.ID, unknown)
-    return rounded(publish.unmatched_prospects(scored, standins.customer_360(spark, sf_dir)))
+    return rounded(publish.unmatched_prospects(scored, standins.customer_360_table(spark, sf_dir)))
 
 
 # Models --------------------------------------------------------------------
@@ -382,6 +382,94 @@ def exact_tree_scores(spark, sf_dir):
     return rounded(scored.withColumn(schema.FLAG, flag_at(F.col(schema.SCORE))))
 
 
+def _tested_by_exact_tree(spark, sf_dir) -> DataFrame:
+    test = training.side(_split_table(spark, sf_dir), 1)
+    return test.select(column(schema.LABEL).alias("y"), tree.probability(_exact_tree(spark, sf_dir)).alias(schema.SCORE))
+
+
+def exact_tree_metrics(spark, sf_dir):
+    """ROC-AUC and average precision of the exact-split tree on the test side."""
+    return rounded(metrics.ranking_metrics(_tested_by_exact_tree(spark, sf_dir)))
+
+
+def exact_tree_report(spark, sf_dir):
+    """Precision, recall and F1 of the exact-split tree on the test side."""
+    return metrics.classification_report(_tested_by_exact_tree(spark, sf_dir))
+
+
+@functools.cache
+def _model_tables_for(application: str, sf_dir: str) -> tuple[dict[str, model_table.ModelTable], DataFrame]:
+    stored = _split_for(application, sf_dir)
+    models = model_table.fit_all(training.side(stored, 0))
+    return models, write_and_read_back(model_table.evaluate(models, training.side(stored, 1)), "metrics")
+
+
+def _model_tables(spark, sf_dir):
+    return _model_tables_for(spark.sparkContext.applicationId, sf_dir)
+
+
+def model_metrics(spark, sf_dir):
+    """Both families on the test side, and which of them is chosen."""
+    models, measured = _model_tables(spark, sf_dir)
+    chosen = model_table.select(models, measured).family
+    return measured.withColumn("chosen", F.col("family") == chosen)
+
+
+def chosen_model(spark, sf_dir):
+    """The chosen model's table, kept in the catalog and read back."""
+    database = f"models_{uuid.uuid4().hex}"
+    tables.create_schema(spark, database, f"{shared_folder(spark)}/{database}")
+    model_table.save(model_table.select(*_model_tables(spark, sf_dir)), f"{database}.chosen")
+    return tables.read_table(spark, f"{database}.chosen")
+
+
+def chosen_model_scores(spark, sf_dir):
+    """Score and flag of every customer by the chosen model."""
+    table = features.clean_values(standins.stage2_table(spark, sf_dir))
+    return model_table.score(model_table.select(*_model_tables(spark, sf_dir)), table)
+
+
+def chosen_model_report(spark, sf_dir):
+    """The chosen model's report on the test side."""
+    chosen = model_table.select(*_model_tables(spark, sf_dir))
+    scored = model_table.with_score(chosen, training.side(_split_table(spark, sf_dir), 1), (schema.LABEL,))
+    return metrics.classification_report(scored, schema.LABEL)
+
+
+def logistic_coefficients(spark, sf_dir):
+    """Every slot's coefficient."""
+    return model_table.coefficients(_model_tables(spark, sf_dir)[0][model_table.LOGISTIC])
+
+
+def logistic_top_coefficients(spark, sf_dir):
+    """The strongest coefficients on either side."""
+    return metrics.top_and_bottom(logistic_coefficients(spark, sf_dir), "coefficient")
+
+
+def fitted_drivers(spark, sf_dir):
+    """The fitted model's key drivers, their texts, and how many customers have each."""
+    drivers = explain.key_drivers(logistic_coefficients(spark, sf_dir))
+    names = [r["feature"] for r in drivers.select("feature").collect()]
+    held = explain.active_drivers(standins.stage2_table(spark, sf_dir), names)
+    return explain.driver_texts(drivers).join(held, "feature", "left").select(
+        "feature", "coefficient", "rank", "text", F.coalesce("customers", F.lit(0)).alias("customers"))
+
+
+@functools.cache
+def _cross_validated_for(application: str, sf_dir: str) -> DataFrame:
+    return write_and_read_back(training.cross_validate(_split_for(application, sf_dir)), "cv-metrics")
+
+
+def cv_metrics(spark, sf_dir):
+    """ROC-AUC and average precision of each family and fold."""
+    return _cross_validated_for(spark.sparkContext.applicationId, sf_dir)
+
+
+def cv_means(spark, sf_dir):
+    """Mean and deviation over the folds, per family."""
+    return metrics.cv_summary(cv_metrics(spark, sf_dir), by=("family",))
+
+
 def coefficients(spark, sf_dir):
     """The slots of the model's own encoder in order: numbers, then the levels of each text column."""
     fitted, train = _trained(spark, sf_dir, "logistic")
@@ -401,7 +489,7 @@ def _in_range(*names: str):
 
 
 def cv_scores(spark, sf_dir):
-    found = training.cross_validate(_split_table(spark, sf_dir))
+    found = _cross_validated_for(spark.sparkContext.applicationId, sf_dir)
     return found.select("family", "fold", "rows", "positives",
                         _in_range("roc_auc", "average_precision").alias("metrics_in_range"))
 
@@ -502,6 +590,17 @@ QUERIES: dict[str, Query] = {
     "exact_tree": exact_tree,
     "exact_tree_importances": exact_tree_importances,
     "exact_tree_scores": exact_tree_scores,
+    "exact_tree_metrics": exact_tree_metrics,
+    "exact_tree_report": exact_tree_report,
+    "model_metrics": model_metrics,
+    "chosen_model": chosen_model,
+    "chosen_model_scores": chosen_model_scores,
+    "chosen_model_report": chosen_model_report,
+    "logistic_coefficients": logistic_coefficients,
+    "logistic_top_coefficients": logistic_top_coefficients,
+    "fitted_drivers": fitted_drivers,
+    "cv_metrics": cv_metrics,
+    "cv_means": cv_means,
     "coefficients": coefficients,
     "importances": importances,
     "cv_scores": cv_scores,

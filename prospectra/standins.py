@@ -134,10 +134,20 @@ def customer_360(spark: SparkSession, sf_dir: str) -> DataFrame:
         for c in schema.CUSTOMER_COLUMNS])
 
 
+def customer_360_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer table as a stored one, as the joins expect it: they look at its keys first."""
+    return _stored_customers(spark.sparkContext.applicationId, sf_dir)
+
+
+@functools.cache
+def _stored_customers(application: str, sf_dir: str) -> DataFrame:
+    return write_and_read_back(customer_360(SparkSession.active(), sf_dir), "customer-360")
+
+
 def stage1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer table with the label."""
     targets = label.target_accounts(transactions(spark, sf_dir), TARGET_PRODUCT)
-    return features.feature_table(customer_360(spark, sf_dir), targets)
+    return features.feature_table(customer_360_table(spark, sf_dir), targets)
 
 
 def stage2(spark: SparkSession, sf_dir: str) -> DataFrame:
