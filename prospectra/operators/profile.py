@@ -19,6 +19,7 @@ from prospectra import schema
 from prospectra.functions.values import column, is_finite, is_missing, nan_to_null
 from prospectra.operators.features import categorical_columns, numeric_columns
 from prospectra.operators.narrowing import exact_quantiles
+from prospectra.operators.ranks import stored
 
 BINS = 30
 TOP = 10
@@ -178,48 +179,80 @@ def top_categories(df: DataFrame, columns: Sequence[str] | None = None, k: int =
     return _named(top, columns)
 
 
-_PAIR_SUMS = ("n", "mean_x", "mean_y", "c_xx", "c_yy", "c_xy", "min_x", "max_x", "min_y", "max_y")
+_PAIR_SUMS = ("rows", "n", "mean_x", "mean_y", "c_xx", "c_yy", "c_xy", "min_x", "max_x", "min_y", "max_y")
+_PAIR = ("column_a", "column_b")
 
 
-def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of every column pair over rows where both are finite.
+def moment_state(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """A stored summary of the finite numbers of a load, which can be merged with those of other loads.
 
-    NULL where a side is constant, that is where its smallest and largest value
-    over the pair's rows are equal.  The matrix comes in long form, both
-    triangles.
+    One row per column pair: ``rows`` of the load, ``n`` rows where both are
+    finite, and over these the means, centred products and ranges.  A column
+    paired with itself has its own count, moments and range.
 
     One aggregate per pair would be about a thousand for the customer table,
     too wide for compiled aggregation.  Instead each task adds up the pair sums
-    of its rows by matrix products over Arrow batches and emits one row per
-    pair: counts, means, centred products and ranges.  These partial moments
-    are then merged in Spark, one row per task and pair.
+    of its rows by matrix products over Arrow batches and writes one row per
+    pair; these are then merged in Spark.
     """
     columns = list(columns or numeric_columns(df))
     doubles = df.select(*[column(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     partials = doubles.mapInArrow(_pair_moments(len(columns)),
                                   "a int, b int, " + ", ".join(f"{s} double" for s in _PAIR_SUMS))
-    pair = Window.partitionBy("a", "b")
-
-    def overall(mean: str) -> Column:
-        return F.sum(F.col("n") * F.col(mean)).over(pair) / F.nullif(F.sum("n").over(pair), F.lit(0.0))
-
-    def merged(products: str, x: Column, y: Column) -> Column:
-        # A pair with no common row has NULL offsets and stays NULL.
-        return F.sum(F.col(products) + F.col("n") * x * y).alias(products)
-
-    off_x, off_y = F.col("off_x"), F.col("off_y")
-    moments = (partials
-               .withColumn("off_x", F.col("mean_x") - overall("mean_x"))
-               .withColumn("off_y", F.col("mean_y") - overall("mean_y"))
-               .groupBy("a", "b")
-               .agg(merged("c_xx", off_x, off_x), merged("c_yy", off_y, off_y), merged("c_xy", off_x, off_y),
-                    (F.min("min_x") < F.max("max_x")).alias("varies_x"), (F.min("min_y") < F.max("max_y")).alias("varies_y")))
-    r = F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide("c_xy", F.sqrt(F.col("c_xx") * F.col("c_yy"))))))
-    found = moments.select("a", "b", F.when(F.col("varies_x") & F.col("varies_y"), r).alias("correlation"))
     names = F.array(*[F.lit(c) for c in columns])
-    return found.select(
-        F.get(names, F.col("a")).alias("column_a"), F.get(names, F.col("b")).alias("column_b"), "correlation")
+    named = partials.select(F.get(names, F.col("a")).alias("column_a"), F.get(names, F.col("b")).alias("column_b"), *_PAIR_SUMS)
+    return merge_moments(stored(named))
+
+
+def merge_moments(states: DataFrame) -> DataFrame:
+    """One stored state from the rows of several, by the rule for parts: products move to the common mean.
+
+    ``states`` is a stored table or a union of such.  Both steps combine
+    map-side; in between, one row per pair is broadcast, as many as the square
+    of the columns.  A state of no rows changes nothing.
+    """
+    n = F.col("n")
+    means = states.groupBy(*_PAIR).agg(*[
+        (F.sum(n * F.col(m)) / F.nullif(F.sum("n"), F.lit(0.0))).alias(f"all_{m}") for m in ("mean_x", "mean_y")])
+    off_x, off_y = (F.coalesce(F.col(m) - F.col(f"all_{m}"), F.lit(0.0)) for m in ("mean_x", "mean_y"))
+
+    def moved(products: str, x: Column, y: Column) -> Column:
+        return F.sum(F.col(products) + n * x * y).alias(products)
+
+    merged = states.join(F.broadcast(means), list(_PAIR)).groupBy(*_PAIR).agg(
+        F.sum("rows").alias("rows"), F.sum("n").alias("n"),
+        *[F.coalesce(F.first(f"all_{m}"), F.lit(0.0)).alias(m) for m in ("mean_x", "mean_y")],
+        moved("c_xx", off_x, off_x), moved("c_yy", off_y, off_y), moved("c_xy", off_x, off_y),
+        F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"), F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"))
+    return stored(merged.select(*_PAIR, *_PAIR_SUMS))
+
+
+def moments_of(state: DataFrame) -> DataFrame:
+    """Per column: rows, finite values, the rest, mean, sample deviation and range of the finite ones."""
+    own, n = state.where(F.col("column_a") == F.col("column_b")), F.col("n")
+    value = lambda c: F.when(n > 0, F.col(c))
+    return own.select(
+        F.col("column_a").alias(_NAME), F.col("rows").cast("bigint").alias("rows"), n.cast("bigint").alias("count"),
+        (F.col("rows") - n).cast("bigint").alias("missing"), value("mean_x").alias("mean"),
+        F.when(n > 1, F.sqrt(F.col("c_xx") / (n - 1))).alias("std"), value("min_x").alias("min"), value("max_x").alias("max"))
+
+
+def correlation_of(state: DataFrame) -> DataFrame:
+    """Pearson correlation of every column pair of a state; NULL where a side is constant."""
+    r = F.when(F.col("column_a") == F.col("column_b"), F.lit(1.0)).otherwise(
+        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide("c_xy", F.sqrt(F.col("c_xx") * F.col("c_yy"))))))
+    varies = (F.col("min_x") < F.col("max_x")) & (F.col("min_y") < F.col("max_y"))
+    return state.select(*_PAIR, F.when(varies, r).alias("correlation"))
+
+
+def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Pearson correlation of every column pair over rows where both are finite.
+
+    NULL where a side is constant, that is where its smallest and largest value
+    over the pair's rows are equal.  The matrix comes in long form, both
+    triangles.
+    """
+    return correlation_of(moment_state(df, columns))
 
 
 def _pair_moments(width: int):
@@ -240,11 +273,12 @@ def _pair_moments(width: int):
         return least, most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, mean, c_xx, c_xy = np.zeros((4, width, width))
+        rows, (n, mean, c_xx, c_xy) = 0, np.zeros((4, width, width))
         low, high = np.full((width, width), np.inf), np.full((width, width), -np.inf)
         for batch in batches:
             if not batch.num_rows:
                 continue
+            rows += batch.num_rows
             raw = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(float)
             finite = np.isfinite(raw)
             seen = finite.astype(float)
@@ -263,10 +297,10 @@ def _pair_moments(width: int):
             n = total
             least, most = ranges(raw, finite)
             low, high = np.minimum(low, least), np.maximum(high, most)
-        if not n.any():
+        if not rows:
             return
         a, b = np.indices((width, width)).reshape(2, -1).astype("int32")
-        moments = [n, mean, mean.T, c_xx, c_xx.T, c_xy, low, high, low.T, high.T]
+        moments = [np.full((width, width), float(rows)), n, mean, mean.T, c_xx, c_xx.T, c_xy, low, high, low.T, high.T]
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)] + [pa.array(t.ravel()) for t in moments],
                                          names=names)
 

@@ -132,6 +132,7 @@ _TABLES = {
     "csv_customers": _with("SELECT " + _rounded(schema.CUSTOMER_COLUMNS)
                            + " FROM fx_customer_360"),
     "table_roundtrip": _with(f"SELECT {_rounded(schema.CUSTOMER_COLUMNS)} FROM fx_customer_360"),
+    "swapped_table": _with(f"SELECT {_rounded(schema.CUSTOMER_COLUMNS)} FROM fx_customer_360"),
     "preview": _with(f"SELECT {_rounded(_STAGE1)} FROM stage1 ORDER BY client_id LIMIT 10"),
     "conform_features": _with(_conformed()),
     "clean_values": _with(f"SELECT {_rounded(_STAGE2)} FROM cleaned", _CLEANED),
@@ -229,6 +230,14 @@ _PROFILE = {
         "SELECT a.name AS column_a, b.name AS column_b, correlation FROM names a CROSS JOIN names b "
         "LEFT JOIN pairs ON column_a = a.name AND column_b = b.name",
         *_correlations(_DOUBLES), "names(name) AS (SELECT unnest([" + _list(map(_s, [*_DOUBLES, "tenth", "third"])) + "]))"),
+    "merged_moments": _with(
+        "SELECT n.column_name, (SELECT count(*) FROM stage1) AS rows, count(value) FILTER (WHERE isfinite(value)) AS count, "
+        "(SELECT count(*) FROM stage1) - count(value) FILTER (WHERE isfinite(value)) AS missing, "
+        "round(avg(value) FILTER (WHERE isfinite(value)), 6) AS mean, round(stddev_samp(value) FILTER (WHERE isfinite(value)), 6) AS std, "
+        "round(min(value) FILTER (WHERE isfinite(value)), 6) AS min, round(max(value) FILTER (WHERE isfinite(value)), 6) AS max "
+        "FROM names n LEFT JOIN cells c ON n.column_name = c.column_name GROUP BY n.column_name",
+        _N, "names AS (SELECT unnest([" + _list(map(_s, _NUMERIC)) + "]) AS column_name)"),
+    "merged_correlation": _with("SELECT column_a, column_b, correlation FROM pairs", *_correlations(_NUMERIC)),
     "boxplot_stats": _with(_BOX_BODY, _melt("cells", _NUMERIC, "double", (_LABEL,)), _BOX),
     "boxplot_stats_doubles": _with(_BOX_BODY, _melt("cells", _DOUBLES, "double", (_LABEL,)), _BOX),
     "target_rate": _with(

@@ -98,6 +98,16 @@ def table_roundtrip(spark, sf_dir):
     return rounded(tables.read_table(spark, f"{database}.customer_copy"))
 
 
+def swapped_table(spark, sf_dir):
+    """A table shown in one step: first a part of the customers, then all of them, then read by its name."""
+    database = f"swapped_{uuid.uuid4().hex}"
+    tables.create_schema(spark, database, f"{shared_folder(spark)}/{database}")
+    customers = standins.customer_360_table(spark, sf_dir)
+    tables.swap_table(customers.where(F.col("gender") == "F"), f"{database}.customer_360")
+    tables.swap_table(customers, f"{database}.customer_360")
+    return rounded(tables.read_table(spark, f"{database}.customer_360"))
+
+
 def preview(spark, sf_dir):
     return rounded(tables.preview(standins.stage1(spark, sf_dir), schema.ID, 10))
 
@@ -147,6 +157,25 @@ def correlation_gaps_first(spark, sf_dir):
     return rounded(profile.correlation(table.orderBy(F.col("ape_sums").asc_nulls_first(), schema.ID), columns))
 
 
+def _merged_state(spark, sf_dir) -> DataFrame:
+    """The state of the customers from three loads, each summarised alone: many, few and none."""
+    table = standins.stage1_table(spark, sf_dir)
+    third = column(schema.ID) % 3
+    loads = [table.where(third > 0), table.where(third == 0), table.where(F.lit(False))]
+    states = [profile.moment_state(load, features.numeric_columns(table)) for load in loads]
+    return profile.merge_moments(states[0].unionByName(states[1]).unionByName(states[2]))
+
+
+def merged_moments(spark, sf_dir):
+    """Counts, moments and ranges of all customers, merged from the states of three loads."""
+    return rounded(profile.moments_of(_merged_state(spark, sf_dir)))
+
+
+def merged_correlation(spark, sf_dir):
+    """The correlation of all customers, merged from the states of three loads."""
+    return rounded(profile.correlation_of(_merged_state(spark, sf_dir)))
+
+
 def feature_labels(spark, sf_dir):
     info = profile.column_info(standins.stage1_table(spark, sf_dir))
     return explain.labelled_features(info.select("column_name", "non_null"))
@@ -540,6 +569,7 @@ QUERIES: dict[str, Query] = {
     "csv_transactions": csv_transactions,
     "csv_customers": csv_customers,
     "table_roundtrip": table_roundtrip,
+    "swapped_table": swapped_table,
     "preview": preview,
     "conform_features": conform_features,
     "clean_values": clean_values,
@@ -555,6 +585,8 @@ QUERIES: dict[str, Query] = {
     "top_categories": _profiled(profile.top_categories),
     "correlation": _profiled(profile.correlation),
     "correlation_gaps_first": correlation_gaps_first,
+    "merged_moments": merged_moments,
+    "merged_correlation": merged_correlation,
     "boxplot_stats": _profiled(profile.boxplot_stats),
     "boxplot_stats_doubles": boxplot_stats_doubles,
     "target_rate": _profiled(profile.target_rate),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from prospectra.functions.values import column, quoted
@@ -29,6 +32,69 @@ def write_table(df: DataFrame, name: str, fmt: str = DEFAULT_FORMAT, bucket_by:
     writer.saveAsTable(name)
 
 
+# Between a versioned table's name and its versions' numbers.
+_VERSION = "__v"
+
+
+def _parts(name: str) -> tuple[str, str]:
+    """(database prefix with its dot, table) without back-ticks; a plain name has no prefix."""
+    pieces = [p.strip("`") for p in name.split(".")]
+    return "".join(f"{quoted(p)}." for p in pieces[:-1]), pieces[-1]
+
+
+def versions(spark: SparkSession, name: str) -> list[str]:
+    """The stored versions of a versioned table, oldest first."""
+    prefix, table = _parts(name)
+    shown = spark.sql("SHOW TABLES" + (f" IN {prefix[:-1]}" if prefix else "")).collect()
+    start = f"{table}{_VERSION}".lower()
+    return sorted(r.tableName for r in shown if not r.isTemporary and r.tableName.lower().startswith(start))
+
+
+def swap_table(df: DataFrame, name: str, fmt: str = DEFAULT_FORMAT, keep: int = 2) -> str:
+    """Replace ``name`` in one step; returns the version that it shows from now on.
+
+    The rows are written as a version of their own, and then a view of that name
+    is pointed at it by one catalog change.  Readers see the old rows or the new
+    ones, never a mixture; a write that fails changes nothing.  A query that
+    began before the change reads the version before, which is why the version
+    shown before and the last ``keep`` stay; older ones, left over from failed
+    writes too, are dropped.  Versions newer than this one belong to other writers.
+    """
+    spark = df.sparkSession
+    prefix, table = _parts(name)
+    if keep < 1:
+        raise ValueError("the version just written has to stay")
+    before = _shown(spark, name)
+    version = f"{table}{_VERSION}{time.time_ns():020d}_{uuid.uuid4().hex[:8]}"
+    write_table(df, f"{prefix}{quoted(version)}", fmt)
+    spark.sql(f"CREATE OR REPLACE VIEW {prefix}{quoted(table)} AS SELECT * FROM {prefix}{quoted(version)}")
+    older = [v for v in versions(spark, name) if v.lower() <= version.lower()]
+    for v in older[:-keep]:
+        if v != before:
+            spark.sql(f"DROP TABLE IF EXISTS {prefix}{quoted(v)}")
+    return version
+
+
+def _shown(spark: SparkSession, name: str) -> str | None:
+    """The version that a versioned table shows; None where there is no such table."""
+    prefix, table = _parts(name)
+    if not spark.catalog.tableExists(f"{prefix}{quoted(table)}"):
+        return None
+    text = spark.sql(f"SHOW CREATE TABLE {prefix}{quoted(table)}").first()[0].lower()
+    return next((v for v in versions(spark, name) if v.lower() in text), None)
+
+
+def swap_back(spark: SparkSession, name: str) -> str:
+    """Show the version before the present one again; returns it."""
+    prefix, table = _parts(name)
+    stored, shown = versions(spark, name), _shown(spark, name)
+    at = stored.index(shown) if shown in stored else 0
+    if not at:
+        raise ValueError(f"{name} has no version before the present one")
+    spark.sql(f"CREATE OR REPLACE VIEW {prefix}{quoted(table)} AS SELECT * FROM {prefix}{quoted(stored[at - 1])}")
+    return stored[at - 1]
+
+
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 

@@ -156,3 +156,27 @@ def test_kinds(table):
     info = by_name(profile.column_info(df))
     assert info["town"].kind == "categorical" and info["18-21"].kind == "numeric" and info["client_id"].kind == "other"
     assert info["none"].non_null == 0
+
+
+def test_states_of_loads_merge_to_the_state_of_all(spark, table):
+    df, pdf = table
+    columns = ["amount", "rate", "18-21", "k", "holes", "none"]
+    parts = [df.where("client_id < 7"), df.where("client_id >= 7 and client_id % 5 > 0"), df.where("client_id >= 7 and client_id % 5 = 0"),
+             df.limit(0)]
+    # A load may have its columns in another order.
+    states = [profile.moment_state(p, columns if i % 2 else columns[::-1]) for i, p in enumerate(parts)]
+    every = states[0]
+    for s in states[1:]:
+        every = every.unionByName(s)
+    merged, whole = profile.merge_moments(every), profile.moment_state(df, columns)
+    for of in (profile.moments_of, profile.correlation_of):
+        a, b = ({tuple(r)[:1 + (of is profile.correlation_of)]: r for r in of(s).collect()} for s in (merged, whole))
+        assert set(a) == set(b) and len(a) == len(columns) ** (1 + (of is profile.correlation_of))
+        for key in a:
+            for x, y in zip(a[key], b[key]):
+                assert x == y or x == pytest.approx(y, rel=1e-9, abs=1e-9), key
+    found = {r.column_name: r for r in profile.moments_of(merged).collect()}
+    finite = pdf.amount[np.isfinite(pdf.amount)]
+    assert (found["amount"]["count"], found["amount"].missing) == (599, 1)
+    assert found["amount"].std == pytest.approx(finite.std()) and found["amount"].mean == pytest.approx(finite.mean())
+    assert found["none"]["count"] == 0 and found["none"].mean is None and found["none"].std is None and found["none"].missing == 600

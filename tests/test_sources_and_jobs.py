@@ -52,6 +52,33 @@ def test_tables(spark):
     assert "spark_catalog" in tables.list_catalogs(spark)
 
 
+def test_a_swapped_table_is_old_or_new(spark):
+    spark.sql("create database if not exists swaps")
+    first = tables.swap_table(spark.range(3).toDF("x"), "swaps.t")
+    before = tables.read_table(spark, "swaps.t")
+    assert before.count() == 3
+
+    def fails(_):
+        raise ValueError("lost")
+
+    broken = spark.range(9).select(F.udf(fails, "long")("id").alias("x"))
+    with pytest.raises(Exception, match="lost"):
+        tables.swap_table(broken, "swaps.t")
+    assert tables.read_table(spark, "swaps.t").count() == 3
+    # New columns come with the new version; a reader of the old one still reads it.
+    second = tables.swap_table(spark.range(5).selectExpr("id as x", "'a' as y"), "swaps.t")
+    assert tables.read_table(spark, "swaps.t").columns == ["x", "y"] and before.count() == 3
+    assert tables.read_table(spark, "swaps.t").count() == 5
+    assert tables.swap_back(spark, "swaps.t") == first and tables.read_table(spark, "swaps.t").count() == 3
+    with pytest.raises(ValueError, match="no version before"):
+        tables.swap_back(spark, "swaps.t")
+    third = tables.swap_table(spark.range(7).toDF("x"), "`swaps`.`t`")
+    assert tables.versions(spark, "swaps.t") == [first, second, third]      # the first was shown until now
+    assert tables.read_table(spark, "swaps.t").count() == 7
+    fourth = tables.swap_table(spark.range(8).toDF("x"), "swaps.t")
+    assert tables.versions(spark, "swaps.t") == [third, fourth]
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark):
     spark.sql("create database if not exists bucketed")
     a = spark.range(1000).withColumnRenamed("id", "client_id")
