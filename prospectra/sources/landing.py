@@ -58,7 +58,10 @@ def infer_columns(df: DataFrame) -> DataFrame:
     """
     def fits(name: str) -> list[Column]:
         value = column(name)
-        return [F.count_if(value.isNotNull() & value.try_cast(kind).isNull()) for kind in _INFERRED]
+        # A cast to date would drop a time of day.
+        longer = F.length(F.trim(value)) > len("yyyy-mm-dd")
+        return [F.count_if(value.isNotNull() & (value.try_cast(kind).isNull() | (longer if kind == T.DateType() else F.lit(False))))
+                for kind in _INFERRED]
 
     found = df.agg(F.array(*[F.struct(F.count(column(c)).alias("n"), F.array(*fits(c)).alias("misfits")) for c in df.columns])
                    .alias("found")).first().found

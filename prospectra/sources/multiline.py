@@ -13,8 +13,9 @@ one task per file.  Here they are read as text lines in splits, twice:
 
 A quote counts wherever it stands, so files must be well formed: a field that
 holds a quote, a separator or a line break is quoted, its quotes are doubled.
-A line ends with a line feed; a carriage return before it belongs to the line
-end if the file's first line ends so, and to the value otherwise.
+A line ends with a line feed.  Where a file's first line ends with CR LF, CR LF
+is its line end and reads as a line feed, inside quotes too, as in Spark's own
+reader; elsewhere a carriage return belongs to the value.
 """
 
 from __future__ import annotations
@@ -137,5 +138,7 @@ def records(spark: SparkSession, path: str | list[str], quote: str = '"', broadc
     every = pieces.where(F.col("kind") == _WHOLE).select("file", "first", "text").unionByName(joined)
     # One row per file; files are few beside their lines, and a plain join moves only their records.
     cut = every.join(F.broadcast(ends_with_cr) if few else ends_with_cr, "file")
-    record = F.when(F.col("cr") & F.col("text").endswith("\r"), F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
+    plain = F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n"))
+    plain = F.when(plain.endswith("\r"), F.substring(plain, F.lit(1), F.length(plain) - 1)).otherwise(plain)
+    record = F.when(F.col("cr"), plain).otherwise(F.col("text"))
     return cut.select(record.alias("record"), "first").where("record <> ''")
