@@ -141,22 +141,25 @@ def word_order(scanned: DataFrame) -> DataFrame:
     return write_and_read_back(counted, "template-word-counts")
 
 
-def _ordered_templates(spark: SparkSession, counts: DataFrame, templates: tuple[Template, ...], percent: int) -> DataFrame:
-    """One row per template: its words in global order, its sizes."""
+def _ordered_templates(spark: SparkSession, counts: DataFrame, templates: tuple[Template, ...],
+                       percent: int) -> tuple[DataFrame, list[str]]:
+    """One row per template, its words in global order with its sizes; and all templates' prefix words."""
     frequency = {r["word"]: r["documents"] for r in counts.collect()}
-    rows = []
+    rows, prefix_words = [], set()
     for number, t in enumerate(templates):
         words = sorted(t.distinct(), key=lambda w: (frequency.get(w, 0), w))
-        rows.append((number, t.label, words, sorted(set(t.naming.split())), 2 * len(t.words()), t.least(percent)))
-    return spark.createDataFrame(rows, "template int, label string, t_words array<string>, naming array<string>, reach int, least int")
+        prefix_words.update(words[:len(words) - t.least(percent) + 1])
+        naming = _texts(sorted(set(t.naming.split()))) if t.naming else F.array().cast("array<string>")
+        rows.append(F.struct(F.lit(number).alias("template"), F.lit(t.label).alias("label"), _texts(words).alias("t_words"),
+                             naming.alias("naming"), F.lit(2 * len(t.words())).alias("reach"), F.lit(t.least(percent)).alias("least")))
+    return spark.range(1).select(F.inline(F.array(*rows))), sorted(prefix_words)
 
 
 def template_matches(scanned: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
                      percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """(row_key, template, label, place, common, size): the best block around every prefix word that has one."""
-    ordered = _ordered_templates(scanned.sparkSession, word_order(scanned), templates, percent)
+    ordered, prefix_words = _ordered_templates(scanned.sparkSession, word_order(scanned), templates, percent)
     by_word = ordered.select("*", F.explode(F.slice("t_words", F.lit(1), F.size("t_words") - F.col("least") + 1)).alias("word"))
-    prefix_words = sorted({r["word"] for r in by_word.select("word").collect()})
     meetings = scanned.select("row_key", "n_words", "spots", F.explode(F.filter(
         "spots", lambda spot: spot["word"].isin(prefix_words))).alias("spot"))
     place, reach, least = F.col("spot.place"), F.col("reach"), F.col("least")
