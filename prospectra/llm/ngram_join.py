@@ -22,7 +22,9 @@ more.  The steps, all of them joins and counts in Spark:
 5. *Components* by repeated smallest-label steps, each written to the shared
    folder.
 
-A node is named by a 64-bit hash of its set, a class of equal sets by 128 bits.
+A node is a class of equal sets, told apart by 128 bits of the set and numbered
+in a written table.  ``links`` gives all pairs of nodes that link, for callers
+that want more than components; ``link_counts`` the number per document.
 
 Defined results: a text with fewer than five words has one shingle, all its
 words; NULL texts and texts without words have none and link with nothing.
@@ -56,6 +58,8 @@ BITMAP_BITS = 28
 RANGE_KEYS = 1_000_000
 BLOCK_KEYS = 3_000_000
 BINS = 32
+# Nodes with their bins that a join may broadcast.
+SIDE_ROWS = 100_000
 _LEAST_RANGE_BITS, _MOST_RANGE_BITS, _LEAST_KEY_BITS = 8, 18, 40
 _BYTES_PER_SHINGLE = 6
 
@@ -132,7 +136,12 @@ class Sizes(NamedTuple):
 
 
 def _key_blocks(sizes: Sizes):
-    """Per ``BLOCK_KEYS`` keys and key range: the sorted keys as 32-bit steps, so that they pack well."""
+    """Per ``BLOCK_KEYS`` keys and key range: the distinct keys as 32-bit steps, so that they pack well.
+
+    A key that several documents of the block hold is sent once, its place and
+    how many more hold it beside the steps: a passage in a third of all texts
+    costs its range one entry per block.
+    """
     def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
         hasher, held, size = Hasher(), [], 0
         for batch in in_slices(batches, 0):
@@ -146,15 +155,21 @@ def _key_blocks(sizes: Sizes):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = np.uint64(sizes.width)
-        for keys in runs(batches):
+        for held in runs(batches):
+            keys, count = np.unique(held, return_counts=True)
             cuts = np.searchsorted(keys, np.arange((1 << sizes.range_bits) + 1, dtype=np.uint64) << width)
-            ranges, blocks = [], []
+            ranges, blocks, places, more = [], [], [], []
             for r in np.flatnonzero(np.diff(cuts)).tolist():
                 part = keys[cuts[r]:cuts[r + 1]] - (np.uint64(r) << width)
+                extra = count[cuts[r]:cuts[r + 1]] - 1
+                at = np.flatnonzero(extra)
                 ranges.append(r)
                 blocks.append(np.diff(part, prepend=np.uint64(0)).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(blocks, pa.binary())],
-                                             ["range", "block"])
+                places.append(at.astype(np.uint32).tobytes())
+                more.append(extra[at].astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ranges, pa.int32()), *(pa.array(x, pa.binary()) for x in (blocks, places, more))],
+                ["range", "block", "places", "more"])
     return run
 
 
@@ -162,8 +177,16 @@ def _merge_blocks(sizes: Sizes):
     """One range: the bitmap slice of keys that two documents hold, and the frequent keys."""
     def run(key: tuple, table: pa.Table) -> pa.Table:
         r = key[0].as_py()
-        keys = [np.cumsum(np.frombuffer(b, np.uint32), dtype=np.uint64) for b in table.column("block").to_pylist()]
-        found, count = np.unique(np.concatenate(keys), return_counts=True)
+        keys, held = [], []
+        for block, places, more in zip(*(table.column(c).to_pylist() for c in ("block", "places", "more"))):
+            keys.append(np.cumsum(np.frombuffer(block, np.uint32), dtype=np.uint64))
+            held.append(np.ones(len(keys[-1]), np.uint32))
+            held[-1][np.frombuffer(places, np.uint32)] += np.frombuffer(more, np.uint32)
+        keys, held = np.concatenate(keys), np.concatenate(held)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        found, count = keys[first], np.add.reduceat(held[order].astype(np.int64), first)
         bits = np.zeros(1 << BITMAP_BITS - sizes.range_bits, bool)
         bits[found[count > 1] >> np.uint64(sizes.key_bits - BITMAP_BITS)] = True
         often = count >= LEAST_TOP_FREQUENCY
@@ -202,7 +225,7 @@ def shingle_order(texts: DataFrame, top: int = TOP) -> Order:
     """
     sizes = Sizes.of(texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
     counted = write_and_read_back(
-        texts.mapInArrow(_key_blocks(sizes), "range int, block binary").groupBy("range").applyInArrow(
+        texts.mapInArrow(_key_blocks(sizes), "range int, block binary, places binary, more binary").groupBy("range").applyInArrow(
             _merge_blocks(sizes), "range int, shared binary, keys array<long>, counts array<long>"), "shingle-frequencies")
     pairs = counted.select(F.explode(F.arrays_zip("keys", "counts")).alias("k")).select("k.keys", "k.counts")
     reached = F.sum("n").over(Window.orderBy(F.desc("counts")))
@@ -220,7 +243,7 @@ def shingle_order(texts: DataFrame, top: int = TOP) -> Order:
 
 # 2. Prefixes ---------------------------------------------------------------
 
-_SETS = ("doc_id long, text_hash long, n long, node long, set_hash long, bins array<int>, tokens array<long>, "
+_SETS = ("doc_id long, text_hash long, n long, set_a long, set_b long, bins array<int>, tokens array<long>, "
          "places array<int>")
 
 
@@ -238,21 +261,21 @@ def _sets(order: Broadcast):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in in_slices(batches, 2):
-            ns, nodes, bins, tokens, places = [], [], [], [], []
+            ns, names, bins, tokens, places = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 h = hasher(text)
                 ns.append(len(h))
-                nodes.append(xxhash.xxh128_digest(h.tobytes()))
+                names.append(xxhash.xxh128_digest(h.tobytes()))
                 bins.append(np.bincount((h >> np.uint64(59)).astype(np.int64), minlength=BINS))
                 prefix, met = order.value.sort(h)
                 at = np.flatnonzero(met[:prefix_size(len(h))]) if len(h) else np.empty(0, np.int64)
                 tokens.append(prefix[at].view(np.int64))
                 places.append(at)
-            node = np.frombuffer(b"".join(nodes), np.int64).reshape(-1, 2)
+            name = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(node[:, 0]), pa.array(node[:, 1]),
+                [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(name[:, 0]), pa.array(name[:, 1]),
                  _lists(bins, np.int32), _lists(tokens, np.int64), _lists(places, np.int32)],
-                ["doc_id", "text_hash", "n", "node", "set_hash", "bins", "tokens", "places"])
+                ["doc_id", "text_hash", "n", "set_a", "set_b", "bins", "tokens", "places"])
     return run
 
 
@@ -269,6 +292,19 @@ def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", to
     return write_and_read_back(rows.mapInArrow(_sets(order), _SETS), "shingle-sets")
 
 
+def set_nodes(sets: DataFrame) -> DataFrame:
+    """A written table of one row per distinct set that has shingles, combined map-side.
+
+    ``node`` is a number given out at writing, ``rows`` the rows of the set, and
+    (doc_id, text_hash) its first row: smallest id, rows without an id last.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first")
+    same = [F.first(c).alias(c) for c in ("n", "bins", "tokens", "places")]
+    found = sets.where("n > 0").groupBy("set_a", "set_b").agg(F.count("*").alias("rows"), first, *same)
+    return write_and_read_back(found.select(F.monotonically_increasing_id().alias("node"), "set_a", "set_b", "rows",
+                                            "first.*", "n", "bins", "tokens", "places"), "set-nodes")
+
+
 # 3. Candidates -------------------------------------------------------------
 
 def least_overlap(n_a: Column, n_b: Column) -> Column:
@@ -287,18 +323,17 @@ def _may_link(a: str, b: str) -> Column:
             & (F.least(n_a - F.col(f"{a}.pos"), n_b - F.col(f"{b}.pos")) >= least_overlap(n_a, n_b)))
 
 
-def prefix_entries(sets: DataFrame) -> DataFrame:
+def prefix_entries(nodes: DataFrame) -> DataFrame:
     """A written table (token, node, n, pos, lead) of prefix shingles that several nodes hold.
 
-    Equal sets are one node first, combined map-side.  ``lead`` is a shingle's
-    smallest (share of rarer shingles, node) in one number; its holder leads.
+    ``lead`` is a shingle's smallest (share of rarer shingles, node) in one
+    number; its holder leads.
     """
-    nodes = sets.where(F.size("tokens") > 0).select("node", "n", "tokens", "places").dropDuplicates(["node"])
     entry = F.explode(F.arrays_zip("tokens", "places")).alias("e")
     entries = write_and_read_back(nodes.select("node", "n", entry).select(
         F.col("e.tokens").alias("token"), "node", "n", F.col("e.places").alias("pos")), "prefix-entries")
     share = F.floor(F.col("pos") * 4096 / F.col("n")).cast("long")
-    entries = entries.withColumn("rank", F.shiftleft(share, 50) + F.shiftrightunsigned("node", 14))
+    entries = entries.withColumn("rank", F.shiftleft(share, 50) + F.shiftrightunsigned(F.xxhash64("node"), 14))
     held = (entries.groupBy("token").agg(F.count("*").alias("nodes"), F.min("rank").alias("lead"))
             .where("nodes > 1").select("token", "lead"))
     held = write_and_read_back(held, "shared-tokens")
@@ -349,19 +384,24 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pairs that really link, as a written table (a, b).  Each pair's texts are compared once."""
-    name = F.min(F.struct("doc_id", "text_hash")).alias("at")
-    one = sets.select("node", "n", "bins", "doc_id", "text_hash")
-    sides = [one.groupBy("node").agg(F.first("n").alias(f"n_{s}"), F.first("bins").alias(f"bins_{s}"))
-             .withColumnRenamed("node", s) for s in "ab"]
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The pairs that really link, as a written table (a, b).  Each pair's texts are compared once.
+
+    Both sides of every join are written tables: a leader with a great many
+    pairs is split by adaptive execution, or meets a small side by broadcast.
+    """
+    pairs = write_and_read_back(pairs, "pairs")
+    met = _ends(pairs, "pair-nodes")
+    sides = write_and_read_back(nodes.select("node", "n", "bins", "doc_id", "text_hash").join(small_or_plain(met), "node"),
+                                "pair-sides")
+    small = small_or_plain(sides.select("node", "n", "bins"), SIDE_ROWS)
+    a, b = (small.toDF(s, f"n_{s}", f"bins_{s}") for s in "ab")
     apart = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
-    near = (pairs.join(sides[0], "a").join(sides[1], "b")
+    near = (pairs.join(a, "a").join(b, "b")
             .where(apart <= F.col("n_a") + F.col("n_b") - 2 * least_overlap(F.col("n_a"), F.col("n_b"))).select("a", "b"))
     near = write_and_read_back(near, "near-pairs")
-    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    wanted = write_and_read_back(one.join(small_or_plain(write_and_read_back(wanted, "near-nodes")), "node")
-                                 .groupBy("node").agg(name).select("node", "at.*"), "wanted-texts")
+    wanted = write_and_read_back(sides.select("node", "doc_id", "text_hash").join(
+        small_or_plain(_ends(near, "near-nodes")), "node"), "wanted-texts")
     found = (_read(docs, doc_id, text).alias("d").join(
         small_or_plain(wanted).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
         & (F.col("d.text_hash") == F.col("w.text_hash"))).select("node", "text").dropDuplicates(["node"]))
@@ -372,6 +412,10 @@ def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str = "do
     return write_and_read_back(paired.mapInArrow(_compare, "a long, b long"), "links")
 
 
+def _ends(pairs: DataFrame, name: str) -> DataFrame:
+    return write_and_read_back(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), name)
+
+
 # 5. Components -------------------------------------------------------------
 
 def components(links: DataFrame) -> DataFrame:
@@ -404,19 +448,45 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     in the component, the smallest text hash.  Both are NULL for rows without shingles.
     """
     sets = shingle_sets(docs, doc_id, text)
-    entries = prefix_entries(sets)
-    links = verify(candidates_to_leaders(entries), sets, docs, doc_id, text)
-    rest = verify(candidates_across(entries, components(links)), sets, docs, doc_id, text)
-    found = components(links.union(rest))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
-    classes = (sets.where("n > 0").groupBy("node", "set_hash").agg(first.alias("first"))
-               .join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    classes = write_and_read_back(classes, "classes")
+    nodes = set_nodes(sets)
+    entries = prefix_entries(nodes)
+    links_ = verify(candidates_to_leaders(entries), nodes, docs, doc_id, text)
+    rest = verify(candidates_across(entries, components(links_)), nodes, docs, doc_id, text)
+    found = components(links_.union(rest))
+    classes = write_and_read_back(
+        nodes.select("node", "set_a", "set_b", F.struct("unnamed", "doc_id", "text_hash").alias("first"))
+        .join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes")
     named = write_and_read_back(classes.groupBy("component").agg(F.min("first").alias("first")).select(
         "component", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("kept_hash")), "components")
-    named = write_and_read_back(classes.join(named, "component").select("node", "set_hash", "component_id", "kept_hash"),
+    named = write_and_read_back(classes.join(named, "component").select("set_a", "set_b", "component_id", "kept_hash"),
                                 "class-names")
-    return sets.join(named, ["node", "set_hash"], "left").select("doc_id", "text_hash", "n", "component_id", "kept_hash")
+    return sets.join(named, ["set_a", "set_b"], "left").select("doc_id", "text_hash", "n", "component_id", "kept_hash")
+
+
+# 6. Results ----------------------------------------------------------------
+
+def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All links between different sets: written tables of the sets, the nodes and the links (a, b).
+
+    No pair of a component is left out here, so a group of many different near
+    copies costs all its links.  Rows of one node link with each other.
+    """
+    sets = shingle_sets(docs, doc_id, text)
+    nodes = set_nodes(sets)
+    pairs = candidates_across(prefix_entries(nodes), nodes.select("node", F.col("node").alias("component")))
+    return sets, nodes, verify(pairs, nodes, docs, doc_id, text)
+
+
+def link_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, n_links), one row per document; rows with an equal set count as links, too."""
+    sets, nodes, found = links(docs, doc_id, text)
+    rows = nodes.select("node", "rows")
+    ends = found.select(F.col("a").alias("node"), F.col("b").alias("other")).union(found.select("b", "a"))
+    met = ends.join(rows.toDF("other", "met"), "other").groupBy("node").agg(F.sum("met").alias("met"))
+    counted = write_and_read_back(nodes.select("node", "set_a", "set_b", "rows").join(met, "node", "left").select(
+        "set_a", "set_b", (F.col("rows") - 1 + F.coalesce("met", F.lit(0))).alias("n_links")), "link-counts")
+    return sets.join(counted, ["set_a", "set_b"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

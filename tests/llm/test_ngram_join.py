@@ -1,6 +1,9 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from prospectra.llm import ngram_join as join
@@ -57,10 +60,40 @@ def test_chains_and_star_of_near_copies_equal_brute_force(spark):
 def test_order_does_not_change_links(spark):
     data = [(i, e.edited(e.prose(1, 80), i, 0.02), "en", "a", 0) for i in range(40)]
     df = e.table(spark, data)
-    sets = join.shingle_sets(df, top=3)     # almost nothing listed
-    links = [join.verify(join.candidates_across(join.prefix_entries(s), spark.createDataFrame([], "node long, component long")),
-                         s, df) for s in (sets, join.shingle_sets(df))]
-    assert {tuple(r) for r in links[0].collect()} == {tuple(r) for r in links[1].collect()} != set()
+    found = []
+    for sets in (join.shingle_sets(df, top=3), join.shingle_sets(df)):     # first with almost nothing listed
+        nodes = join.set_nodes(sets)
+        names = {r["node"]: r["doc_id"] for r in nodes.collect()}
+        pairs = join.candidates_across(join.prefix_entries(nodes), spark.createDataFrame([], "node long, component long"))
+        found.append({frozenset(names[n] for n in r) for r in join.verify(pairs, nodes, df).collect()})
+    assert found[0] == found[1] != set()
+
+
+def test_links_and_their_number_equal_brute_force(spark):
+    base = e.prose(400, 150)
+    data = [(i, e.edited(base, i // 2, 0.01 * (i % 7)), "en", "a", 0) for i in range(50)]
+    data += [(100 + i, base.upper(), "en", "a", 0) for i in range(6)] + [(None, base, "en", "a", 0), (7, None, "en", "a", 0)]
+    sets = [join.exact_shingles(t) for _, t, *_ in data]
+    want = [(d, len(sets[i]), sum(join.linked(sets[i], other) for j, other in enumerate(sets) if j != i))
+            for i, (d, *_) in enumerate(data)]
+    found = [tuple(r) for r in join.link_counts(e.table(spark, data)).collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    assert join.link_counts(e.empty(spark)).collect() == []
+
+
+def test_a_passage_of_many_texts_is_one_entry_per_block():
+    sizes = join.Sizes.of(10 ** 6)
+    passage = e.prose(3, 40)
+    texts = [passage, *[f"{passage} {e.prose(50 + i, 9)}" for i in range(300)], None]
+    blocks = list(join._key_blocks(sizes)([pa.RecordBatch.from_pydict({"text": pa.array(texts[:150], pa.string())}),
+                                           pa.RecordBatch.from_pydict({"text": pa.array(texts[150:], pa.string())})]))
+    assert sum(len(b) // 4 for x in blocks for b in x.column("block").to_pylist()) < 36 + 300 * 10
+    table = pa.Table.from_batches(blocks)
+    want = Counter(k for t in texts for k in join._top_bits(join.Hasher()(t), sizes.key_bits).tolist())
+    for r in set(table.column("range").to_pylist()):
+        merged = join._merge_blocks(sizes)((pa.scalar(r),), table.filter(pc.equal(table.column("range"), r)))
+        got = dict(zip(merged.column("keys")[0].as_py(), merged.column("counts")[0].as_py()))
+        assert got == {k: n for k, n in want.items() if k >> sizes.width == r and n >= join.LEAST_TOP_FREQUENCY}
 
 
 def test_sizes_grow_with_the_texts(monkeypatch, spark):
