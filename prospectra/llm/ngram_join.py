@@ -149,14 +149,22 @@ def _key_blocks(sizes: Sizes):
             held += new
             size += sum(map(len, new))
             if size >= BLOCK_KEYS:
-                yield np.sort(np.concatenate(held))
+                keys = np.concatenate(held)
                 held, size = [], 0
-        yield np.sort(np.concatenate([*held, np.empty(0, np.uint64)]))
+                keys.sort()
+                yield keys
+        keys = np.concatenate([*held, np.empty(0, np.uint64)])
+        held = []
+        keys.sort()
+        yield keys
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = np.uint64(sizes.width)
-        for held in runs(batches):
-            keys, count = np.unique(held, return_counts=True)
+        for keys in runs(batches):
+            first = np.flatnonzero(np.r_[np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]])
+            count = np.diff(first, append=len(keys)).astype(np.uint32)
+            keys = keys[first]
+            del first
             cuts = np.searchsorted(keys, np.arange((1 << sizes.range_bits) + 1, dtype=np.uint64) << width)
             ranges, blocks, places, more = [], [], [], []
             for r in np.flatnonzero(np.diff(cuts)).tolist():
