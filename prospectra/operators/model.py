@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from prospectra import schema
 from prospectra.functions.values import column, flag_at, missing_to_zero
-from prospectra.operators import metrics, prep, split
+from prospectra.operators import metrics, newton, prep, split
 
 # The two families and their settings.
 FAMILIES = ("logistic", "tree")
@@ -112,8 +112,12 @@ def evaluate(models: dict[str, PipelineModel], test: DataFrame, label: str = sch
 
 
 def feature_names(model: PipelineModel, df: DataFrame) -> list[str]:
-    """Names of the vector slots, read from the assembled column's metadata."""
-    described = PipelineModel(stages=model.stages[:-1]).transform(df.limit(0))
+    return slot_names(PipelineModel(stages=model.stages[:-1]), df)
+
+
+def slot_names(stages: PipelineModel, df: DataFrame) -> list[str]:
+    """Names of the vector slots, read from the metadata of the column that the preparation assembles."""
+    described = stages.transform(df.limit(0))
     groups = described.schema[prep.FEATURES].metadata["ml_attr"]["attrs"]
     slots = sorted(((a["idx"], a["name"]) for attrs in groups.values() for a in attrs))
     return [re.sub(r"__levels_", "_", name) for _, name in slots]
@@ -129,6 +133,17 @@ def coefficients(model: PipelineModel, df: DataFrame) -> DataFrame:
                        "coefficient")
 
 
+def exact_coefficients(train: DataFrame, label: str = schema.LABEL, exclude: Sequence[str] = (schema.ID,)) -> DataFrame:
+    """(feature, coefficient) at the optimum of the logistic loss, the intercept among them; see ``newton``."""
+    prepared = prepare(train, label, exclude)
+    try:
+        found = newton.fit(prepared.vectors, _LABEL, prep.WEIGHT, prep.FEATURES)
+    finally:
+        prepared.vectors.unpersist()
+    names = [*slot_names(prepared.stages, train), "intercept"]
+    return _slot_table(train.sparkSession, names, [*found.weights, found.intercept], "coefficient")
+
+
 def importances(model: PipelineModel, df: DataFrame) -> DataFrame:
     """(feature, importance) of a tree model; importances add up to 1."""
     return _slot_table(df.sparkSession, feature_names(model, df), model.stages[-1].featureImportances.toArray(),

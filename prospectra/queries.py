@@ -470,6 +470,11 @@ def logistic_coefficients(spark, sf_dir):
     return model_table.coefficients(_model_tables(spark, sf_dir)[0][model_table.LOGISTIC])
 
 
+def exact_coefficients(spark, sf_dir):
+    """Coefficients and intercept of the logistic model at its optimum, by second-order steps."""
+    return model.exact_coefficients(training.side(_split_table(spark, sf_dir), 0))
+
+
 def logistic_top_coefficients(spark, sf_dir):
     """The strongest coefficients on either side."""
     return metrics.top_and_bottom(logistic_coefficients(spark, sf_dir), "coefficient")
@@ -629,6 +634,7 @@ QUERIES: dict[str, Query] = {
     "chosen_model_scores": chosen_model_scores,
     "chosen_model_report": chosen_model_report,
     "logistic_coefficients": logistic_coefficients,
+    "exact_coefficients": exact_coefficients,
     "logistic_top_coefficients": logistic_top_coefficients,
     "fitted_drivers": fitted_drivers,
     "cv_metrics": cv_metrics,
