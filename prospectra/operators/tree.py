@@ -1,8 +1,9 @@
 """A decision tree with exact cuts, grown level by level from counts.
 
 Every cut of every column is tried: no bins, no sample.  One pass per level
-counts the rows of each class per (node, column, value), combined map-side, and
-stores the counts.  A number's cuts are the running totals of its values in
+counts the rows of each class per (node, column, value) and stores the counts.
+Tasks count column by column over runs of rows, so a value that occurs often
+leaves a run as one row, and runs are combined before they move.  A number's cuts are the running totals of its values in
 order, which ``ranks`` works out in buckets, so no task orders a whole column;
 a level of a text column is a cut of its own (that level against the rest).
 All that is compared between cuts is a function of whole-number counts, so the
@@ -15,9 +16,11 @@ table, and scoring with it is a nested built-in expression.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +32,9 @@ from prospectra.operators.ranks import running_totals, stored
 
 DEPTH = 5
 LEAF_ROWS = 50
+# Rows that a task counts at a time.
+RUN_ROWS = 32_768
+_COUNTS = "node long, pos int, value double, level string, n0 long, n1 long"
 
 
 class Node(NamedTuple):
@@ -67,6 +73,47 @@ def _node(number: int, depth: int, negatives: int, positives: int, weights: tupl
     return Node(number, depth, negatives + positives, positives, a + b, _gini(a, b), b / (a + b))
 
 
+def _count_cells(n_numeric: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of each class per (node, column, value) of a run of rows: a node, whether the class is 1, then the columns."""
+    def counted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        run = pa.Table.from_batches(held).combine_chunks()
+        nodes, at = np.unique(run.column(0).to_numpy(), return_inverse=True)
+        is_one = run.column(1).fill_null(False).to_numpy()
+        # A row without a class shows its value and counts for none.
+        is_zero = ~is_one & run.column(1).is_valid().to_numpy()
+        made = []
+        for pos, cells in enumerate(run.columns[2:]):
+            found = cells.combine_chunks().dictionary_encode()
+            width = len(found.dictionary)
+            cell = at * width + found.indices.to_numpy()
+            seen = np.flatnonzero(np.bincount(cell))
+            values, none = found.dictionary.take(pa.array(seen % width)), pa.nulls(len(seen))
+            value, level = (values, none) if pos < n_numeric else (np.zeros(len(seen)), values)
+            made.append(pa.RecordBatch.from_arrays(
+                [pa.array(nodes[seen // width], pa.int64()), pa.array(np.full(len(seen), pos), pa.int32()), pa.array(value, pa.float64()),
+                 level.cast(pa.string()), *(pa.array(np.bincount(cell[of], minlength=len(nodes) * width)[seen], pa.int64())
+                                            for of in (is_zero, is_one))], ["node", "pos", "value", "level", "n0", "n1"]))
+        return pa.concat_batches(made)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= RUN_ROWS:
+                yield counted(held)
+                held, rows = [], 0
+        if rows:
+            yield counted(held)
+    return run
+
+
+def value_counts(rows: DataFrame, n_numeric: int) -> DataFrame:
+    """(node, pos, value, level, n0, n1) of rows of a node, whether the class is 1, the numbers, then the texts."""
+    return (rows.mapInArrow(_count_cells(n_numeric), _COUNTS).groupBy("node", "pos", "value", "level")
+            .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+
+
 def fit(train: DataFrame, label: str = schema.LABEL, exclude: Sequence[str] = (schema.ID,), depth: int = DEPTH,
         leaf_rows: int = LEAF_ROWS) -> list[Node]:
     """The nodes of a tree of balanced class weights, in order of their numbers.
@@ -88,14 +135,12 @@ def fit(train: DataFrame, label: str = schema.LABEL, exclude: Sequence[str] = (s
     weights = tuple((total.n0 + total.n1) / (2 * n) for n in (total.n0, total.n1))
     nodes = {1: _node(1, 0, total.n0, total.n1, weights)}
     open_nodes = [1]
-    cells = F.array(*[F.struct(missing_to_zero(column(c)).alias("value"), F.lit(None).cast("string").alias("level")) for c in numeric],
-                    *[F.struct(F.lit(0.0).alias("value"), text_or_zero(column(c)).alias("level")) for c in text])
+    cells = [f(column(c)).alias(f"c{i}") for i, (f, c) in enumerate(
+        [*((missing_to_zero, c) for c in numeric), *((text_or_zero, c) for c in text)])]
     while open_nodes and names:
         place = place_of(nodes.values())
-        rows = train.select(place.alias("node"), is_one.alias("y"), cells.alias("cells")).where(F.col("node").isin(open_nodes))
-        counts = stored(rows.select("node", "y", F.posexplode("cells").alias("pos", "cell")).groupBy(
-            "node", "pos", F.col("cell.value").alias("value"), F.col("cell.level").alias("level"))
-            .agg(F.count_if(~F.col("y")).alias("n0"), F.count_if("y").alias("n1")))
+        rows = train.select(place.alias("node"), is_one.alias("y"), *cells).where(F.col("node").isin(open_nodes))
+        counts = stored(value_counts(rows, len(numeric)))
         # At most one row per open node comes back.
         found = best_cuts(counts, len(numeric), [nodes[n] for n in open_nodes], weights, leaf_rows)
         open_nodes = []

@@ -160,3 +160,13 @@ def test_the_better_family_is_chosen_and_kept(spark, stored):
         assert loaded.family == family
         one, two = (sorted(model_table.score(m, stored).collect()) for m in (given, loaded))
         assert one == two
+
+
+def test_tasks_count_a_run_of_rows_by_value_before_spark_does(spark):
+    rows = [(n, y, x, t) for n in (1, 2) for y in (True, False, None) for x in (0.0, -0.0, float("inf")) for t in ("0", "a")] * 3
+    df = spark.createDataFrame(rows, "node long, y boolean, c0 double, c1 string").coalesce(1)
+    run = df.mapInArrow(tree._count_cells(1), tree._COUNTS).count()
+    assert run <= 2 * 5
+    found = {tuple(r)[:4]: tuple(r)[4:] for r in tree.value_counts(df, 1).collect()}
+    assert found == {(n, 0, x, None): (k, k) for n in (1, 2) for x, k in ((0.0, 12), (float("inf"), 6))} | {
+        (n, 1, 0.0, t): (9, 9) for n in (1, 2) for t in ("0", "a")}
