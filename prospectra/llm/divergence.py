@@ -10,8 +10,9 @@ by level (6 bytes, 12, 24, ...), and a prefix below the threshold is discarded
 together with all terms below it.  Terms end in a mark, so a prefix that ends
 in the mark is a complete term and is done; refinement ends when no longer
 prefix is left.  Each document sends a prefix at most once per level and counts
-are combined before they move, so what is shuffled per level is a few counts
-per kept prefix and task, even where one language holds most documents.
+are combined before they move, in runs of documents and then per task, so what
+is shuffled per level is a few counts per kept prefix and task, even where one
+language holds most documents.
 
 Shares are exact integers: ``1 + floor(10**9 * (count + 5) / (N + 5 * V))``,
 worked out by long division inside 64 bits.  Distances of sources need the
@@ -31,10 +32,11 @@ so other columns cannot clash.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,9 @@ TOP_TERMS = 50
 BLOCK_TERMS = 2048
 TILE_SOURCES = 128
 
+# Terms of documents that a task combines at a time.
+RUN_TERMS = 500_000
+
 # Fixed values of the shares.
 SCALE_STEPS, STEP = 3, 1000     # 10**9, in three long-division steps of 1000
 ADDED = 5
@@ -87,22 +92,62 @@ def count_terms(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     return write_and_read_back(rows.mapInArrow(_count_terms, _TERMS), "audit-terms")
 
 
-def _prefixes(terms: str, before: int, width: int) -> Column:
-    """A document's distinct prefixes of ``width`` bytes; terms of up to ``before`` bytes are complete already."""
-    longer = F.filter(terms, lambda t: F.length(t) > before) if before else F.col(terms)
-    return F.array_distinct(F.transform(longer, lambda t: F.substring(t, 1, width)))
+def _in_runs(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
+    """The batches put together to about ``RUN_TERMS`` terms each; one batch at least."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch.column(column).flatten())
+        if size >= RUN_TERMS:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _one_chunk(column: pa.ChunkedArray) -> pa.Array:
+    found = column.combine_chunks()
+    return found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
+
+
+def _count_prefixes(before: int, width: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Documents of a run per (lang, prefix of ``width`` bytes); terms of up to ``before`` bytes are complete already."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for documents in _in_runs(batches, 1):
+            lists = _one_chunk(documents["terms"])
+            at, terms = pc.list_parent_indices(lists), pc.list_flatten(lists)
+            if before:
+                longer = pc.greater(pc.utf8_length(terms), before)
+                at, terms = at.filter(longer), terms.filter(longer)
+            prefixes = pc.utf8_slice_codeunits(terms, 0, width)
+            once = pa.table({"at": at, "term": prefixes}).group_by(["at", "term"], use_threads=False).aggregate([])
+            counts = (pa.table({"lang": documents["lang"].take(once["at"]), "term": once["term"]})
+                      .group_by(["lang", "term"], use_threads=False).aggregate([([], "count_all")]))
+            yield from counts.select(["lang", "term", "count_all"]).rename_columns(["lang", "term", "docs"]).to_batches()
+    return run
+
+
+def _count_uses(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences in a run per (lang, source, term)."""
+    for documents in _in_runs(batches, 2):
+        lists = _one_chunk(documents["terms"])
+        at = pc.list_parent_indices(lists)
+        uses = pa.table({"lang": documents["lang"].take(at), "source": documents["source"].take(at), "term": pc.list_flatten(lists),
+                         "n": pc.list_flatten(_one_chunk(documents["counts"])).cast(pa.int64())})
+        counts = uses.group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum")])
+        yield from counts.select(["lang", "source", "term", "n_sum"]).rename_columns(["lang", "source", "term", "n"]).to_batches()
 
 
 def frequent_terms(documents: DataFrame, least_docs: int = LEAST_DOCS, first_width: int = FIRST_WIDTH) -> DataFrame:
     """(lang, term, docs): the terms in at least ``least_docs`` documents of a language, by refinement of prefixes."""
     before, width, kept, complete = 0, first_width, None, None
     while True:
-        items = documents.select("lang", F.explode(_prefixes("terms", before, width)).alias("term"))
+        items = documents.select("lang", "terms").mapInArrow(_count_prefixes(before, width), "lang string, term string, docs long")
         if kept is not None:
             prefixes = small_or_plain(kept.select(F.col("lang").alias("_lang"), F.col("term").alias("_prefix")))
             items = items.join(prefixes, (F.col("lang") == F.col("_lang"))
                                & (F.substring("term", 1, before) == F.col("_prefix")), "left_semi")
-        level = write_and_read_back(items.groupBy("lang", "term").agg(F.count("*").alias("docs"))
+        level = write_and_read_back(items.groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
                                     .where(F.col("docs") >= least_docs), "audit-prefixes")
         done = level.where(F.col("term").endswith(_END))
         complete = done if complete is None else complete.union(done)
@@ -192,10 +237,9 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = TOP_TE
         frequent_terms(documents, least_docs, first_width).select("lang", "term").repartitionByRange("lang", "term")
         .sortWithinPartitions("lang", "term").withColumn("term_id", F.monotonically_increasing_id()), "audit-kept")
     wanted = small_or_plain(kept.select(F.col("lang").alias("_lang"), F.col("term").alias("_term"), "term_id"))
-    uses = documents.join(small_or_plain(every), ["lang", "source"]).select(
-        "lang", "group_id", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("counts").alias("n"))))
+    uses = documents.mapInArrow(_count_uses, "lang string, source string, term string, n long")
     counts = write_and_read_back(
-        uses.join(wanted, (F.col("lang") == F.col("_lang")) & (F.col("term") == F.col("_term")))
+        uses.join(small_or_plain(every), ["lang", "source"]).select("lang", "group_id", "term", "n").join(wanted, (F.col("lang") == F.col("_lang")) & (F.col("term") == F.col("_term")))
         .groupBy("group_id", "term_id").agg(F.sum("n").alias("n")), "audit-counts")
 
     totals = counts.groupBy("group_id").agg(F.sum("n").alias("total"))

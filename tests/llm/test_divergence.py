@@ -88,3 +88,13 @@ def test_shares_are_exact_for_large_counts(spark):
     df = spark.createDataFrame(cases, "n long, total long, v long")
     got = [r[0] for r in df.select(divergence.share(F.col("n"), F.col("total"), F.col("v"))).collect()]
     assert got == [1 + 10**9 * (n + 5) // (total + 5 * v) for n, total, v in cases]
+
+
+def test_runs_of_documents_are_combined_before_spark_counts(spark):
+    documents = spark.createDataFrame([("l", "s", ["longest ", "longer ", "a "], [1, 2, 3])] * 40, divergence._TERMS).coalesce(1)
+    rows = documents.select("lang", "terms").mapInArrow(divergence._count_prefixes(0, 5), "lang string, term string, docs long")
+    assert sorted(map(tuple, rows.collect())) == [("l", "a ", 40), ("l", "longe", 40)]
+    rows = documents.select("lang", "terms").mapInArrow(divergence._count_prefixes(2, 6), "lang string, term string, docs long")
+    assert sorted(map(tuple, rows.collect())) == [("l", "longer", 40), ("l", "longes", 40)]
+    uses = documents.mapInArrow(divergence._count_uses, "lang string, source string, term string, n long")
+    assert sorted(map(tuple, uses.collect())) == [("l", "s", "a ", 120), ("l", "s", "longer ", 80), ("l", "s", "longest ", 40)]
