@@ -15,12 +15,18 @@ SLICES = 256
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """Every key that holds more than ``share`` of the rows, and perhaps a few more.
+    """Every key that holds more than ``share`` of the rows.
 
-    One pass; the frequent-items summary never names more than ``1 / share`` keys.
+    Two passes: the frequent-items summary names at most ``1 / share`` keys, also
+    where no key is frequent, and those are counted.
     """
     keys = df.where(F.col(quoted(key)).isNotNull()).select(F.col(quoted(key)).alias("_key"))
-    return keys.stat.freqItems(["_key"], share).first()[0] or []
+    named = keys.stat.freqItems(["_key"], share).first()[0]
+    if not named:
+        return []
+    counts = keys.groupBy(F.when(F.col("_key").isin(named), F.col("_key")).alias("_key")).count().collect()
+    rows = sum(r["count"] for r in counts)
+    return [r["_key"] for r in counts if r["_key"] is not None and r["count"] > share * rows]
 
 
 def balanced_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -64,6 +64,14 @@ def prepare(train: DataFrame, label: str = schema.LABEL,
     return Prepared(stages, vectors, float(vectors.count()))
 
 
+def prepare_left_out(train: DataFrame, left_out: prep.LeftOut, label: str = schema.LABEL) -> Prepared:
+    """The weighted vectors of the other folds' rows, by a preparation that is fitted already."""
+    weighted = left_out.stages.transform(train).withColumn(prep.WEIGHT, prep.class_weight(label, left_out.weights))
+    vectors = (weighted.select(column(label).cast("double").alias(_LABEL), prep.WEIGHT, prep.FEATURES)
+               .where(F.col(prep.WEIGHT).isNotNull()).persist())
+    return Prepared(left_out.stages, vectors, float(left_out.rows))
+
+
 def fit(prepared: Prepared, family: str) -> PipelineModel:
     fitted = classifier(family, prepared.weight_sum).fit(prepared.vectors)
     return PipelineModel(stages=[*prepared.stages.stages, fitted])
@@ -71,7 +79,11 @@ def fit(prepared: Prepared, family: str) -> PipelineModel:
 
 def fit_all(train: DataFrame, label: str = schema.LABEL, exclude: Sequence[str] = (schema.ID,),
             families: Iterable[str] = FAMILIES) -> dict[str, PipelineModel]:
-    prepared = prepare(train, label, exclude)
+    return fit_prepared(prepare(train, label, exclude), families)
+
+
+def fit_prepared(prepared: Prepared, families: Iterable[str] = FAMILIES) -> dict[str, PipelineModel]:
+    """A model per family; the prepared vectors are let go of afterwards."""
     try:
         return {family: fit(prepared, family) for family in families}
     finally:
@@ -89,6 +101,21 @@ def with_score(model: PipelineModel, df: DataFrame, keep: Sequence[str] | None =
                          probability.alias(schema.SCORE))
 
 
+def with_scores(models: Mapping[str, PipelineModel], df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(kept columns, family, score) for every row and model; the models share their preparation,
+    so that each row is read and made a vector once."""
+    source = df.withColumn("_kept", F.struct(*[column(c).alias(f"k{i}") for i, c in enumerate(keep)]))
+    stages = next(iter(models.values())).stages[:-1]
+    scored = PipelineModel(stages=stages).transform(source).select("_kept", prep.FEATURES)
+    for family, fitted in models.items():
+        # Nothing but the probability is asked for.
+        last = fitted.stages[-1].copy().setProbabilityCol(f"_{family}").setRawPredictionCol("").setPredictionCol("")
+        scored = last.transform(scored)
+    scores = F.array(*[F.struct(F.lit(family).alias("family"), vector_to_array(f"_{family}")[1].alias(schema.SCORE))
+                       for family in models])
+    return scored.select(*[F.col(f"_kept.k{i}").alias(c) for i, c in enumerate(keep)], F.inline(scores))
+
+
 def score_batch(model: PipelineModel, df: DataFrame, id_col: str = schema.ID,
                 threshold: float = schema.FLAG_THRESHOLD) -> DataFrame:
     """(id, score, flag) for every row, as one lazy plan over the partitions."""

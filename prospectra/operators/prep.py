@@ -6,11 +6,13 @@ can be saved; inside they are built-in column expressions only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, Transformer
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml import Estimator, Model, PipelineModel, Transformer
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from prospectra import schema
 from prospectra.functions.values import column, missing_to_zero, text_or_zero
 from prospectra.operators.features import categorical_columns, numeric_columns, reject_untyped
+from prospectra.session import write_and_read_back
 
 # Columns per aggregate: longer lists no longer compile to one fast method.
 STATISTICS_PER_AGGREGATE = 15
@@ -160,3 +163,107 @@ def with_class_weights(df: DataFrame, label: str = schema.LABEL) -> DataFrame:
     """Add the balanced weight of the row's class; one row per class is broadcast."""
     weights = class_weights(df, label).select(column(label), F.col("weight").alias(WEIGHT))
     return df.join(F.broadcast(weights), label)
+
+
+class LeftOut(NamedTuple):
+    """The preparation fitted on all folds but one, the weight of each class there and the rows that have one."""
+    stages: PipelineModel
+    weights: dict[object, float]
+    rows: int
+
+
+def leave_one_out(df: DataFrame, fold: str, folds: Sequence[int], label: str = schema.LABEL,
+                  exclude: Sequence[str] = (schema.ID,), most_levels: int = MOST_LEVELS) -> list[LeftOut]:
+    """For each fold, what ``preparation_stages`` and ``class_weights`` give when fitted on the others.
+
+    All folds share their passes: moments, levels and classes are found once
+    per fold and merged for every choice of the others.  One row per fold and
+    chunk of columns reaches the driver, and the level lists.
+    """
+    exclude = (*exclude, label, fold)
+    reject_untyped(df, exclude)
+    numeric, text = numeric_columns(df, exclude), categorical_columns(df, exclude)
+    classes = df.groupBy(column(fold).alias("fold"), column(label).alias("class")).agg(F.count("*").alias("n")).collect()
+    filler = MissingValueFiller(numeric=numeric, categorical=text)
+    filled = filler.transform(df)
+    levels = _levels_without(filled, fold, folds, text, most_levels)
+    moments = _moments_by_fold(filled, fold, numeric)
+    indexed, encoded = [f"{c}__index" for c in text], [f"{c}__levels" for c in text]
+    found = []
+    for left_out in folds:
+        counts: dict[object, int] = {}
+        for r in classes:
+            if r["fold"] is not None and r["fold"] != left_out:
+                counts[r["class"]] = counts.get(r["class"], 0) + r["n"]
+        weights = {c: sum(counts.values()) / (len(counts) * n) for c, n in counts.items() if c is not None}
+        scaled = [merged_moments([m[c] for f, m in moments.items() if f != left_out]) for c in range(len(numeric))]
+        stages = [filler, PopulationScalerModel(numeric=numeric, means=[m for m, _ in scaled],
+                                                scales=[s or 1.0 for _, s in scaled])]
+        if text:
+            indexers = PipelineModel(stages=[
+                StringIndexerModel.from_labels(own, inputCol=c, outputCol=i, handleInvalid="keep")
+                for own, c, i in zip(levels[left_out], text, indexed)])
+            # Sizes come from the indexers' metadata, so that no row is read.
+            encoder = OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True)
+            stages += [*indexers.stages, encoder.fit(indexers.transform(filled.limit(0)))]
+        stages.append(VectorAssembler(inputCols=numeric + encoded, outputCol=FEATURES))
+        found.append(LeftOut(PipelineModel(stages=stages), weights, sum(counts[c] for c in weights)))
+    return found
+
+
+def _moments_by_fold(filled: DataFrame, fold: str, columns: Sequence[str]) -> dict[int, list[tuple[int, float, float]]]:
+    """Per fold and column (rows, mean, population deviation)."""
+    found: dict[int, list[tuple[int, float, float]]] = {}
+    for start in range(0, len(columns), STATISTICS_PER_AGGREGATE):
+        chunk = columns[start:start + STATISTICS_PER_AGGREGATE]
+        size = len(chunk)
+        rows = (filled.where(column(fold).isNotNull()).groupBy(column(fold))
+                .agg(F.count("*"), *[f(column(c)) for f in (F.sum, F.stddev_pop, F.max) for c in chunk]).collect())
+        for key, n, *values in rows:
+            sums, deviations, highest = values[:size], values[size:2 * size], values[2 * size:]
+            # Where all values are equal the mean is that value, without the rounding of a sum.
+            found.setdefault(key, []).extend(
+                (n, top if not deviation else total / n, deviation)
+                for total, deviation, top in zip(sums, deviations, highest))
+    return found
+
+
+def merged_moments(parts: Sequence[tuple[int, float, float]]) -> tuple[float, float]:
+    """Mean and population deviation of all rows, from (rows, mean, population deviation) of each part.
+
+    Equal means merge without rounding, so a constant column keeps the deviation 0.
+    """
+    n = sum(p[0] for p in parts)
+    if not n:
+        return 0.0, 0.0
+    first = parts[0][1]
+    mean = first + sum(rows * (m - first) for rows, m, _ in parts) / n
+    return mean, math.sqrt(sum(rows * (d * d + (m - mean) ** 2) for rows, m, d in parts) / n)
+
+
+def _levels_without(filled: DataFrame, fold: str, folds: Sequence[int], columns: Sequence[str],
+                    most: int) -> dict[int, list[list[str]]]:
+    """For each fold, the sorted levels of every column in the other folds; too many are refused before they are collected."""
+    if not columns:
+        return {k: [] for k in folds}
+    cells = (filled.where(column(fold).isNotNull())
+             .select(column(fold).alias("fold"), F.posexplode(F.array(*[column(c) for c in columns])).alias("pos", "value")))
+    seen = write_and_read_back(cells.groupBy("pos", "value").agg(F.collect_set("fold").alias("folds")), "levels")
+
+    def without(k: int):
+        return F.exists("folds", lambda f: f != k)
+
+    sizes = seen.groupBy("pos").agg(*[F.count_if(without(k)) for k in folds]).orderBy("pos").collect()
+    for at in range(1, len(folds) + 1):
+        wide = sorted((columns[r[0]], r[at]) for r in sizes if r[at] > most)
+        if wide:
+            raise ValueError(f"more than {most} levels: " + ", ".join(f"{c} ({n})" for c, n in wide))
+    # In the order of the indexer, which compares UTF-16 units.
+    rows = sorted(seen.collect(), key=lambda r: r["value"].encode("utf-16-be", "surrogatepass"))
+    return {k: [[r["value"] for r in rows if r["pos"] == at and any(f != k for f in r["folds"])]
+                for at in range(len(columns))] for k in folds}
+
+
+def class_weight(label: str, weights: dict[object, float]):
+    """The weight of the row's class as an expression; NULL for a label that has none."""
+    return F.coalesce(*[F.when(column(label) == c, F.lit(w)) for c, w in weights.items()], F.lit(None).cast("double"))

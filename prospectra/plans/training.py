@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from prospectra import schema
 from prospectra.functions.values import column
-from prospectra.operators import features, metrics, model, split
+from prospectra.operators import features, metrics, model, prep, split
 from prospectra.session import write_and_read_back
 from prospectra.sources import model_store
 
@@ -85,22 +85,27 @@ def cross_validate(stored: DataFrame, label: str = schema.LABEL, id_col: str = s
                    parallelism: int = split.FOLDS) -> DataFrame:
     """(family, fold, rows, positives, roc_auc, average_precision) on the training side.
 
-    Preparation and class weights are fitted anew on the other four folds.
+    Preparation and class weights are those of the other four folds, merged
+    from one set of passes that all folds share (``prep.leave_one_out``).
     Folds do not depend on each other, so ``parallelism`` of them are fitted
     at the same time; lower it where their cached vectors crowd the executors.
-    The scores of all held-out folds are ranked in one pass at the end.
+    A held-out row is prepared once for all families, and the scores of all
+    held-out folds are ranked in one pass at the end.
     """
     exclude = (id_col,) if exclude is None else tuple(exclude)
     families = tuple(families)
     training = stored.where(F.col("is_test") == 0).drop("is_test")
 
+    prepared = prep.leave_one_out(training, "fold", range(split.FOLDS), label, exclude)
+
     def fit_fold(fold: int) -> dict[str, PipelineModel]:
-        return model.fit_all(training.where(F.col("fold") != fold).drop("fold"), label, exclude, families)
+        others = training.where(F.col("fold") != fold)
+        return model.fit_prepared(model.prepare_left_out(others, prepared[fold], label), families)
 
     with ThreadPoolExecutor(parallelism) as pool:
         fitted = list(pool.map(inheritable_thread_target(stored.sparkSession)(fit_fold), range(split.FOLDS)))
-    held_out = [model.with_score(fitted[fold][family], training.where(F.col("fold") == fold), (label, "fold"))
-                .withColumn("family", F.lit(family)) for fold in range(split.FOLDS) for family in families]
+    held_out = [model.with_scores(fitted[fold], training.where(F.col("fold") == fold), (label, "fold"))
+                for fold in range(split.FOLDS)]
     return metrics.ranking_metrics(functools.reduce(DataFrame.unionByName, held_out), label, by=("family", "fold"))
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from prospectra import schema, standins
 from prospectra.operators import features, label, publish
-from prospectra.operators.joins import _grid, balanced_left_join
+from prospectra.operators.joins import _grid, balanced_left_join, hot_keys
 
 
 def plan_of(df):
@@ -114,3 +114,10 @@ def test_publication_filters_before_the_join(spark, sf_dir):
     scored = standins.scored(spark, sf_dir).select("client_id", "score", (F.col("score") > 0.5).cast("int").alias("flag"))
     plan = publish.prospects(scored, standins.customer_360(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftOuter" in plan and "Filter" in plan.split("LeftOuter", 1)[1]
+
+
+def test_unique_keys_are_not_hot(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "k")
+    assert hot_keys(df, "k") == []
+    hot = df.unionByName(spark.range(100).select(F.lit(7).cast("long").alias("k")))
+    assert hot_keys(hot.unionByName(spark.range(50).select(F.lit(None).cast("long").alias("k"))), "k") == [7]

@@ -237,3 +237,51 @@ def test_training_rows_are_marked_by_the_saved_split(spark, trained, exact):
     out = scoring.score_table(trained.model, table, how=how)
     both = out.join(marked.select("client_id", "is_test"), "client_id")
     assert both.count() == 1500 and both.where(F.col("is_train") == F.col("is_test")).count() == 0
+
+
+def test_preparation_without_a_fold_is_that_of_the_others(spark):
+    rows = [(i, i % 5, int(i % 7 == 0), 0.1, None if i % 11 == 0 else i * 0.37, "x" if i % 3 else None, f"r{i % 5}" if i % 2 else "a")
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "client_id long, fold int, is_target_customer int, same double, x double, c string, per_fold string")
+    left_out = prep.leave_one_out(df, "fold", range(5), schema.LABEL, ("client_id",))
+    for k in range(5):
+        others = df.where(F.col("fold") != k)
+        by_hand = model.prepare(others.drop("fold"))
+        shared = model.prepare_left_out(others, left_out[k])
+        assert shared.weight_sum == by_hand.weight_sum
+        assert model.slot_names(shared.stages, df) == model.slot_names(by_hand.stages, df.drop("fold"))
+        a, b = (np.array(sorted([*r.v, r.label__, r.class_weight] for r in p.vectors.select(
+            vector_to_array("features").alias("v"), "label__", "class_weight").collect())) for p in (shared, by_hand))
+        assert np.allclose(a, b, rtol=1e-12, atol=1e-12)
+        assert (a[:, 0] == 0).all()
+
+
+def test_left_out_levels_beyond_the_limit_are_refused_by_name(spark):
+    df = spark.range(50).select("id", (F.col("id") % 5).cast("int").alias("fold"), F.lit(0).alias("y"),
+                                F.col("id").cast("string").alias("free"), F.lit("a").alias("fixed"))
+    with pytest.raises(ValueError, match=r"free \(40\)"):
+        prep.leave_one_out(df, "fold", range(5), "y", ("id",), most_levels=10)
+
+
+def test_a_constant_column_merges_to_deviation_0():
+    assert prep.merged_moments([(3, 0.1, 0.0), (7, 0.1, 0.0), (11, 0.1, 0.0)]) == (0.1, 0.0)
+    x = np.arange(40) ** 2 / 7
+    mean, deviation = prep.merged_moments([(len(p), p.mean(), p.std()) for p in (x[:3], x[3:17], x[17:])])
+    assert (mean, deviation) == (pytest.approx(x.mean(), rel=1e-14), pytest.approx(x.std(), rel=1e-14))
+
+
+def test_shared_scores_equal_each_model_alone(stored, fitted):
+    test = training.side(stored, 1)
+    both = model.with_scores(fitted, test, (schema.ID,))
+    for family, one in fitted.items():
+        alone = {r[0]: r.score for r in model.with_score(one, test, (schema.ID,)).collect()}
+        assert {r[0]: r.score for r in both.where(F.col("family") == family).collect()} == alone
+
+
+def test_cross_validation_prepares_all_folds_together(spark, stored):
+    context = spark.sparkContext
+    context.setJobGroup("folds", "preparation")
+    prep.leave_one_out(stored.where("is_test = 0").drop("is_test"), "fold", range(5))
+    jobs = len(context.statusTracker().getJobIdsForGroup("folds"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs < 20
