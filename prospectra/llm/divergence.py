@@ -32,7 +32,7 @@ so other columns cannot clash.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,8 @@ TOP_TERMS = 50
 BLOCK_TERMS = 2048
 TILE_SOURCES = 128
 
+# Terms of more characters stand in a column of their own too, which is all that wider prefixes read.
+LONG = 12
 # Terms of documents that a task combines at a time.
 RUN_TERMS = 500_000
 
@@ -62,42 +64,51 @@ _END = " "      # below every byte of a term
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 _TERMS = "lang string, source string, terms array<string>, counts array<int>"
-_ARROW = pa.schema([("lang", pa.string()), ("source", pa.string()), ("terms", pa.list_(pa.string())),
-                    ("counts", pa.list_(pa.int32()))])
+# In the written table terms and counts are one value each: Spark moves them as a block, and Arrow splits them.
+_PACKED = "lang string, source string, terms string, longer string, counts binary"
+_ARROW = pa.schema([("lang", pa.string()), ("source", pa.string()), ("terms", pa.string()), ("longer", pa.string()),
+                    ("counts", pa.binary())])
+_BREAK = "\n"    # in no term
+_COUNT = np.dtype("<i8")
+
+
+def _packed(terms: Collection[bytes]) -> str | None:
+    """The terms, each closed by a blank, with one character per byte, so that cutting characters cuts bytes."""
+    return (b" \n".join(terms) + b" ").decode("latin-1") if terms else None
 
 
 def _count_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in in_slices(batches, 2):
         langs, sources, texts = (c.to_pylist() for c in batch.columns)
-        terms, counts, ends = [], [], [0]
+        terms, longer, counts = [], [], []
         for text in texts:
             found = Counter((text or "").encode("utf-8", "surrogatepass").translate(_BYTES).split())
-            if found:
-                # One character per byte, so that cutting characters cuts bytes.
-                terms += (b" \n".join(found) + b" ").decode("latin-1").split("\n")
-                counts += found.values()
-            ends.append(len(terms))
-        ends = pa.array(ends, pa.int32())
+            terms.append(_packed(found))
+            longer.append(_packed([t for t in found if len(t) >= LONG]))
+            counts.append(np.fromiter(found.values(), _COUNT, len(found)).tobytes())
         yield pa.RecordBatch.from_arrays(
             [pa.array([x or "" for x in langs], pa.string()), pa.array([x or "" for x in sources], pa.string()),
-             pa.ListArray.from_arrays(ends, pa.array(terms, pa.string())),
-             pa.ListArray.from_arrays(ends, pa.array(counts, pa.int32()))], schema=_ARROW)
+             pa.array(terms, pa.string()), pa.array(longer, pa.string()), pa.array(counts, pa.binary())], schema=_ARROW)
 
 
 def count_terms(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """A written table of one row per document: its distinct terms, spelt one character per byte
-    and closed by a blank, and how often each occurs."""
+    """A written table of one row per document: its distinct terms, spelt one character per byte, closed by a
+    blank and put together with line feeds (NULL without terms), the long ones once more, and how often each
+    occurs, as 64-bit integers."""
     ready_for_python(docs)
     rows = docs.select(*[F.col(c).cast("string") for c in (lang, source, text)])
-    return write_and_read_back(rows.mapInArrow(_count_terms, _TERMS), "audit-terms")
+    return write_and_read_back(rows.mapInArrow(_count_terms, _PACKED), "audit-terms")
 
 
 def _in_runs(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
-    """The batches put together to about ``RUN_TERMS`` terms each; one batch at least."""
+    """The batches put together to about ``RUN_TERMS`` terms each, packed terms of ``column`` as lists; one batch at least."""
     held, size = [], 0
     for batch in batches:
-        held.append(batch)
-        size += len(batch.column(column).flatten())
+        lists = batch.column(column)
+        if not pa.types.is_list(lists.type):
+            lists = pc.split_pattern(lists, _BREAK)
+        held.append(batch.set_column(column, batch.schema.names[column], lists))
+        size += pc.sum(pc.list_value_length(lists)).as_py() or 0
         if size >= RUN_TERMS:
             yield pa.Table.from_batches(held).combine_chunks()
             held, size = [], 0
@@ -127,13 +138,20 @@ def _count_prefixes(before: int, width: int) -> Callable[[Iterable[pa.RecordBatc
     return run
 
 
+def _counts(column: pa.ChunkedArray) -> pa.Array:
+    """All documents' counts, packed or as lists."""
+    if pa.types.is_list(column.type):
+        return pc.list_flatten(_one_chunk(column)).cast(pa.int64())
+    return pa.array(np.frombuffer(b"".join(column.to_pylist()), _COUNT))
+
+
 def _count_uses(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences in a run per (lang, source, term)."""
     for documents in _in_runs(batches, 2):
         lists = _one_chunk(documents["terms"])
         at = pc.list_parent_indices(lists)
         uses = pa.table({"lang": documents["lang"].take(at), "source": documents["source"].take(at), "term": pc.list_flatten(lists),
-                         "n": pc.list_flatten(_one_chunk(documents["counts"])).cast(pa.int64())})
+                         "n": _counts(documents["counts"])})
         counts = uses.group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum")])
         yield from counts.select(["lang", "source", "term", "n_sum"]).rename_columns(["lang", "source", "term", "n"]).to_batches()
 
@@ -142,7 +160,8 @@ def frequent_terms(documents: DataFrame, least_docs: int = LEAST_DOCS, first_wid
     """(lang, term, docs): the terms in at least ``least_docs`` documents of a language, by refinement of prefixes."""
     before, width, kept, complete = 0, first_width, None, None
     while True:
-        items = documents.select("lang", "terms").mapInArrow(_count_prefixes(before, width), "lang string, term string, docs long")
+        terms = F.col("longer" if before >= LONG else "terms")
+        items = documents.where(terms.isNotNull()).select("lang", terms.alias("terms")).mapInArrow(_count_prefixes(before, width), "lang string, term string, docs long")
         if kept is not None:
             prefixes = small_or_plain(kept.select(F.col("lang").alias("_lang"), F.col("term").alias("_prefix")))
             items = items.join(prefixes, (F.col("lang") == F.col("_lang"))

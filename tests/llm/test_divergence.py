@@ -98,3 +98,17 @@ def test_runs_of_documents_are_combined_before_spark_counts(spark):
     assert sorted(map(tuple, rows.collect())) == [("l", "longer", 40), ("l", "longes", 40)]
     uses = documents.mapInArrow(divergence._count_uses, "lang string, source string, term string, n long")
     assert sorted(map(tuple, uses.collect())) == [("l", "s", "a ", 120), ("l", "s", "longer ", 80), ("l", "s", "longest ", 40)]
+
+
+def test_terms_move_as_one_value_and_wide_prefixes_read_long_terms_only(spark):
+    rows = [(1, "ab AB " + "x" * 11 + " " + "y" * 12, "en", "s", 0), (2, " ", "en", "s", 0), (3, None, None, None, 0)]
+    documents = divergence.count_terms(e.table(spark, rows))
+    assert dict(documents.dtypes)["terms"] == "string" and dict(documents.dtypes)["counts"] == "binary"
+    got = {(r.lang, r.source, r.terms, r.longer, bytes(r.counts)) for r in documents.collect()}
+    one = b"".join(n.to_bytes(8, "little") for n in (2, 1, 1))
+    assert got == {("en", "s", "ab \n" + "x" * 11 + " \n" + "y" * 12 + " ", "y" * 12 + " ", one),
+                   ("en", "s", None, None, b""), ("", "", None, None, b"")}
+    assert sorted(map(tuple, divergence.frequent_terms(documents, 1, 3).collect())) == [
+        ("en", "ab ", 1), ("en", "x" * 11 + " ", 1), ("en", "y" * 12 + " ", 1)]
+    uses = documents.mapInArrow(divergence._count_uses, "lang string, source string, term string, n long").collect()
+    assert sorted((r.term, r.n) for r in uses) == [("ab ", 2), ("x" * 11 + " ", 1), ("y" * 12 + " ", 1)]
